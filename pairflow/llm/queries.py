@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .jaccard_join import OP4_SQL, op4_ngram_jaccard_join
+from .lm_scoring import op2_backoff_scores
+from .packing import op10_pattern_packing
 from .quality_rules import op6_quality_rules
 from .secret_scans import OP5_SQL, op5_secret_scans
+from .token_blocks import op1_token_blocks
 from .url_filters import OP3_SQL, op3_url_filters
 
 QUERIES = {
+    "op1_token_blocks": op1_token_blocks,
+    "op2_backoff_scores": op2_backoff_scores,
     "op3_url_filters": op3_url_filters,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scans": op5_secret_scans,
     "op6_quality_rules": op6_quality_rules,
+    "op10_pattern_packing": op10_pattern_packing,
 }
-ORACLES = {"op3_url_filters": OP3_SQL, "op5_secret_scans": OP5_SQL}
+ORACLES = {"op3_url_filters": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_secret_scans": OP5_SQL}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .decontamination import op9_benchmark_decontamination
 from .jaccard_join import OP4_SQL, op4_ngram_jaccard_join
+from .line_dedup import op8_line_dedup
 from .lm_scoring import op2_backoff_scores
 from .packing import op10_pattern_packing
 from .quality_rules import op6_quality_rules
 from .secret_scans import OP5_SQL, op5_secret_scans
 from .token_blocks import op1_token_blocks
+from .toxicity import op7_toxicity
 from .url_filters import OP3_SQL, op3_url_filters
 
 QUERIES = {
@@ -17,6 +20,9 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scans": op5_secret_scans,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pattern_packing": op10_pattern_packing,
 }
 ORACLES = {"op3_url_filters": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_secret_scans": OP5_SQL}

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pairflow.catalog import pairs  # noqa: F401
+from pairflow.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

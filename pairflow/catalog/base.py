@@ -13,8 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 CTES = {
-    "levels": "SELECT CAST(l_suppkey AS VARCHAR) AS entity, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) / 1024 AS wte FROM lineitem GROUP BY 1, 2",
-    "flows": "SELECT CAST(c_nationkey AS VARCHAR) AS grp, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1024 AS q, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS bfd FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
+    "levels": "SELECT CAST(l_suppkey AS VARCHAR) AS entity, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) / 997 AS wte FROM lineitem GROUP BY 1, 2",
+    "flows": "SELECT CAST(c_nationkey AS VARCHAR) AS grp, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 997 AS q, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS bfd FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "ents": "SELECT CAST(s_suppkey AS VARCHAR) AS entity, CAST(s_nationkey AS VARCHAR) AS grp FROM supplier",
     "mlev": "SELECT entity, CAST(date_trunc('month', date) + INTERVAL 14 DAY AS DATE) AS date, avg(wte) AS wte FROM levels GROUP BY 1, 2",
     "mflow": "SELECT grp, CAST(date_trunc('month', date) + INTERVAL 14 DAY AS DATE) AS date, avg(q) AS q, 1 AS bfd FROM flows WHERE bfd = 1 GROUP BY 1, 2",
@@ -66,16 +66,16 @@ class Tables:
 
     def raw_levels(self) -> DataFrame:
         t = self.read("lineitem")
-        return t.select(F.col("l_suppkey").cast("string").alias("entity"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / 1024).alias("wte"))
+        return t.select(F.col("l_suppkey").cast("string").alias("entity"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / 997).alias("wte"))
 
     def levels(self) -> DataFrame:
         t = self.read("lineitem").groupBy(F.col("l_suppkey").cast("string").alias("entity"), F.to_date("l_shipdate").alias("date"))
-        return t.agg((F.avg("l_extendedprice") / 1024).alias("wte"))
+        return t.agg((F.avg("l_extendedprice") / 997).alias("wte"))
 
     def flows(self) -> DataFrame:
         t = self.read("orders").join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
         t = t.groupBy(F.col("c_nationkey").cast("string").alias("grp"), F.to_date("o_orderdate").alias("date"))
-        return t.agg((F.sum("o_totalprice") / 1024).alias("q"), F.max(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("bfd"))
+        return t.agg((F.sum("o_totalprice") / 997).alias("q"), F.max(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("bfd"))
 
     def ents(self) -> DataFrame:
         return self.read("supplier").select(F.col("s_suppkey").cast("string").alias("entity"), F.col("s_nationkey").cast("string").alias("grp"))

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -30,7 +31,7 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - out, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation of n pairs by Student's t with n - 2 degrees; null below 3 pairs, 0 for |r| = 1."""
     r, n = r.to_numpy(float), n.to_numpy(float)
@@ -39,7 +40,7 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(np.where(ok, beta_inc(df / 2, np.full(len(r), 0.5), 1 - r2), np.nan)).astype(object).where(pd.Series(ok), None).astype("Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal value."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype("Float64")

@@ -25,7 +25,7 @@ def test_pchip_passes_knots_and_stays_between(spark):
     assert got[D(2020, 1, 15)] == 1.0 and got[D(2020, 2, 15)] == 3.0 and got[D(2020, 6, 15)] == 2.0
     assert got[D(2020, 3, 15)] == 3.0 and len(got) == 6
     daily = [r.wte for r in resample.pchip(series(spark, knots), grid="daily").orderBy("date").collect()]
-    assert min(daily) >= 1 and max(daily) <= 3 and len(daily) == 153
+    assert min(daily) >= 1 - 1e-12 and max(daily) <= 3 + 1e-12 and len(daily) == 153
 
 
 def test_pchip_leaves_out_whole_entities(spark):

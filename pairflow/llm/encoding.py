@@ -1,23 +1,24 @@
-"""Whole-text token ids by the tokenizers library, with a bounded memo of the pieces that texts are cut into."""
+"""Whole-text token ids by the tokenizers library: each distinct piece of a batch is encoded once and remembered for a while."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers before it starts anew.
-MEMO = 400_000
-END = b"\0\0\0\0"
+#: Pieces that a worker remembers before it starts anew; a few hundred MB at most.
+MEMO = 1_200_000
+#: White space other than blanks and line feeds, by any rule that a tokenizer may follow.
+_ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit integers in bytes.
+    """Ids of texts as unsigned 32-bit integers.
 
-    Tokenizers cut a text into pieces before they merge, and pieces don't see each other. A cut in front of a
-    single blank between two characters that aren't white space is such a border for byte-level
-    vocabularies; any blank or line feed is one for vocabularies that drop white space. So each distinct piece is encoded once.
-    Texts with other white space take the same cuts by a pattern.
+    Tokenizers cut a text into pieces before they merge, and pieces don't see each other. For byte-level vocabularies there
+    is such a border in front of a single blank between two characters that aren't white space, and
+    around a single line feed between such; for vocabularies that drop white space at every blank and line feed. Texts
+    with any other white space are encoded whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -31,6 +32,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = not self._ids(" ")
+        self.mark = " 0 " if self.drops_space else "\n"
+        self.mark_id = self._ids(self.mark)[0]
         self.memo: dict[str, bytes] = {}
         self.limit = limit
 
@@ -44,30 +47,71 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def pieces(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if odd_space(text) or "  " in text or text[:1] == " " or text[-1:] == " " or " \n" in text or "\n " in text or "\n\n" in text:
-            return re.split(r"(?<=\S)(?= \S)", text)
-        parts = text.replace("\n", " \n").split(" ")
-        return [parts[0]] + [p if p[:1] == "\n" else " " + p for p in parts[1:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
+    def _raw(self, text: str) -> bytes:
+        return np.array(self._ids(text), np.uint32).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces that aren't known: many in one text, parted by a mark that is a piece of its own and in none of them."""
+        bare = self.mark.strip() or self.mark
+        plain = [p for p in pieces if p and bare not in p]
+        for p in pieces:
+            if not p or bare in p:
+                self.memo[p] = self._raw(p)
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) == len(some) - 1:
+                first = np.concatenate([[0], cuts + 1])
+                last = np.concatenate([cuts, [len(ids)]])
+                raw = ids.tobytes()
+                for p, x, y in zip(some, (4 * first).tolist(), (4 * last).tolist(), strict=True):
+                    self.memo[p] = raw[x:y]
+            else:
+                for p in some:
+                    self.memo[p] = self._raw(p)
+
+    def _of(self, pieces: list[str]) -> list[bytes]:
+        new = [p for p in dict.fromkeys(pieces) if p not in self.memo]
+        if new:
+            self._learn(new)
+        return [self.memo[p] for p in pieces]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (each followed by ``end``), and the texts' borders in them. Null texts are empty."""
         if len(self.memo) > self.limit:
             self.memo.clear()
-        memo = self.memo
-        new = list({p for c in cut for p in c if p not in memo})
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[p] for p in c]) for c in cut]
-
-
-_odd = re.compile(r"[^\S \n]")
-
-
-def odd_space(text: str) -> bool:
-    """Whether a text has white space other than blanks and line feeds."""
-    return any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0") or (not text.isascii() and _odd.search(text) is not None)
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        whole = np.zeros(n, bool)
+        if self.drops_space:
+            parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            odd = pc.match_substring_regex(texts, _ODD + r"|  | \n|\n |\n\n|^ | $|^\n|\n$")
+            whole = np.asarray(odd.to_numpy(zero_copy_only=False), bool)
+            parts = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        borders = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = coded.dictionary.to_pylist()
+        if self.drops_space:
+            known = self._of(values)
+        else:
+            known = self._of([v if v[:1] == "\n" else " " + v for v in values])
+            first = self._of([values[c] for c in codes[borders[:-1]].tolist()])  # no blank in front
+            codes[borders[:-1]] = len(known) + np.arange(n)
+            known = known + first
+            for i in np.flatnonzero(whole).tolist():
+                known[len(values) + i] = self._raw(texts[i].as_py())
+        if end is not None:  # a last piece for each text
+            codes = np.insert(codes, borders[1:], len(known))
+            borders = borders + np.arange(n + 1)
+            known.append(np.array([end], np.uint32).tobytes())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        taken = sizes[codes]
+        to = np.cumsum(taken) - taken
+        ids = flat[np.repeat(starts[codes] - to, taken) + np.arange(int(taken.sum()))]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        return ids, ends[borders]

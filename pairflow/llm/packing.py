@@ -12,11 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import unplaced, written
-from .encoding import END, Encoder
+from .encoding import Encoder
 
 SIZE = 2048
 #: Partners tried for a length when patterns of three are listed, and rounds of the least-squares fit.
 PARTNERS, FIT_ROUNDS = 16, 800
+#: Documents that are encoded at once.
+ROWS = 2048
 
 
 def patterns(counts: np.ndarray) -> list[tuple[int, ...]]:
@@ -133,18 +135,17 @@ def _cut(path: str, size: int):
 
         part, encoder, seen = TaskContext.get().partitionId(), Encoder.at(path), [0] * (size + 1)
         names = ("part", "ord", "doc_id", "piece", "start", "length", "ids_crc32")
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some, out = batch.slice(at, 256), []
-                ids_of = encoder.encode([t or "" for t in some.column("text").to_pylist()])
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), ids_of, strict=True):
-                    ids += END
-                    for piece, i in enumerate(range(0, len(ids), 4 * size)):
-                        own = ids[i : i + 4 * size]
-                        n = len(own) // 4
-                        out.append((part, seen[n], doc_id, piece, i // 4, n, zlib.crc32(own)))
+            for at in range(0, batch.num_rows, ROWS):
+                some, out = batch.slice(at, ROWS), []
+                ids, borders = encoder.encode(some.column("text"), end=0)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                    for piece, i in enumerate(range(a, b, size)):
+                        n = min(size, b - i)
+                        out.append((part, seen[n], doc_id, piece, i - a, n, zlib.crc32(raw[4 * i : 4 * (i + n)])))
                         seen[n] += 1
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
     return run

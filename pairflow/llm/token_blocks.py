@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import n_blocks, written
-from .encoding import END, Encoder
+from .encoding import Encoder
 
 BLOCK, SEGMENT, PERCENTILE = 128, 1 << 16, 90.0
 MAGIC = b"PFR1"
+#: Documents that are encoded at once.
+ROWS = 2048
 SCHEMA = "shard int, start long, n long, doc_id long, ord long, segment binary"
 
 
@@ -48,7 +51,7 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         part = off[at]
-        bits = ((part[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+        bits = np.unpackbits(part.astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, count=int(w), bitorder="little")
         packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little") if w else np.empty((len(at), 0), np.uint8)
         high = part >> np.uint32(w) if w < 32 else np.zeros_like(part)
         for i, k in enumerate(at):
@@ -77,7 +80,9 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
         at = np.flatnonzero(width == w)
         size = BLOCK * w // 8
         bits = np.unpackbits(raw[begins[at][:, None] + 6 + np.arange(size)], axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        out[at] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
+        wide = np.zeros((len(at), BLOCK, 32), np.uint8)
+        wide[:, :, :w] = bits
+        out[at] = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
     for i in np.flatnonzero(odd):
         at = begins[i] + 6 + BLOCK * width[i] // 8
         place = raw[at : at + odd[i]]
@@ -94,31 +99,32 @@ def _write_shard(path: str, percentile: float):
         from pyspark import TaskContext
 
         shard, encoder = TaskContext.get().partitionId(), Encoder.at(path)
-        place, done, order, held = 0, 0, 0, []
-        schema = pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("ord", pa.int64()), ("segment", pa.binary())])
+        place, done, order, held = 0, 0, 0, np.empty(0, np.uint32)
+        names = ("shard", "start", "n", "doc_id", "ord", "segment")
 
-        def rows(items):
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in items], schema)
+        def segments(flat):
+            nonlocal done
+            rows = [(done + i, min(SEGMENT, len(flat) - i), pack(flat[i : i + SEGMENT], percentile)) for i in range(0, len(flat), SEGMENT)]
+            done += len(flat)
+            k = len(rows)
+            cols = [pa.array([shard] * k, pa.int32()), *[pa.array([r[j] for r in rows], pa.int64()) for j in (0, 1)], pa.nulls(k, pa.int64()), pa.array([-1] * k, pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, list(names))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some, out = batch.slice(at, 256), []
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    n = len(ids) // 4 + 1
-                    out.append((shard, place, n, doc_id, order, None))
-                    place, order = place + n, order + 1
-                    held += [ids, END]
-                if place - done >= SEGMENT:
-                    flat = np.frombuffer(b"".join(held), "<u4")
-                    full = len(flat) // SEGMENT * SEGMENT
-                    for i in range(0, full, SEGMENT):
-                        out.append((shard, done, SEGMENT, None, -1, pack(flat[i : i + SEGMENT], percentile)))
-                        done += SEGMENT
-                    held = [flat[full:].tobytes()]
-                yield rows(out)
-        if place > done:
-            yield rows([(shard, done, place - done, None, -1, pack(np.frombuffer(b"".join(held), "<u4"), percentile))])
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                k = some.num_rows
+                ids, borders = encoder.encode(some.column("text"), end=0)
+                cols = [pa.array(np.full(k, shard, np.int32)), pa.array(place + borders[:-1]), pa.array(np.diff(borders)), some.column("doc_id"), pa.array(order + np.arange(k)), pa.nulls(k, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, list(names))
+                place, order = place + len(ids), order + k
+                held = np.concatenate([held, ids])
+                full = len(held) // SEGMENT * SEGMENT
+                if full:
+                    yield segments(held[:full])
+                    held = held[full:]
+        if len(held):
+            yield segments(held)
 
     return run
 
@@ -136,44 +142,42 @@ def write_blocks(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
 
 
 def _read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one or more shards by (shard, start, segments first): ids are cut into documents as they stream by."""
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ord", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    ids, begin, shard = np.empty(0, "<u4"), 0, None
-    waiting: list | None = None  # shard, doc_id, ord, start, n, ids read, crc
-    out: list[tuple] = []
-
-    def feed():
-        nonlocal waiting
-        at = waiting[3] + waiting[5] - begin
-        part = ids[at : at + waiting[4] - waiting[5]]
-        waiting[6] = zlib.crc32(part.astype("<u4").tobytes(), waiting[6])
-        waiting[5] += len(part)
-        if waiting[5] == waiting[4]:
-            out.append((*waiting[:5], waiting[6]))
-            waiting = None
-
+    """Rows of whole shards in the order written: documents' starts, then the segments that hold their ids."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["shard", "doc_id", "start", "n_tokens", "ids_crc32"]
+    waiting: deque[list] = deque()  # shard, doc_id, start, n, ids read, crc
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("shard", "start", "n", "doc_id", "ord", "segment")]
-        for of, start, n, doc_id, order, segment in zip(*cols, strict=True):
-            if segment is not None:
-                ids, begin, shard = unpack(segment), start, of
-                if waiting is not None:
-                    feed()
-            else:
-                if waiting is not None or of != shard:
-                    raise ValueError("the table of token blocks has a gap")
-                waiting = [of, doc_id, order, start, n, 0, 0]
-                feed()
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
         out = []
-    if waiting is not None:
+        cols = [batch.column(c).to_pylist() for c in ("shard", "start", "n", "doc_id", "segment")]
+        for shard, start, n, doc_id, segment in zip(*cols, strict=True):
+            if segment is None:
+                waiting.append([shard, doc_id, start, n, 0, 0])
+                continue
+            raw = memoryview(unpack(segment).astype("<u4").tobytes())
+            while waiting and waiting[0][2] < start + n:
+                doc = waiting[0]
+                at = doc[2] + doc[4] - start
+                if doc[0] != shard or at < 0:
+                    raise ValueError("the table of token blocks has a gap")
+                part = raw[4 * at : 4 * (at + doc[3] - doc[4])]
+                doc[5] = zlib.crc32(part, doc[5])
+                doc[4] += len(part) // 4
+                if doc[4] < doc[3]:
+                    break
+                out.append((doc[0], doc[1], doc[2], doc[3], doc[5]))
+                waiting.popleft()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+    if waiting:
         raise ValueError("the table of token blocks ends within a document")
 
 
 def read_blocks(table: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of each document, its ids decoded from the segments."""
-    rows = table.repartition("shard").sortWithinPartitions("shard", "start", "ord")
-    docs = rows.mapInArrow(_read_shard, "shard int, doc_id long, ord long, start long, n_tokens long, ids_crc32 long")
+    """``(doc_id, start, n_tokens, ids_crc32)`` of each document, its ids decoded from the segments.
+
+    ``table`` is what :func:`write_blocks` returns: a shard is one file with one row group, which one task reads in order.
+    """
+    docs = table.mapInArrow(_read_shard, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
     # a row for each shard: a few for each GB
     sizes = table.where("segment is null").groupBy("shard").agg(F.sum("n").alias("n"))
     base = sizes.select(F.col("shard").alias("_shard"), (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))

@@ -82,7 +82,7 @@ def _requests(buckets: int):
             if not found:
                 continue
             ids = np.fromiter(found, np.uint64, len(found))
-            keys = np.concatenate([signatures(list(found.values())[a : a + 4000], ids[a : a + 4000]) for a in range(0, len(ids), 4000)])
+            keys = np.concatenate([signatures(list(found.values())[a : a + 1000], ids[a : a + 1000]) for a in range(0, len(ids), 1000)])
             flat, own = keys.ravel(), np.repeat(ids, BANDS)
             order = np.lexsort((own, flat))
             flat, own = flat[order], own[order]
@@ -148,19 +148,20 @@ def _occurrences(packed: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
         told: set[int] = set()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32())
         for batch in batches:
             out = []
-            if len(told) > 1_000_000:
+            if len(told) > 200_000:
                 told.clear()
             for row, doc_id, t in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 for number, x in lines_of(t.as_py()):
                     i = line_id(x)
                     if bits[i % FILTER_BITS]:
-                        out.append((i, row, doc_id, number, None if i in told else x.decode("utf-8", "replace")))
+                        new = None if i in told else x.decode("utf-8", "replace")
+                        out.append((i, row, doc_id, number, new, None if new is None else len(shingles(new))))
                         told.add(i)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "row", "doc_id", "number", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "row", "doc_id", "number", "line", "n"])
 
     return run
 
@@ -184,8 +185,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     side = lambda c: lines.select(F.col("id").alias(f"_{c}"), F.col("line").alias(f"l{c}"))
     both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    low, high = F.least(F.length("la"), F.length("lb")), F.greatest(F.length("la"), F.length("lb"))
-    return both.where(low >= F.lit(0.5) * high - SHINGLE).select("a", "b", "la", "lb").mapInArrow(_checked, "a long, b long")
+    return both.select("a", "b", "la", "lb").mapInArrow(_checked, "a long, b long")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -194,21 +194,27 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     asked = docs.select("block", "text").mapInArrow(_requests(buckets), "bucket int, kind int, keys binary, ids binary")
     index = written(asked.groupBy("bucket").applyInArrow(_index, "key long, id long"), "line-index")
     bits = np.packbits(_filter_of(index)[:FILTER_BITS], bitorder="little").tobytes()
-    seen = docs.select("row", "doc_id", "text").mapInArrow(_occurrences(bits), "id long, row long, doc_id long, number int, line string")
+    seen = docs.select("row", "doc_id", "text").mapInArrow(_occurrences(bits), "id long, row long, doc_id long, number int, line string, n int")
     seen = written(seen, "line-occurrences")
     keyed = index.where("key is not null").distinct()
-    texts = seen.where("line is not null").groupBy("id").agg(F.first("line").alias("line"))
+    texts = seen.where("line is not null").groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     texts = texts.join(keyed.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
     texts = written(texts, "line-texts")
 
-    lead = keyed.groupBy("key").agg(F.min("id").alias("a")).select(unplaced(F.col("key"), "bigint").alias("_key"), "a")
-    star = written(keyed.join(lead, F.col("key") == F.col("_key")).where("id <> a").select("key", "a", F.col("id").alias("b")), "line-stars")
-    links = written(_verified(star.select("a", "b").distinct(), texts), "line-links")
+    sized = texts.select(F.col("id").alias("_id"), "n")
+    keyed = written(keyed.join(sized, F.col("id") == F.col("_id")).select("key", "id", "n"), "line-keys")
+    lead = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"))
+    lead = lead.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("l.id").alias("a"), F.col("l.n").alias("na"))
+    star = keyed.join(lead, F.col("key") == F.col("_key")).where("id <> a")
+    star = written(star.select("key", "a", "na", F.col("id").alias("b"), F.col("n").alias("nb")), "line-stars")
+    # sets of such sizes can't reach the similarity
+    near = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+    links = written(_verified(star.where(near("na", "nb")).select("a", "b").distinct(), texts), "line-links")
     # lines that their leader doesn't link meet all others under the key
     met = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    rest = star.join(met, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti").select("key", F.col("b").alias("r"), "a")
-    others = keyed.select(unplaced(F.col("key"), "bigint").alias("_key"), "id")
-    more = rest.join(others, (F.col("key") == F.col("_key")) & (F.col("id") != F.col("r")) & (F.col("id") != F.col("a")))
+    rest = star.join(met, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti").select("key", F.col("b").alias("r"), F.col("nb").alias("nr"), "a")
+    others = keyed.select(unplaced(F.col("key"), "bigint").alias("_key"), "id", "n")
+    more = rest.join(others, (F.col("key") == F.col("_key")) & (F.col("id") != F.col("r")) & (F.col("id") != F.col("a")) & near("nr", "n"))
     more = more.select(F.least("r", "id").alias("a"), F.greatest("r", "id").alias("b")).distinct()
     more = _verified(written(more, "line-second"), texts)
 

@@ -15,6 +15,8 @@ from .common import components, n_blocks, unplaced, written
 
 #: The first fragment holds the shingles whose key is below this share of the key space.
 FIRST = 0.25
+#: Fragments of the order by frequency: shingles of 2 to 3, 4 to 15, 16 to 255 and more classes.
+FRAGMENTS = (2, 4, 16, 256)
 _FIRST_TOP = np.uint64(int(FIRST * 2**64))
 
 
@@ -163,7 +165,7 @@ def jaccard_components(
 
     placed = rows.join(live.select(unplaced(F.col("id"), "bigint").alias("_id"), "u"), F.col("id") == F.col("_id")).drop("_id")
     placed = written(placed, "join-placed")
-    fragments = placed.groupBy("id", F.floor(F.log2("df")).cast("int").alias("fragment")).agg(F.collect_list("key").alias("keys"))
+    fragments = placed.groupBy("id", sum((F.col("df") >= low).cast("int") for low in FRAGMENTS).alias("fragment")).agg(F.collect_list("key").alias("keys"))
     fragments = written(fragments, "join-fragments")
     # unshared shingles come first in the order; a prefix is one longer than what a partner may miss
     rank = F.row_number().over(W.partitionBy("id").orderBy("df", "key"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,19 +93,40 @@ def _survivors(k: int, percent: int):
     return run
 
 
+def possible(na: str, la: str, nb: str, lb: str, percent: int) -> Column:
+    """Whether sets of these sizes may reach the similarity if they share at most ``la`` and ``lb`` shingles."""
+    na, la, nb, lb = (F.col(c) for c in (na, la, nb, lb))
+    most = F.least(la, lb)
+    return 100 * most >= percent * (na + nb - most)
+
+
 def star_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """For each key the pairs of its leader, the set with the fewest unshared members, with all others: ``(a, b, key)``."""
+    """The pairs ``(a, b)`` of each key's leader, the set with the fewest unshared members, with all others under it."""
     lead = index.groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("l"))
-    lead = lead.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.u").alias("ua"))
-    pairs = index.join(lead, F.col("key") == F.col("_key")).where("id <> a")
-    return pairs.select("key", "a", F.col("id").alias("b"), possible("na", "ua", "n", "u", percent).alias("possible"))
+    lead = lead.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("l.id").alias("a"), F.col("l.n").alias("na"), (F.col("l.n") - F.col("l.u")).alias("la"))
+    others = index.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("u")).alias("lb"))
+    pairs = others.join(lead, F.col("key") == F.col("_key")).where(F.col("a") != F.col("b"))
+    return pairs.where(possible("na", "la", "nb", "lb", percent)).select("a", "b").distinct()
 
 
-def possible(na: str, ua: str, nb: str, ub: str, percent: int):
-    """Whether sets of these sizes with these numbers of unshared members may reach the similarity."""
-    na, ua, nb, ub = (F.col(c) for c in (na, ua, nb, ub))
-    most = F.least(na - ua, nb - ub)
-    return 100 * most >= percent * (na + nb - most)
+def second_pairs(index: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that can still link two components of ``links``.
+
+    Of two components under a key one is not the key's largest, so only sets outside that one look for partners. A pair is
+    proposed where it may reach the similarity although it shares nothing before the key; its first common shingle always is
+    such a key, so no link is missed.
+    """
+    of = components(links).select(F.col("id").alias("_id"), "component")
+    placed = index.join(of, F.col("id") == F.col("_id"), "left").select("key", "id", "n", "left", F.coalesce("component", "id").alias("c"))
+    placed = written(placed, "join-placed")
+    counts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    most = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    most = most.select(unplaced(F.col("key"), "bigint").alias("_key"), "main")
+    rest = placed.join(most, F.col("key") == F.col("_key")).where("c <> main")
+    rest = rest.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("c").alias("ca"))
+    others = placed.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), "c")
+    pairs = rest.join(others, (F.col("key") == F.col("_key")) & (F.col("ca") != F.col("c")) & possible("na", "la", "nb", "lb", percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -132,8 +153,8 @@ def jaccard_components(
     2. Equal sets of the rest become one class each. Shingles that a single class holds are dropped from
        the order of the rest (rarest first), which is cut into fragments by frequency.
     3. Prefixes of that order propose pairs: first each prefix shingle's leader with all its classes, then
-       the classes that the leader does not link with everything under that shingle. Each pair's overlaps are counted
-       fragment by fragment and summed.
+       classes of different components so far, where their places in the order leave enough to share. Each pair's overlaps
+       are counted fragment by fragment and summed.
     4. Links spread to components, which all copies inherit.
 
     Null and empty texts have no shingles and no links; null ids get no component but themselves. Repeated ids share one result each
@@ -170,26 +191,13 @@ def jaccard_components(
     # unshared shingles come first in the order; a prefix is one longer than what a partner may miss
     rank = F.row_number().over(W.partitionBy("id").orderBy("df", "key"))
     longest = F.floor((100 - percent) * F.col("n") / 100) + 1 - F.col("u")
-    index = placed.withColumn("rank", rank).where(F.col("rank") <= longest).select("key", "id", "n", "u")
-    index = written(index, "join-index")
+    index = placed.withColumn("rank", rank).where(F.col("rank") <= longest)
+    # what two sets share from this shingle on is at most what either holds from here on
+    index = written(index.select("key", "id", "n", "u", (F.col("n") - F.col("u") - F.col("rank") + 1).alias("left")), "join-index")
 
     first = written(star_pairs(index, percent), "join-stars")
-    links = written(verified(first.where("possible").select("a", "b").distinct(), fragments, live, percent), "join-links")
-
-    # what its leader doesn't link meets everything under the shingle, if any partner there is small enough
-    met = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    rest = first.join(met, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti").select("key", F.col("b").alias("id"))
-    rest = rest.join(index.select(F.col("key").alias("_key"), F.col("id").alias("_id"), "n", "u"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("_id")))
-    least = index.groupBy("key").agg(F.min("n").alias("low")).select(unplaced(F.col("key"), "bigint").alias("_k"), "low")
-    rest = rest.join(least, F.col("key") == F.col("_k"))
-    small = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
-    rest = rest.where(100 * (F.col("n") - F.col("u")) >= percent * (small + F.col("u"))).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"))
-    others = index.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("id").alias("b"), "n", "u")
-    second = rest.join(others, (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & possible("na", "ua", "n", "u", percent))
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    done = links.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
-    second = second.join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-    more = verified(written(second, "join-second"), fragments, live, percent)
+    links = written(verified(first, fragments, live, percent), "join-links")
+    more = verified(written(second_pairs(index, links, percent), "join-second"), fragments, live, percent)
 
     of = components(links.union(more).union(copies)).select(F.col("id").alias("_id"), "component")
     out = near.select("doc_id", F.col("n").alias("n_shingles")).join(of, F.col("doc_id") == F.col("_id"), "left")

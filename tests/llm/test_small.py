@@ -1,6 +1,7 @@
 """Each corpus operator on small tables with nulls, empty and repeated rows, ties and clashing columns, against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -138,6 +139,31 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join_of_many_edits(spark, k, percent):
+    rng, known = random.Random(5), [f"w{i}" for i in range(300)]
+    texts = []
+    for size in (40, 70, 110):
+        base = [rng.choice(known) for _ in range(size)]
+        pool = [(rng.randrange(size), rng.choice([*known, None])) for _ in range(12)]
+        for _ in range(50):
+            copy = list(base)
+            for at, word in rng.sample(pool, rng.randrange(5)):
+                copy[at] = word
+            texts.append(" ".join(filter(None, copy)))
+    sets = [set(zip(*(w[i:] for i in range(k)), strict=False)) for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(rows, k=k, percent=percent).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_line_dedup(spark, docs):
     out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("clash")))
     got = {r.doc_id: r.text for r in out.where("doc_id not in (7)").collect()}

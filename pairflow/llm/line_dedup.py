@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks_of, got_keys, mix, sent_keys, slices, with_block
@@ -17,6 +17,9 @@ from .common import components, n_blocks, unplaced, written
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 16, 4, 0.8
 #: Bits of the filter that spares lines which can't matter from being read on; its size is fixed, it only gets less sharp.
 FILTER_BITS = 1 << 24
+#: Bits of a line's sketch, kept in integers of 64.
+SKETCH_BITS = 1024
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 
 
 def line_id(line: bytes) -> int:
@@ -28,12 +31,11 @@ def lines_of(text: bytes | None) -> list[tuple[int, bytes]]:
     return [(i, s) for i, x in enumerate(text.split(b"\n")) if (s := x.strip())] if text else []
 
 
-def signatures(lines: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """Keys of the bands of each line: one-permutation MinHash of its shingles, empty bins filled from the next full one."""
-    flat = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for x in lines]
+def shingle_hashes(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(line, hash)`` of each place of a shingle; a line shorter than a shingle has its id as the only one."""
+    flat = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines]
     sizes = np.array([len(x) for x in flat])
-    chars = np.concatenate(flat).astype(np.uint64)
-    chars = np.concatenate([chars, np.zeros(SHINGLE, np.uint64)])
+    chars = np.concatenate([*flat, np.zeros(SHINGLE, np.uint32)]).astype(np.uint64)
     n = len(chars) - SHINGLE
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -45,10 +47,30 @@ def signatures(lines: list[bytes], ids: np.ndarray) -> np.ndarray:
     short = np.flatnonzero(sizes < SHINGLE)
     first = ends[short] - sizes[short]
     h[first], inside[first] = ids[short], True
-    h = mix(h[inside], np.uint64(0x11AE))
+    return line[inside], mix(h[inside], np.uint64(0x11AE))
+
+
+def sketches(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the number of distinct shingles and a sketch: bits that are each the parity of the shingles dealt to it.
+
+    Two sketches differ in at most as many bits as there are shingles that only one of the lines holds.
+    """
+    line, h = shingle_hashes(lines, ids)
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
+    line, h = line[new], h[new]
+    bits = np.bincount(line * SKETCH_BITS + ((h >> np.uint64(40)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=len(lines) * SKETCH_BITS) & 1
+    packed = np.packbits(bits.astype(np.uint8).reshape(len(lines), SKETCH_BITS), axis=1)
+    return np.bincount(line, minlength=len(lines)), packed.view(np.int64)
+
+
+def signatures(lines: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """Keys of the bands of each line: one-permutation MinHash of its shingles, empty bins filled from the next full one."""
+    line, h = shingle_hashes([x.decode("utf-8", "replace") for x in lines], ids)
     bins = BANDS * ROWS
     sig = np.full((len(lines), bins), 0xFFFFFFFF, np.uint32)
-    np.minimum.at(sig.ravel(), line[inside] * bins + (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+    np.minimum.at(sig.ravel(), line * bins + (((h >> np.uint64(40)) * np.uint64(bins)) >> np.uint64(24)).astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
     odd = np.flatnonzero((sig == 0xFFFFFFFF).any(1))
     part = sig[odd]
     while len(part) and (empty := part == 0xFFFFFFFF).any():
@@ -143,25 +165,35 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _occurrences(packed: bytes):
-    """Lines that pass the filter: id, row, document, line number, and the text once for each line and task."""
+    """Lines that pass the filter: id, row, document, line number, and the text with its sketch once for each line and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
         told: set[int] = set()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
         for batch in batches:
-            out = []
+            out, new = [], []
             if len(told) > 200_000:
                 told.clear()
             for row, doc_id, t in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 for number, x in lines_of(t.as_py()):
                     i = line_id(x)
                     if bits[i % FILTER_BITS]:
-                        new = None if i in told else x.decode("utf-8", "replace")
-                        out.append((i, row, doc_id, number, new, None if new is None else len(shingles(new))))
-                        told.add(i)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "row", "doc_id", "number", "line", "n"])
+                        if i not in told:
+                            new.append(len(out))
+                            told.add(i)
+                            out.append((i, row, doc_id, number, x.decode("utf-8", "replace")))
+                        else:
+                            out.append((i, row, doc_id, number, None))
+            if not out:
+                continue
+            sizes, sketch = np.zeros(len(out), np.int32), np.zeros((len(out), len(SKETCH)), np.int64)
+            for a in range(0, len(new), 1000):
+                at = new[a : a + 1000]
+                sizes[at], sketch[at] = sketches([out[x][4] for x in at], np.array([out[x][0] for x in at], np.uint64))
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            cols += [pa.array(sizes)] + [pa.array(np.ascontiguousarray(sketch[:, b])) for b in range(len(SKETCH))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "doc_id", "number", "line", "n", *SKETCH])
 
     return run
 
@@ -188,35 +220,57 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("a", "b", "la", "lb").mapInArrow(_checked, "a long, b long")
 
 
+def star_pairs(keyed: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of each key's smallest line with all others under it of a size that can be near."""
+    lead = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l")).select(unplaced(F.col("key"), "bigint").alias("_key"), "l")
+    pairs = keyed.join(lead, (F.col("key") == F.col("_key")) & (F.col("id") != F.col("l.id")))
+    alike = F.least("n", "l.n") >= SIMILARITY * F.greatest("n", "l.n")
+    return pairs.where(alike).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def near(a: str, b: str) -> Column:
+    """Whether two lines may reach the similarity, by the sizes of their sets and the bits in which their sketches differ."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH)
+    # at a similarity s, the shingles that one line alone holds are at most (1 - s) / (1 + s) of both sizes
+    return (F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (differ * (1 + SIMILARITY) <= (na + nb) * (1 - SIMILARITY) + 1e-6)
+
+
+def second_pairs(keyed: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that can still link two components of ``links``: of two components under a key one is not the
+    key's largest, so only lines outside that one look for partners. Keys within one component are done."""
+    of = components(links).select(F.col("id").alias("_id"), "component")
+    placed = keyed.join(of, F.col("id") == F.col("_id"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    placed = written(placed, "line-placed")
+    counts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    most = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    most = most.select(unplaced(F.col("key"), "bigint").alias("_key"), "main")
+    open_ = placed.join(most, F.col("key") == F.col("_key")).select("key", "id", "c", (F.col("c") != F.col("main")).alias("rest"))
+    at = texts.select(F.col("id").alias("_id"), F.struct("id", "n", *SKETCH).alias("at"))
+    open_ = written(open_.join(at, F.col("id") == F.col("_id")).select("key", "c", "rest", "at"), "line-open")
+    rest = open_.where("rest").select("key", F.col("at").alias("x"), F.col("c").alias("cx"))
+    others = open_.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("at").alias("y"), F.col("c").alias("cy"))
+    pairs = rest.join(others, (F.col("key") == F.col("_key")) & (F.col("cx") != F.col("cy")) & near("x", "y"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(row, drop)``: line numbers to drop from each row of ``docs (row, doc_id, text, block)``."""
     buckets = n_blocks(docs, block_mb=8)
     asked = docs.select("block", "text").mapInArrow(_requests(buckets), "bucket int, kind int, keys binary, ids binary")
     index = written(asked.groupBy("bucket").applyInArrow(_index, "key long, id long"), "line-index")
     bits = np.packbits(_filter_of(index)[:FILTER_BITS], bitorder="little").tobytes()
-    seen = docs.select("row", "doc_id", "text").mapInArrow(_occurrences(bits), "id long, row long, doc_id long, number int, line string, n int")
-    seen = written(seen, "line-occurrences")
+    kinds = "id long, row long, doc_id long, number int, line string, n int, " + ", ".join(f"{s} long" for s in SKETCH)
+    seen = written(docs.select("row", "doc_id", "text").mapInArrow(_occurrences(bits), kinds), "line-occurrences")
     keyed = index.where("key is not null").distinct()
-    texts = seen.where("line is not null").groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    texts = seen.where("line is not null").groupBy("id").agg(F.first("line").alias("line"), F.first(F.struct("n", *SKETCH)).alias("at")).select("id", "line", "at.*")
     texts = texts.join(keyed.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
     texts = written(texts, "line-texts")
 
     sized = texts.select(F.col("id").alias("_id"), "n")
     keyed = written(keyed.join(sized, F.col("id") == F.col("_id")).select("key", "id", "n"), "line-keys")
-    lead = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"))
-    lead = lead.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("l.id").alias("a"), F.col("l.n").alias("na"))
-    star = keyed.join(lead, F.col("key") == F.col("_key")).where("id <> a")
-    star = written(star.select("key", "a", "na", F.col("id").alias("b"), F.col("n").alias("nb")), "line-stars")
-    # sets of such sizes can't reach the similarity
-    near = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y)
-    links = written(_verified(star.where(near("na", "nb")).select("a", "b").distinct(), texts), "line-links")
-    # lines that their leader doesn't link meet all others under the key
-    met = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    rest = star.join(met, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti").select("key", F.col("b").alias("r"), F.col("nb").alias("nr"), "a")
-    others = keyed.select(unplaced(F.col("key"), "bigint").alias("_key"), "id", "n")
-    more = rest.join(others, (F.col("key") == F.col("_key")) & (F.col("id") != F.col("r")) & (F.col("id") != F.col("a")) & near("nr", "n"))
-    more = more.select(F.least("r", "id").alias("a"), F.greatest("r", "id").alias("b")).distinct()
-    more = _verified(written(more, "line-second"), texts)
+    links = written(_verified(star_pairs(keyed), texts), "line-links")
+    more = _verified(written(second_pairs(keyed, links, texts), "line-second"), texts)
 
     of = components(links.union(more)).select(F.col("id").alias("_id"), "component")
     group = F.coalesce("component", "id")

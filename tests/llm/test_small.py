@@ -164,6 +164,17 @@ def test_jaccard_join_of_many_edits(spark, k, percent):
     assert got == dict(enumerate(root))
 
 
+def test_sketches_bound_the_difference():
+    rng = random.Random(3)
+    lines = sorted({"".join(rng.choice("abc dé") for _ in range(rng.randrange(1, 90))) for _ in range(120)})
+    sets = [line_dedup.shingles(x) for x in lines]
+    sizes, sketch = line_dedup.sketches(lines, np.arange(len(lines), dtype=np.uint64))
+    assert sizes.tolist() == [len(x) for x in sets]
+    for a in range(len(lines)):
+        for b in range(a):
+            assert np.unpackbits((sketch[a] ^ sketch[b]).view(np.uint8)).sum() <= len(sets[a] ^ sets[b])
+
+
 def test_line_dedup(spark, docs):
     out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("clash")))
     got = {r.doc_id: r.text for r in out.where("doc_id not in (7)").collect()}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import mix
+from .common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of 64 bits within this Hamming radius are candidates; radius + 1 bit blocks, so one block at least agrees.
@@ -61,9 +62,12 @@ def simhash_bits(s: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A bounded set of benchmark items with their weighted shingles and the index of their fingerprints."""
+    """A bounded set of benchmark items with their weighted shingles and the index of their fingerprints.
 
-    def __init__(self, items: list[tuple[int, str]], k: int = SHINGLE, radius: int = RADIUS):
+    ``shared`` has the keys in order and the holders of all shingles that two items or more of the whole benchmark hold.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], k: int = SHINGLE, radius: int = RADIUS):
         self.k, self.radius = k, radius
         keys = [(i, plain_keys((t or "").encode())) for i, t in items]
         keys = [(i, x) for i, x in keys if len(x)]
@@ -76,7 +80,7 @@ class Items:
                 holders[s].append(at)
         self.holders = dict(holders)
         # rarer shingles weigh more; a shingle that no item holds weighs as one that a single item holds
-        self.weight = {s: 1.0 / (1.0 + np.log(len(a))) for s, a in holders.items()}
+        self.shared, self.shared_weight = shared[0], 1.0 / (1.0 + np.log(shared[1]))
         self.bags = [self.bag(r) for r in runs]
         self.known = np.array(sorted(holders), np.uint64)
         self.seen = np.zeros(1 << 20, bool)
@@ -89,13 +93,16 @@ class Items:
                 self.index[self.size[at], *key].append(at)
 
     def weights(self, run: np.ndarray) -> np.ndarray:
-        return np.array([self.weight.get(s, 1.0) for s in run.tolist()], np.float32)
+        if not len(self.shared):
+            return np.ones(len(run))
+        at = np.minimum(np.searchsorted(self.shared, run), len(self.shared) - 1)
+        return np.where(self.shared[at] == run, self.shared_weight[at], 1.0)
 
     def bag(self, run: np.ndarray) -> dict[int, float]:
         """Shingles to weights, each as often as it occurs."""
         out: dict[int, float] = defaultdict(float)
-        for s in run.tolist():
-            out[s] += self.weight.get(s, 1.0)
+        for s, w in zip(run.tolist(), self.weights(run).tolist(), strict=True):
+            out[s] += w
         return out
 
     def fingerprint(self, run: np.ndarray) -> int:
@@ -152,34 +159,55 @@ def weighted_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def item_blocks(benchmark: DataFrame, text: str, item_id: str, mb: float = ITEMS_MB) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``mb`` MB of text, one after the other."""
+def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and holders of the shingles that two rows or more of ``items`` hold, counted over all of them.
+
+    Every block of items gets them all, as its windows also hold shingles of other blocks' items: 16 bytes for each shared shingle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("t").cast(pa.binary()):
+                own = np.unique(shingles(plain_keys(t.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["s"])
+
+    counts = items.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    got = written(counts, "shingle-holders").toArrow()
+    keys, n = got.column("s").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def item_blocks(benchmark: DataFrame, text: str, item_id: str, mb: float = ITEMS_MB) -> Iterator[tuple[list[tuple[int, str]], tuple[np.ndarray, np.ndarray]]]:
+    """The items in blocks of about ``mb`` MB of text, one after the other, each with the shared shingles of all blocks."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("t <> ''")
     n = int((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / (mb * 1e6)) + 1
+    shared = shared_shingles(items)
     for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()], shared
 
 
 def benchmark_matches(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", least: float = SIMILARITY
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",
+    least: float = SIMILARITY, items_mb: float = ITEMS_MB,
+) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)``: the best window of each row of ``docs`` for each item it matches.
 
     Windows have the item's number of words; case and punctuation don't count. Similarity is the weighted
     Jaccard of five-word shingles, as often as they occur; items and texts below five words are one shingle. Null and empty texts and items
-    match nothing; repeated rows match each.
+    match nothing; repeated rows match each. Weights count the holders over the whole benchmark, whatever the number of blocks.
     """
     out = None
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    for items in item_blocks(benchmark, item_text, item_id):
-        found = docs.mapInArrow(_matching(items, least), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+    for items, shared in item_blocks(benchmark, item_text, item_id, items_mb):
+        found = docs.mapInArrow(_matching(items, shared, least), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _matching(items: list[tuple[int, str]], least: float):
+def _matching(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items)
+        index = Items(items, shared)
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         for batch in batches:
             out = []
@@ -193,16 +221,16 @@ def _matching(items: list[tuple[int, str]], least: float):
     return run
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window matches a benchmark item; no shuffle."""
-    for items in item_blocks(benchmark, "text", "item_id"):
-        docs = docs.mapInArrow(_clean(items, text, least), docs.schema)
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, items_mb: float = ITEMS_MB) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window matches a benchmark item; no shuffle of ``docs``."""
+    for items, shared in item_blocks(benchmark, "text", "item_id", items_mb):
+        docs = docs.mapInArrow(_clean(items, shared, text, least), docs.schema)
     return docs
 
 
-def _clean(items: list[tuple[int, str]], text: str, least: float):
+def _clean(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], text: str, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items)
+        index = Items(items, shared)
         for batch in batches:
             keep = [not index.matches(plain_keys(t.as_py()), least) for t in batch.column(text).cast(pa.binary())]
             yield batch.filter(pa.array(keep, pa.bool_()))

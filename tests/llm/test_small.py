@@ -191,6 +191,25 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and left.count() == len(ROWS) - 3
 
 
+def test_decontamination_weights_do_not_depend_on_blocks(spark):
+    name = lambda tag, n: " ".join(f"{tag}q{j}" for j in range(n))
+    common = name("all", 24)  # 20 shingles that all 40 items hold
+    items = spark.createDataFrame([(i, f"{common} {name(f'own{i}', 13)}") for i in range(40)], "item_id long, text string").coalesce(1)
+    texts = [f"{common} {name(f'own{i}', 13 - cut)} {name(f'new{i}', cut)}" for i in range(40) for cut in (1, 2, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    light = 1 / (1 + math.log(40))
+    runs = [[tuple(w[j : j + 5]) for j in range(len(w) - 4)] for w in map(str.split, texts)]
+    own = [[tuple(w[j : j + 5]) for j in range(len(w) - 4)] for w in (r.text.split() for r in items.orderBy("item_id").collect())]
+    weigh = lambda x: sum(light if all(v.startswith("all") for v in s) else 1.0 for s in x)
+    brute = {(d, i): weigh(set(a) & set(b)) / weigh(set(a) | set(b)) for d, a in enumerate(runs) for i, b in enumerate(own)}
+    expected = {k: pytest.approx(v) for k, v in brute.items() if v >= 0.8}
+    whole = sum(len(r.text) for r in items.collect()) / 1e6
+    for mb in (2.0, whole / 7.5):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.benchmark_matches(docs, items, items_mb=mb).collect()}
+        assert got == expected and 0 < len(got) < len(texts)
+        assert decontamination.without_benchmark(docs, items, items_mb=mb).count() == len(texts) - len({d for d, _ in expected})
+
+
 def test_url_rules_and_aliases(spark):
     html = '<link href="https://b.example.net/x" rel="canonical">'
     rows = [(1, "https://A.example.net/en/p?q#f", None), (2, "http://b.example.net/x", None), (3, "https://site.info/a", html), (4, "ftp", ""), (5, None, None), (6, "http://www.site.info/a/?utm_source=z#t", ""),

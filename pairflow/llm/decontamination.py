@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity."""
+"""Benchmark decontamination: item-sized windows proposed by the rarest shingles of an item, exact weighted-shingle similarity."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ from .blocks import mix
 from .common import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints of 64 bits within this Hamming radius are candidates; radius + 1 bit blocks, so one block at least agrees.
-RADIUS = 15
+#: Room for rounding in the bounds, so that they rule out no match.
+ROOM = 1e-9
 #: Items whose texts come to tasks at once, in MB; a larger benchmark takes more passes over the documents.
 ITEMS_MB = 2.0
 
@@ -55,42 +55,37 @@ def shingles(keys: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out if n == k else mix(out, np.uint64(n))
 
 
-def simhash_bits(s: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each shingle and each of 64 bits."""
-    h = mix(s, np.uint64(0x51AB))
-    return ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1
-
-
 class Items:
-    """A bounded set of benchmark items with their weighted shingles and the index of their fingerprints.
+    """A bounded set of benchmark items with their weighted shingles and the index of their rarest ones.
 
+    A window as similar as ``least`` shares with an item shingles of at least ``least`` times the item's weight. So it holds one of the
+    item's rarest, enough of them that the others weigh less than that; only these are indexed, and no match is missed.
     ``shared`` has the keys in order and the holders of all shingles that two items or more of the whole benchmark hold.
     """
 
-    def __init__(self, items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], k: int = SHINGLE, radius: int = RADIUS):
-        self.k, self.radius = k, radius
+    def __init__(self, items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY, k: int = SHINGLE):
+        self.k, self.least = k, least
+        # rarer shingles weigh more; a shingle that no item holds weighs as one that a single item holds
+        self.shared, self.shared_weight = shared[0], 1.0 / (1.0 + np.log(shared[1]))
         keys = [(i, plain_keys((t or "").encode())) for i, t in items]
         keys = [(i, x) for i, x in keys if len(x)]
         self.ids = [i for i, _ in keys]
         self.size = [len(x) for _, x in keys]
         runs = [shingles(x, k) for _, x in keys]
-        holders = defaultdict(list)
-        for at, r in enumerate(runs):
-            for s in set(r.tolist()):
-                holders[s].append(at)
-        self.holders = dict(holders)
-        # rarer shingles weigh more; a shingle that no item holds weighs as one that a single item holds
-        self.shared, self.shared_weight = shared[0], 1.0 / (1.0 + np.log(shared[1]))
+        self.own = [np.unique(r) for r in runs]
         self.bags = [self.bag(r) for r in runs]
-        self.known = np.array(sorted(holders), np.uint64)
+        self.total = [sum(b.values()) for b in self.bags]
+        self.index = defaultdict(list)
+        for at, own in enumerate(self.own):
+            rest = self.total[at]
+            for s in own[np.argsort(-self.weights(own), kind="stable")].tolist():
+                if rest < least * self.total[at] * (1 - ROOM):
+                    break
+                self.index[s].append(at)
+                rest -= self.bags[at][s]
+        self.known = np.array(sorted(self.index), np.uint64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.prints = np.array([self.fingerprint(r) for r in runs], np.uint64)
-        self.index = defaultdict(list)
-        for at, p in enumerate(self.prints.tolist()):
-            for key in self.block_keys(p):
-                self.index[self.size[at], *key].append(at)
 
     def weights(self, run: np.ndarray) -> np.ndarray:
         if not len(self.shared):
@@ -105,53 +100,56 @@ class Items:
             out[s] += w
         return out
 
-    def fingerprint(self, run: np.ndarray) -> int:
-        sums = (simhash_bits(run) * self.weights(run)[:, None]).sum(0)
-        return int(np.packbits(sums > 0, bitorder="little").view("<u8")[0])
-
-    def block_keys(self, p: int):
-        return [(b, (p >> int(lo)) & ((1 << int(hi - lo)) - 1)) for b, (lo, hi) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
-
     def hits(self, run: np.ndarray) -> np.ndarray:
-        """Places of shingles that some item holds; a window without one has similarity 0 to every item."""
+        """Places of shingles that are among the rarest of an item; a window without one matches no item."""
         at = np.flatnonzero(self.seen[(run & np.uint64((1 << 20) - 1)).astype(np.int64)])
         return at[np.isin(run[at], self.known)] if len(at) else at
 
-    def matches(self, keys: np.ndarray, least: float) -> list[tuple[int, float, int]]:
+    def matches(self, keys: np.ndarray) -> list[tuple[int, float, int]]:
         """``(item, similarity, first word)`` of the best window for each item that a window matches."""
         run = shingles(keys, self.k)
         at = self.hits(run)
         if not len(at):
             return []
-        best: dict[int, tuple[float, int]] = {}
-        sizes = defaultdict(set)
+        places = defaultdict(list)
         for p, s in zip(at.tolist(), run[at].tolist(), strict=True):
-            for i in self.holders[s]:
-                sizes[self.size[i]].add(p)
-        for size, places in sorted(sizes.items()):
-            own = max(1, size - self.k + 1)
-            if len(keys) < self.k:
-                own, starts = 1, [0]
-            else:
-                last = max(0, len(run) - own)
-                starts = sorted({q for p in places for q in range(max(0, p - own + 1), min(p, last) + 1)})
-            for group in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > 1) + 1):
-                lo, hi = int(group[0]), min(len(run), int(group[-1]) + own)
-                part = run[lo:hi]
-                sums = np.concatenate([np.zeros((1, 64), np.float32), np.cumsum(simhash_bits(part) * self.weights(part)[:, None], 0, dtype=np.float64)])
-                ends = np.minimum(group - lo + own, len(part))
-                prints = np.packbits(sums[ends] - sums[group - lo] > 1e-6, axis=1, bitorder="little").view("<u8")[:, 0]
-                for start, p in zip(group.tolist(), prints.tolist(), strict=True):
-                    near = {i for key in self.block_keys(p) for i in self.index.get((size, *key), ())}
-                    bag = None
-                    for i in near:
-                        if (int(self.prints[i]) ^ p).bit_count() > self.radius:
-                            continue
-                        bag = bag or self.bag(run[start : start + own])
-                        sim = weighted_jaccard(bag, self.bags[i])
-                        if sim >= least and sim > best.get(i, (0.0, 0))[0]:
-                            best[i] = (sim, start)
-        return [(i, sim, start) for i, (sim, start) in sorted(best.items())]
+            for i in self.index[s]:
+                places[i].append(p)
+        weights = self.weights(run)
+        out = []
+        for i, held in sorted(places.items()):
+            own = max(1, self.size[i] - self.k + 1)
+            last = max(0, len(run) - own)
+            best, start = 0.0, None
+            for lo, hi in _ranges(held, own, last):
+                part, w = run[lo : hi + own], weights[lo : hi + own]
+                starts = np.arange(hi - lo + 1)
+                ends = np.minimum(starts + own, len(part))
+                sums = np.concatenate([[0.0], np.cumsum(w)])
+                both = np.concatenate([[0.0], np.cumsum(np.where(np.isin(part, self.own[i]), w, 0.0))])
+                both = both[ends] - both[starts]  # at least what they share, as repeats count in full
+                bound = both / np.maximum(sums[ends] - sums[starts] + self.total[i] - both, ROOM)
+                for q in np.flatnonzero(bound >= self.least - ROOM).tolist():
+                    if bound[q] < best - ROOM:
+                        continue
+                    sim = weighted_jaccard(self.bag(part[q : q + own]), self.bags[i])
+                    if sim >= self.least and sim > best:
+                        best, start = sim, lo + q
+            if start is not None:
+                out.append((i, best, start))
+        return out
+
+
+def _ranges(places: list[int], own: int, last: int) -> Iterator[tuple[int, int]]:
+    """First and last starts, both up to ``last``, of the windows of ``own`` shingles over one of the ascending places."""
+    lo = hi = None
+    for p in places:
+        a, b = min(max(0, p - own + 1), last), min(p, last)
+        if hi is not None and a > hi + 1:
+            yield lo, hi
+            lo = None
+        lo, hi = a if lo is None else lo, b
+    yield lo, hi
 
 
 def weighted_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
@@ -207,12 +205,12 @@ def benchmark_matches(
 
 def _matching(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items, shared)
+        index = Items(items, shared, least)
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         for batch in batches:
             out = []
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                for i, sim, start in index.matches(plain_keys(t.as_py()), least):
+                for i, sim, start in index.matches(plain_keys(t.as_py())):
                     out.append((doc_id, index.ids[i], sim, start, index.size[i]))
             if out:
                 cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -230,9 +228,9 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def _clean(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], text: str, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items, shared)
+        index = Items(items, shared, least)
         for batch in batches:
-            keep = [not index.matches(plain_keys(t.as_py()), least) for t in batch.column(text).cast(pa.binary())]
+            keep = [not index.matches(plain_keys(t.as_py())) for t in batch.column(text).cast(pa.binary())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

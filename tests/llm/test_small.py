@@ -210,6 +210,42 @@ def test_decontamination_weights_do_not_depend_on_blocks(spark):
         assert decontamination.without_benchmark(docs, items, items_mb=mb).count() == len(texts) - len({d for d, _ in expected})
 
 
+def test_decontamination_misses_no_edited_passage(spark):
+    rng = random.Random(5)
+    passages = [[f"p{i}w{rng.randrange(10**6)}" for _ in range(59)] for i in range(100)]
+    docs = []
+    for d in range(600):
+        own = list(passages[d % 100])
+        at = rng.randrange(5, 50)
+        own[at : at + 2] = [f"new{d}a", f"new{d}b"]  # 49 of 61 shingles stay: 0.803
+        docs.append((d, " ".join([f"d{d}b{j}" for j in range(d % 7)] + own + [f"d{d}e{j}" for j in range(d % 5)])))
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string")
+    got = decontamination.benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == {(d, d % 100): (pytest.approx(49 / 61), d % 7) for d in range(600)}
+
+
+def test_decontamination_equals_brute_force_with_repeats(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice("abc") * rng.randrange(1, 3) for _ in range(rng.randrange(5, 16)))) for i in range(30)]
+    docs = [(d, " ".join(rng.choice("abc") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 12))) + " " + rng.choice(items)[1]) for d in range(60)]
+    runs = lambda w: [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+    held = Counter(s for _, t in items for s in set(runs(t.split())))
+    weigh = lambda c: sum(n / (1 + math.log(max(1, held[s]))) for s, n in c.items())
+    expected = {}
+    for d, text in docs:
+        own = runs(text.split())
+        for i, t in items:
+            b = Counter(runs(t.split()))
+            n = sum(b.values())
+            windows = [Counter(own[j : j + n]) for j in range(max(1, len(own) - n + 1))]
+            best = max(weigh(a & b) / weigh(a | b) for a in windows)
+            if best >= 0.8 - 1e-9:
+                expected[d, i] = pytest.approx(best)
+    for mb in (2.0, 1e-4):
+        got = decontamination.benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), items_mb=mb)
+        assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == expected and len(expected) >= 60
+
+
 def test_url_rules_and_aliases(spark):
     html = '<link href="https://b.example.net/x" rel="canonical">'
     rows = [(1, "https://A.example.net/en/p?q#f", None), (2, "http://b.example.net/x", None), (3, "https://site.info/a", html), (4, "ftp", ""), (5, None, None), (6, "http://www.site.info/a/?utm_source=z#t", ""),

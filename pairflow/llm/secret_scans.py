@@ -20,9 +20,16 @@ WEAK = (
     ("key", r"[A-Za-z0-9+/_-]{32,}", 32, 128, 0),
     ("endpoint", r"""(?i)(https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|ssh)://[A-Za-z0-9._:@/?&=%-]+""", 10, None, 0),
 )
-ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
+#: Weak secrets of other lengths, which the SQL doesn't tell: assigned values too short for ``assign``, mixed runs too short or too long for ``key``.
+MORE = (
+    ("short", BASE[0][1], 1, BASE[0][2] - 1, 2),
+    ("mixed", r"[A-Za-z0-9+/_-]{12,}", 12, 31, 0),
+    ("long", r"[A-Za-z0-9+/_-]{129,}", 129, None, 0),
+)
+ALL = (*BASE, *WEAK, *MORE)
+ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "short": "secret", "mixed": "secret", "long": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
 SCOPE = 256
-KINDS = [k[0] for k in (*BASE, *WEAK)]
+KINDS = [k[0] for k in ALL]
 
 
 def _counts(kind: str, least: int, most: int | None):
@@ -32,7 +39,7 @@ def _counts(kind: str, least: int, most: int | None):
         ok = F.length(s) >= least
         if most is not None:
             ok = ok & (F.length(s) <= most)
-        if kind == "key":
+        if kind in ("key", "mixed", "long"):
             ok = ok & s.rlike("[a-z]") & s.rlike("[A-Z]") & s.rlike("[0-9]")
         return ok
 
@@ -42,7 +49,7 @@ def _counts(kind: str, least: int, most: int | None):
 def _parts(text):
     """Per kind with matches: (kind number, gaps between matches, lengths of matches, whether each counts)."""
     out = []
-    for number, (kind, pattern, least, most, group) in enumerate((*BASE, *WEAK)):
+    for number, (kind, pattern, least, most, group) in enumerate(ALL):
         found = F.regexp_extract_all(text, F.lit(pattern), 0)
         checked = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
         ok = F.transform(checked, _counts(kind, least, most))
@@ -60,7 +67,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sc
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` for every row of ``docs``.
 
     Spans are ``kind:start:end`` in code points, end exclusive. Base kinds always count. The weak kinds
-    are linked by an interval join within the document: a weak key needs an identifier, a weak
+    are linked by an interval join within the document: a weak secret (a short assigned value, a mixed run of 12 characters or more)
+    needs an identifier, a weak
     identifier a secret, and an endpoint both, at most ``scope`` code points from start to start (two
     running extremes over the parts in order, so the work is linear in the parts of a document). Null
     and empty texts have no spans; repeated rows each get their result; other columns aren't carried.
@@ -79,6 +87,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sc
     found = found.withColumn("role", role)
     before = W.partitionBy("doc_id", "h").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
     after = W.partitionBy("doc_id", "h").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, 0)
+    # a mixed or long run within an assigned value, an access id or an identifier is that part and no complement of it
+    cover = F.max(F.when(F.col("kind").isin([KINDS.index(k) for k in ("assign", "access", "ident")]), F.col("end"))).over(before)
+    runs = F.col("kind").isin([KINDS.index(k) for k in ("mixed", "long")])
+    found = found.withColumn("cover", cover).where(~runs | F.coalesce(F.col("cover") <= F.col("start"), F.lit(True))).drop("cover")
     near = {}
     for r in ("secret", "ident"):
         at = F.when(F.col("role") == r, F.col("start"))
@@ -124,7 +136,7 @@ def _sql() -> str:
             f" FROM d WHERE regexp_matches(t, {p}))"
         )
         each[-1] = f"SELECT r, kind, i, length(m) AS len, length(g) AS gap, {length} AS ok FROM ({each[-1]})"
-    names = "[" + ", ".join(quoted(k) for k in KINDS) + "]"
+    names = "[" + ", ".join(quoted(k[0]) for k in (*BASE, *WEAK)) + "]"
     near = lambda role: f"""EXISTS (SELECT 1 FROM f y WHERE y.r = x.r AND y.role = '{role}' AND abs(y.s - x.s) <= {SCOPE})"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

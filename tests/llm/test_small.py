@@ -261,6 +261,21 @@ def test_secrets(spark):
     assert got[1].spans == "" and got[2].spans == "ident:0:17,key:18:54" and got[3].spans == got[4].spans == ""
 
 
+def test_secrets_of_other_lengths_need_complements(spark):
+    texts = [
+        "username: appuser, password: hunter2, postgres://db.example.org/app", "password: hunter2, postgres://db.example.org/app",
+        "AKIA12345678901234 " + "aB3" * 50, "login: bob99 " + "aB3" * 4 + ".", "aB3" * 4 + " " + "aB3" * 50, "login: bob99 " + "ab3" * 4, "username: JohnSmith1234",
+        "username: appuser, password: hunter2hunt, token: hunter2hunte", "username: appuser" + " " * 300 + "password: hunter2",
+        "username: " + "aB3" * 50, "login: bob99 " + "aB3" * 43 + " " + "aB3" * 42,
+    ]
+    got = secret_scans.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.spans for r in got] == [
+        "ident:0:17,short:19:36,endpoint:38:67", "", "access:0:18,long:19:169", "ident:0:12,mixed:13:25", "", "", "",
+        "ident:0:17,short:19:40,assign:42:61", "", "", "ident:0:12,long:13:142,key:143:269",
+    ]
+    assert len({r.base_sha256 for r in got}) == 3
+
+
 def test_quality_statistics(spark):
     texts = ["a b c a b c", "x " * 60, "l1 w\n\nl1 w\n$ # l2", None, "", " ".join(WORDS[:60])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")})

@@ -1,11 +1,14 @@
-"""Link networks (each link has at most one link below) by pointer doubling: log2(depth) self-joins, tables never larger than the links."""
+"""Link networks (each link has at most one link below) by pointer doubling: at most log2(depth) self-joins, tables never larger than the links."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.plans.tables import checkpointed
+from pairflow.plans.tables import kept
 
 
 def edges(links: DataFrame, link: str = "link", below: str = "below") -> DataFrame:
@@ -13,14 +16,22 @@ def edges(links: DataFrame, link: str = "link", below: str = "below") -> DataFra
     return links.where((F.col(below) > 0) & (F.col(link) > 0)).select(F.col(link).cast("bigint").alias("src"), F.col(below).cast("bigint").alias("dst")).distinct()
 
 
-def _doubling(state: DataFrame, merged: dict, rounds: int) -> DataFrame:
-    """``state(node, nxt, ...)``: each round joins a row with that of its ``nxt`` (columns ``b_*``), merges them and jumps twice as far."""
+def _doubling(state: DataFrame, merged: dict, rounds: int, steady: tuple[str, ...]) -> DataFrame:
+    """``state(node, nxt, ...)``: each round joins a row with that of its ``nxt`` (columns ``b_*``), merges them and jumps twice as far.
+
+    Ends when no row goes on, or when a round has changed none of the ``steady`` columns: they are merged by rules that absorb what they
+    already hold, so a round without change is followed by none with one. Cycles, which always go on, end that way.
+    """
     for _ in range(rounds):
         names = [c for c in state.columns if c != "node"]
         far = state.select(F.col("node").alias("b_node"), *[F.col(c).alias(f"b_{c}") for c in names])
         out = state.join(far, F.col("nxt") == F.col("b_node"), "left")
-        state = checkpointed(out.select("node", F.col("b_nxt").alias("nxt"), *[e.alias(c) for c, e in merged.items()]))
-        if state.where("nxt is not null").isEmpty():
+        same = [F.col(c).eqNullSafe(merged[c]) for c in steady]
+        moved = ~reduce(and_, same)
+        out = kept(out.select("node", F.col("b_nxt").alias("nxt"), *[e.alias(c) for c, e in merged.items()], moved.alias("_moved")))
+        goes_on, moves = out.agg(F.max(F.col("nxt").isNotNull()), F.max("_moved")).first()
+        state = out.drop("_moved")
+        if not (goes_on and moves):
             break
     return state
 
@@ -36,8 +47,8 @@ def terminal_groups(gages: DataFrame, net: DataFrame, remove: DataFrame | None =
     """
     own = gages.groupBy("link").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     state = _nodes(net, gages.select(F.col("link").alias("src"))).join(net, F.col("node") == F.col("src"), "left").join(own, F.col("node") == F.col("link"), "left")
-    state = checkpointed(state.select("node", F.col("dst").alias("nxt"), "lo", "hi"))
-    state = _doubling(state, {"lo": F.least("lo", "b_lo"), "hi": F.greatest("hi", "b_hi")}, rounds)
+    state = kept(state.select("node", F.col("dst").alias("nxt"), "lo", "hi"))
+    state = _doubling(state, {"lo": F.least("lo", "b_lo"), "hi": F.greatest("hi", "b_hi")}, rounds, ("lo", "hi"))
     reach = state.select("node", "lo", "hi")
     out = gages.join(reach, F.col("link") == F.col("node")).where((F.col("lo") == F.col("id")) & (F.col("hi") == F.col("id"))).select(*gages.columns)
     if remove is not None:
@@ -53,7 +64,7 @@ def first_gage_below(gages: DataFrame, net: DataFrame, most: int = 100) -> DataF
     state = _nodes(net, gages.select(F.col("link").alias("src"))).join(net, F.col("node") == F.col("src"), "left").join(own, F.col("node") == F.col("link"), "left")
     state = state.select("node", F.col("dst").alias("nxt"), "gage", F.when(F.col("gage").isNotNull(), 0).alias("depth"), F.lit(1).alias("step"))
     merged = {"gage": F.coalesce("gage", "b_gage"), "depth": F.coalesce("depth", F.col("b_depth") + F.col("step")), "step": F.col("step") + F.coalesce("b_step", F.lit(0))}
-    state = _doubling(checkpointed(state), merged, max(1, (most - 1).bit_length()))
+    state = _doubling(kept(state), merged, max(1, (most - 1).bit_length()), ("gage",))
     return state.where(F.col("depth") < most).select(F.col("node").alias("link"), "gage", "depth")
 
 
@@ -62,16 +73,16 @@ def upstream_links(terminals: DataFrame, net: DataFrame, name: str | None = None
     label = F.coalesce(F.col(name).cast("string"), F.concat(F.lit("Gage "), F.col("id"))) if name else F.concat(F.lit("Gage "), F.col("id"))
     at = terminals.select(F.col("link").alias("t")).distinct()
     state = _nodes(net, at).join(net, F.col("node") == F.col("src"), "left").join(at, F.col("node") == F.col("t"), "left")
-    state = checkpointed(state.select("node", F.col("dst").alias("nxt"), F.col("t").alias("hit")))
-    found = _doubling(state, {"hit": F.coalesce("hit", "b_hit")}, rounds).where("hit is not null").select("node", "hit")
+    state = kept(state.select("node", F.col("dst").alias("nxt"), F.col("t").alias("hit")))
+    found = _doubling(state, {"hit": F.coalesce("hit", "b_hit")}, rounds, ("hit",)).where("hit is not null").select("node", "hit")
     below = net.join(found, F.col("dst") == F.col("node")).join(at, F.col("src") == F.col("t")).select(F.col("src").alias("t"), F.col("hit").alias("h"))
-    total = level = checkpointed(found)
+    total = level = kept(found)
     while True:  # terminals that lie above others, a level of nesting each
         level = level.join(below, F.col("hit") == F.col("t")).select("node", F.col("h").alias("hit")).join(total, ["node", "hit"], "left_anti").distinct()
-        level = checkpointed(level)
+        level = kept(level)
         if level.isEmpty():
             break
-        total = checkpointed(total.union(level))
+        total = kept(total.union(level))
     return terminals.join(total, F.col("link") == F.col("hit")).select(F.col("id").alias("gage"), label.alias("gage_name"), F.col("link").alias("terminal_link"), F.col("node").alias("upstream_link"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.plans.tables import checkpointed
+from pairflow.plans.tables import kept
 
 # The WGS 84 ellipsoid.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -94,17 +94,17 @@ def nearest_line(points: DataFrame, lines: DataFrame, cell: float, point_id: str
     Each round looks at the cells around a point; a hit no farther than a cell is certain, the other points go on with
     cells twice as wide. Points without any line in reach of the last round stay out.
     """
-    pieces = checkpointed(segments(lines, line_id, vertices))
-    left, found = checkpointed(points.select(point_id, "x", "y")), None
+    pieces = kept(segments(lines, line_id, vertices))
+    left, found = kept(points.select(point_id, "x", "y")), None
     for _ in range(rounds):
         box = (F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2"))
         there = pieces.withColumn("_c", F.explode(_cells(*box, cell)))
         around = left.withColumn("_p", F.explode(_cells(F.col("x") - cell, F.col("x") + cell, F.col("y") - cell, F.col("y") + cell, cell)))
         near = around.join(there, F.col("_p") == F.col("_c"))
         best = near.groupBy(point_id).agg(F.min(F.struct(segment_distance(F.col("x"), F.col("y")).alias("distance"), F.col(line_id).alias("line_id"))).alias("b"))
-        sure = checkpointed(best.where(F.col("b.distance") <= cell).select(point_id, F.col("b.line_id").alias(line_id), F.col("b.distance").alias("distance")))
+        sure = kept(best.where(F.col("b.distance") <= cell).select(point_id, F.col("b.line_id").alias(line_id), F.col("b.distance").alias("distance")))
         found = sure if found is None else found.union(sure)
-        left = checkpointed(left.join(sure, point_id, "left_anti"))
+        left = kept(left.join(sure, point_id, "left_anti"))
         if left.isEmpty():
             break
         cell *= 2

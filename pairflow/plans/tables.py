@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder of our own is named only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.applicationId not in _own:
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset in local mode, a folder of our own. A cluster without it is an error: executors don't share disks."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _own:
         _own[sc.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(_own[sc.applicationId])
-    return df.checkpoint()
+    return _own[sc.applicationId]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back: lineage ends, and file sizes replace the plan's estimates,
+    which a checkpoint would carry on (in a loop of self-joins they double their digits each round)."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Store:

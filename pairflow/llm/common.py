@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairflow.plans.tables import shared_folder
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; one of our own where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(_own_folder[app])
-    return _own_folder[app]
-
-
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends, executors may go."""
     spark = df.sparkSession
@@ -42,8 +28,12 @@ def words(text: Column) -> Column:
 
 
 def n_blocks(docs: DataFrame, text: str = "text", block_mb: float = 16.0) -> int:
-    """How many blocks of about ``block_mb`` MB of text the documents fill (at least 4)."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    """How many blocks of about ``block_mb`` MB of text the documents fill (at least 4), by the size of the files they are read from
+    (text takes about twice its compressed size); frames that aren't read from files are summed."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = 2 * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size > 1e17:  # Spark's way of saying that it doesn't know
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(4, int(size / (block_mb * 1e6)) + 1)
 
 

@@ -35,6 +35,7 @@ class Encoder:
         self.mark = " 0 " if self.drops_space else "\n"
         self.mark_id = self._ids(self.mark)[0]
         self.memo: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
         self.limit = limit
 
     @classmethod
@@ -50,37 +51,37 @@ class Encoder:
     def _raw(self, text: str) -> bytes:
         return np.array(self._ids(text), np.uint32).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces that aren't known: many in one text, parted by a mark that is a piece of its own and in none of them."""
+    def _learnt(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: many in one text, parted by a mark that is a piece of its own and in none of them."""
         bare = self.mark.strip() or self.mark
-        plain = [p for p in pieces if p and bare not in p]
-        for p in pieces:
-            if not p or bare in p:
-                self.memo[p] = self._raw(p)
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 2000):
+            some = pieces[i : i + 2000]
+            plain = [p for p in some if p and bare not in p]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids, np.uint32) if plain else np.empty(0, np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) == len(some) - 1:
-                first = np.concatenate([[0], cuts + 1])
-                last = np.concatenate([cuts, [len(ids)]])
-                raw = ids.tobytes()
-                for p, x, y in zip(some, (4 * first).tolist(), (4 * last).tolist(), strict=True):
-                    self.memo[p] = raw[x:y]
-            else:
-                for p in some:
-                    self.memo[p] = self._raw(p)
-
-    def _of(self, pieces: list[str]) -> list[bytes]:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.memo]
+            if plain and len(cuts) != len(plain) - 1:
+                out += map(self._raw, some)
+                continue
+            raw = ids.tobytes()
+            parts = iter(map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])))
+            out += [next(parts) if p and bare not in p else self._raw(p) for p in some]
+        return out
+
+    def _of(self, pieces: list[str], blank: str = "") -> list[bytes]:
+        """Ids of pieces, each of which stands after ``blank`` (but for those that begin with a line feed)."""
+        memo = self.memo if blank else self.first
+        new = [p for p in dict.fromkeys(pieces) if p not in memo]
         if new:
-            self._learn(new)
-        return [self.memo[p] for p in pieces]
+            full = [p if p[:1] == "\n" else blank + p for p in new] if blank else new
+            memo.update(zip(new, self._learnt(full), strict=True))
+        return list(map(memo.__getitem__, pieces))
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (each followed by ``end``), and the texts' borders in them. Null texts are empty."""
-        if len(self.memo) > self.limit:
+        if len(self.memo) + len(self.first) > self.limit:
             self.memo.clear()
+            self.first.clear()
         texts = pc.fill_null(texts, "")
         n = len(texts)
         whole = np.zeros(n, bool)
@@ -93,11 +94,11 @@ class Encoder:
         borders = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        values = coded.dictionary.to_pylist()
+        values = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.drops_space:
             known = self._of(values)
         else:
-            known = self._of([v if v[:1] == "\n" else " " + v for v in values])
+            known = self._of(values, " ")
             first = self._of([values[c] for c in codes[borders[:-1]].tolist()])  # no blank in front
             codes[borders[:-1]] = len(known) + np.arange(n)
             known = known + first

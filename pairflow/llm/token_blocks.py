@@ -34,31 +34,48 @@ ROWS = 2048
 SCHEMA = "shard int, start long, n long, doc_id long, ord long, segment binary"
 
 
+def _bytes_of(values: np.ndarray) -> np.ndarray:
+    """The little-endian bytes of unsigned 32-bit integers, a row each."""
+    return np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i], starts[i] + 1, ...``, ``sizes[i]`` of them for each i."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One segment's bytes. The blocks of one width are packed together."""
     n = len(ids)
     blocks = -(-n // BLOCK)
+    if not n:
+        return MAGIC + struct.pack("<II", 0, 0)
     full = np.empty(blocks * BLOCK, np.uint32)
-    full[:n] = ids
-    if n:
-        full[n:] = ids[-1]
+    full[:n], full[n:] = ids, ids[-1]
     full = full.reshape(blocks, BLOCK)
-    low = full.min(1) if n else np.empty(0, np.uint32)
+    low = full.min(1)
     off = full - low[:, None]
     rank = min(BLOCK - 1, max(0, int(np.ceil(percentile / 100 * BLOCK)) - 1))
-    width = np.ceil(np.log2(np.sort(off, 1)[:, rank].astype(np.float64) + 1)).astype(np.int64) if n else np.empty(0, np.int64)
-    body: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    width = np.ceil(np.log2(np.partition(off, rank, 1)[:, rank].astype(np.float64) + 1)).astype(np.int64)
+    high = off >> np.minimum(width, 31).astype(np.uint32)[:, None]
+    high[width == 32] = 0
+    block, place = np.nonzero(high)
+    odd = np.bincount(block, minlength=blocks)
+    ends = np.cumsum(6 + BLOCK * width // 8 + 5 * odd)
+    begins = np.concatenate([[0], ends[:-1]])
+    body = np.empty(int(ends[-1]), np.uint8)
+    body[begins[:, None] + np.arange(4)] = _bytes_of(low)
+    body[begins + 4], body[begins + 5] = width, odd
+    for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        part = off[at]
-        bits = np.unpackbits(part.astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, count=int(w), bitorder="little")
-        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little") if w else np.empty((len(at), 0), np.uint8)
-        high = part >> np.uint32(w) if w < 32 else np.zeros_like(part)
-        for i, k in enumerate(at):
-            place = np.flatnonzero(high[i])
-            body[k] = struct.pack("<IBB", low[k], w, len(place)) + packed[i].tobytes() + place.astype(np.uint8).tobytes() + high[i][place].astype("<u4").tobytes()
-    ends = np.cumsum([len(b) for b in body], dtype=np.int64).astype("<u4")
-    return MAGIC + struct.pack("<II", n, blocks) + ends.tobytes() + b"".join(body)
+        bits = np.unpackbits(_bytes_of(off[at]).reshape(len(at), BLOCK, 4), axis=2, count=w, bitorder="little")
+        packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+        body[(begins[at] + 6)[:, None] + np.arange(BLOCK * w // 8)] = packed
+    tail = begins + 6 + BLOCK * width // 8
+    body[_runs(tail, odd)] = place
+    body[_runs(tail + odd, 4 * odd)] = _bytes_of(high[block, place]).ravel()
+    return MAGIC + struct.pack("<II", n, blocks) + ends.astype("<u4").tobytes() + body.tobytes()
 
 
 def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -75,19 +92,25 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
         return np.empty(0, np.uint32)
     low = raw[begins[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
     width, odd = raw[begins + 4].astype(np.int64), raw[begins + 5].astype(np.int64)
-    out = np.empty((len(begins), BLOCK), np.uint32)
-    for w in np.unique(width):
+    out = np.zeros((len(begins), BLOCK), np.uint32)
+    for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        size = BLOCK * w // 8
-        bits = np.unpackbits(raw[begins[at][:, None] + 6 + np.arange(size)], axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        wide = np.zeros((len(at), BLOCK, 32), np.uint8)
-        wide[:, :, :w] = bits
-        out[at] = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
-    for i in np.flatnonzero(odd):
-        at = begins[i] + 6 + BLOCK * width[i] // 8
-        place = raw[at : at + odd[i]]
-        high = np.frombuffer(segment, "<u4", odd[i], int(at + odd[i]))
-        out[i, place] |= high << np.uint32(width[i])
+        packed = raw[begins[at][:, None] + 6 + np.arange(BLOCK * w // 8)]
+        # eight ids take w bytes: one window of eight bytes holds what an id needs
+        wide = np.concatenate([packed, np.zeros((len(at), 8), np.uint8)], axis=1)
+        first_bit = np.arange(BLOCK) * w
+        windows = wide[:, (first_bit // 8)[:, None] + np.arange(5 if w > 25 else 4)]
+        if w > 25:
+            windows = np.concatenate([windows, np.zeros((*windows.shape[:2], 3), np.uint8)], axis=2)
+            held = np.ascontiguousarray(windows).view("<u8")[:, :, 0] >> (first_bit % 8).astype(np.uint64)
+            out[at] = (held & np.uint64((1 << w) - 1)).astype(np.uint32)
+        else:
+            held = np.ascontiguousarray(windows).view("<u4")[:, :, 0] >> (first_bit % 8).astype(np.uint32)
+            out[at] = held & np.uint32((1 << w) - 1)
+    tail = begins + 6 + BLOCK * width // 8
+    block = np.repeat(np.arange(len(begins)), odd)
+    high = raw[_runs(tail + odd, 4 * odd)].view("<u4")
+    out[block, raw[_runs(tail, odd)]] |= high << width[block].astype(np.uint32)
     out += low[:, None]
     return out.reshape(-1)[: n - first * BLOCK if last == blocks else None]
 

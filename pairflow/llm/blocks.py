@@ -33,7 +33,7 @@ class WordKeys(dict):
         return key
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -87,20 +87,27 @@ def slices(ascending: np.ndarray, buckets: int):
     return [(int(own[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def blocks_of(batches, rows: int = 1 << 30):
-    """Tables of one block each, from a stream of batches with a ``block`` column in which a block's rows stand together."""
+def blocks_of(batches, most_bytes: int | None = None):
+    """Tables of one block each, from a stream of batches with a ``block`` column in which a block's rows stand together.
+
+    With ``most_bytes`` a block whose rows pass that comes in several tables, so that long texts don't add up.
+    """
     held: list[pa.RecordBatch] = []
-    of = None
+    of, size = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         own = batch.column("block").to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if held and of != own[a]:
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        if most_bytes and batch.nbytes > most_bytes:
+            step = max(1, int(len(own) * most_bytes / batch.nbytes))
+            cuts = sorted({*cuts, *range(0, len(own), step)})
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and (of != own[a] or most_bytes and size >= most_bytes):
                 yield of, pa.Table.from_batches(held)
-                held = []
+                held, size = [], 0
             of = own[a]
             held.append(batch.slice(a, b - a))
+            size += batch.nbytes * (b - a) // len(own)
     if held:
         yield of, pa.Table.from_batches(held)

@@ -37,7 +37,7 @@ PLAIN = PlainKeys()
 
 
 def plain_keys(text: bytes | None) -> np.ndarray:
-    if len(PLAIN) > 500_000:
+    if len(PLAIN) > 150_000:
         PLAIN.clear()
     w = text.split() if text else []
     keys = np.fromiter(map(PLAIN.__getitem__, w), np.uint64, len(w))

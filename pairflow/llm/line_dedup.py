@@ -17,6 +17,8 @@ from .common import components, n_blocks, unplaced, written
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 16, 4, 0.8
 #: Bits of the filter that spares lines which can't matter from being read on; its size is fixed, it only gets less sharp.
 FILTER_BITS = 1 << 24
+#: Bytes of text that a block of documents may hold in a worker; more are several blocks.
+BLOCK_BYTES = 16_000_000
 #: Bits of a line's sketch, kept in integers of 64.
 SKETCH_BITS = 1024
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
@@ -65,6 +67,18 @@ def sketches(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.bincount(line, minlength=len(lines)), packed.view(np.int64)
 
 
+def by_size(sizes: list[int], most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Slices of at most 1000 lines and about ``most`` characters; a longer line stands alone."""
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first >= 1000 or total + n > most):
+            yield first, i
+            first, total = i, 0
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def signatures(lines: list[bytes], ids: np.ndarray) -> np.ndarray:
     """Keys of the bands of each line: one-permutation MinHash of its shingles, empty bins filled from the next full one."""
     line, h = shingle_hashes([x.decode("utf-8", "replace") for x in lines], ids)
@@ -91,7 +105,7 @@ def _requests(buckets: int):
     have, and lines that the block holds more than once, dealt by block (they are known to matter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in blocks_of(batches):
+        for block, table in blocks_of(batches, BLOCK_BYTES):
             found: dict[int, bytes] = {}
             twice = set()
             for t in table.column("text").cast(pa.binary()):
@@ -103,8 +117,8 @@ def _requests(buckets: int):
                         found[i] = x
             if not found:
                 continue
-            ids = np.fromiter(found, np.uint64, len(found))
-            keys = np.concatenate([signatures(list(found.values())[a : a + 1000], ids[a : a + 1000]) for a in range(0, len(ids), 1000)])
+            ids, lines = np.fromiter(found, np.uint64, len(found)), list(found.values())
+            keys = np.concatenate([signatures(lines[a:b], ids[a:b]) for a, b in by_size(list(map(len, lines)))])
             flat, own = keys.ravel(), np.repeat(ids, BANDS)
             order = np.lexsort((own, flat))
             flat, own = flat[order], own[order]
@@ -165,52 +179,66 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _occurrences(packed: bytes):
-    """Lines that pass the filter: id, row, document, line number, and the text with its sketch once for each line and task."""
+    """Lines that pass the filter: id, row, document, line number, and the text once for each line and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")
+        bits = np.frombuffer(packed, np.uint8)
         told: set[int] = set()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
         for batch in batches:
-            out, new = [], []
+            out = []
             if len(told) > 200_000:
                 told.clear()
             for row, doc_id, t in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 for number, x in lines_of(t.as_py()):
                     i = line_id(x)
-                    if bits[i % FILTER_BITS]:
-                        if i not in told:
-                            new.append(len(out))
-                            told.add(i)
-                            out.append((i, row, doc_id, number, x.decode("utf-8", "replace")))
-                        else:
-                            out.append((i, row, doc_id, number, None))
-            if not out:
-                continue
-            sizes, sketch = np.zeros(len(out), np.int32), np.zeros((len(out), len(SKETCH)), np.int64)
-            for a in range(0, len(new), 1000):
-                at = new[a : a + 1000]
-                sizes[at], sketch[at] = sketches([out[x][4] for x in at], np.array([out[x][0] for x in at], np.uint64))
-            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            cols += [pa.array(sizes)] + [pa.array(np.ascontiguousarray(sketch[:, b])) for b in range(len(SKETCH))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "doc_id", "number", "line", "n", *SKETCH])
+                    at = i % FILTER_BITS
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        out.append((i, row, doc_id, number, None if i in told else x.decode("utf-8", "replace")))
+                        told.add(i)
+            if out:
+                cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "row", "doc_id", "number", "line"])
 
     return run
 
 
+def _with_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to lines the number of their shingles and their sketches."""
+    for batch in batches:
+        for a, b in by_size([len(x) for x in batch.column("line").to_pylist()]):
+            part = batch.slice(a, b - a)
+            sizes, sketch = sketches(part.column("line").to_pylist(), part.column("id").to_numpy().view(np.uint64))
+            cols = [part.column("id"), pa.array(sizes.astype(np.int32)), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", *SKETCH])
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def jaccard(a: str, b: str) -> float:
-    x, y = shingles(a), shingles(b)
+    return overlap(shingles(a), shingles(b))
+
+
+def overlap(x: set[str], y: set[str]) -> float:
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, set[str]] = {}  # leaders come again and again
     for batch in batches:
-        ok = [jaccard(x, y) >= SIMILARITY for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True)]
+        ok = []
+        for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
+            own = held.get(x)
+            if own is None:
+                own = shingles(x)
+                if len(x) < 2000:
+                    if len(held) > 500:
+                        held.clear()
+                    held[x] = own
+            ok.append(overlap(own, shingles(y)) >= SIMILARITY)
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -221,11 +249,14 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def star_pairs(keyed: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of each key's smallest line with all others under it of a size that can be near."""
-    lead = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l")).select(unplaced(F.col("key"), "bigint").alias("_key"), "l")
-    pairs = keyed.join(lead, (F.col("key") == F.col("_key")) & (F.col("id") != F.col("l.id")))
-    alike = F.least("n", "l.n") >= SIMILARITY * F.greatest("n", "l.n")
-    return pairs.where(alike).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
+    """The pairs ``(a, b)`` of each key's leader with all others under it.
+
+    The leader is the line that meets most lines over all its keys (``w``): of a line and its edited copies that is the line itself, as
+    each copy shares fewer keys with other copies than with it.
+    """
+    lead = keyed.groupBy("key").agg(F.max(F.struct("w", "id")).alias("l")).select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("l.id").alias("a"))
+    pairs = keyed.join(lead, (F.col("key") == F.col("_key")) & (F.col("id") != F.col("a")))
+    return pairs.select("a", F.col("id").alias("b")).distinct()
 
 
 def near(a: str, b: str) -> Column:
@@ -236,20 +267,28 @@ def near(a: str, b: str) -> Column:
     return (F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)) & (differ * (1 + SIMILARITY) <= (na + nb) * (1 - SIMILARITY) + 1e-6)
 
 
-def second_pairs(keyed: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that can still link two components of ``links``: of two components under a key one is not the
-    key's largest, so only lines outside that one look for partners. Keys within one component are done."""
+def open_keys(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """``(key, id, c, rest)`` of the keys under which two components of ``links`` meet. Of two components under a key one is not the
+    key's largest, so only lines outside that one (``rest``) look for partners. Keys within one component are done."""
     of = components(links).select(F.col("id").alias("_id"), "component")
     placed = keyed.join(of, F.col("id") == F.col("_id"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = written(placed, "line-placed")
     counts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
     most = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     most = most.select(unplaced(F.col("key"), "bigint").alias("_key"), "main")
-    open_ = placed.join(most, F.col("key") == F.col("_key")).select("key", "id", "c", (F.col("c") != F.col("main")).alias("rest"))
-    at = texts.select(F.col("id").alias("_id"), F.struct("id", "n", *SKETCH).alias("at"))
-    open_ = written(open_.join(at, F.col("id") == F.col("_id")).select("key", "c", "rest", "at"), "line-open")
-    rest = open_.where("rest").select("key", F.col("at").alias("x"), F.col("c").alias("cx"))
-    others = open_.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("at").alias("y"), F.col("c").alias("cy"))
+    opened = placed.join(most, F.col("key") == F.col("_key"))
+    return written(opened.select("key", "id", "c", (F.col("c") != F.col("main")).alias("rest")), "line-open")
+
+
+def second_pairs(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that can still link two components, by sizes and sketches, which only lines of open keys get."""
+    own = texts.join(opened.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi").select("id", "line")
+    kinds = "id long, n int, " + ", ".join(f"{s} long" for s in SKETCH)
+    at = written(own.mapInArrow(_with_sketches, kinds), "line-sketches")
+    at = at.select(unplaced(F.col("id"), "bigint").alias("_id"), F.struct("id", "n", *SKETCH).alias("at"))
+    rest = opened.where("rest").join(at, F.col("id") == F.col("_id")).select("key", F.col("at").alias("x"), F.col("c").alias("cx"))
+    others = opened.join(at, F.col("id") == F.col("_id"))
+    others = others.select(unplaced(F.col("key"), "bigint").alias("_key"), F.col("at").alias("y"), F.col("c").alias("cy"))
     pairs = rest.join(others, (F.col("key") == F.col("_key")) & (F.col("cx") != F.col("cy")) & near("x", "y"))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -260,17 +299,20 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     asked = docs.select("block", "text").mapInArrow(_requests(buckets), "bucket int, kind int, keys binary, ids binary")
     index = written(asked.groupBy("bucket").applyInArrow(_index, "key long, id long"), "line-index")
     bits = np.packbits(_filter_of(index)[:FILTER_BITS], bitorder="little").tobytes()
-    kinds = "id long, row long, doc_id long, number int, line string, n int, " + ", ".join(f"{s} long" for s in SKETCH)
-    seen = written(docs.select("row", "doc_id", "text").mapInArrow(_occurrences(bits), kinds), "line-occurrences")
-    keyed = index.where("key is not null").distinct()
-    texts = seen.where("line is not null").groupBy("id").agg(F.first("line").alias("line"), F.first(F.struct("n", *SKETCH)).alias("at")).select("id", "line", "at.*")
-    texts = texts.join(keyed.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_semi")
-    texts = written(texts, "line-texts")
-
-    sized = texts.select(F.col("id").alias("_id"), "n")
-    keyed = written(keyed.join(sized, F.col("id") == F.col("_id")).select("key", "id", "n"), "line-keys")
+    seen = docs.select("row", "doc_id", "text").mapInArrow(_occurrences(bits), "id long, row long, doc_id long, number int, line string")
+    seen = written(seen, "line-occurrences")
+    keyed = written(index.where("key is not null").distinct(), "line-keys")
+    # how many lines a line meets under its keys
+    many = keyed.groupBy("key").agg(F.count("*").alias("m")).select(unplaced(F.col("key"), "bigint").alias("_key"), "m")
+    met = keyed.join(many, F.col("key") == F.col("_key")).groupBy("id").agg(F.sum("m").alias("w")).select(F.col("id").alias("_id"), "w")
+    texts = seen.where("line is not null").groupBy("id").agg(F.first("line").alias("line"))
+    texts = written(texts.join(met, F.col("id") == F.col("_id")).select("id", "line", "w"), "line-texts")
+
+    weighed = texts.select(unplaced(F.col("id"), "bigint").alias("_id"), "w")
+    keyed = written(keyed.join(weighed, F.col("id") == F.col("_id")).select("key", "id", "w"), "line-keys")
     links = written(_verified(star_pairs(keyed), texts), "line-links")
-    more = _verified(written(second_pairs(keyed, links, texts), "line-second"), texts)
+    opened = open_keys(keyed, links)
+    more = written(_verified(written(second_pairs(opened, texts), "line-second"), texts), "line-links")
 
     of = components(links.union(more)).select(F.col("id").alias("_id"), "component")
     group = F.coalesce("component", "id")

@@ -29,8 +29,8 @@ from .encoding import Encoder
 
 BLOCK, SEGMENT, PERCENTILE = 128, 1 << 16, 90.0
 MAGIC = b"PFR1"
-#: Documents that are encoded at once.
-ROWS = 2048
+#: Documents that are encoded at once; shards whose sizes are added up together.
+ROWS, RUN = 2048, 4096
 SCHEMA = "shard int, start long, n long, doc_id long, ord long, segment binary"
 
 
@@ -201,9 +201,13 @@ def read_blocks(table: DataFrame) -> DataFrame:
     ``table`` is what :func:`write_blocks` returns: a shard is one file with one row group, which one task reads in order.
     """
     docs = table.mapInArrow(_read_shard, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    # a row for each shard: a few for each GB
-    sizes = table.where("segment is null").groupBy("shard").agg(F.sum("n").alias("n"))
-    base = sizes.select(F.col("shard").alias("_shard"), (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
+    # a row for each shard (a few for each GB), added up in runs of shards first, so that no task sees more than a run or a row a run
+    sizes = table.where("segment is null").groupBy("shard").agg(F.sum("n").alias("n")).withColumn("run", F.floor(F.col("shard") / RUN))
+    runs = sizes.groupBy("run").agg(F.sum("n").alias("all"))
+    runs = runs.select(F.col("run").alias("_run"), (F.sum("all").over(W.orderBy("run")) - F.col("all")).alias("before"))
+    within = F.sum("n").over(W.partitionBy("run").orderBy("shard")) - F.col("n")
+    base = sizes.withColumn("within", within).join(runs, F.col("run") == F.col("_run"))
+    base = base.select(F.col("shard").alias("_shard"), (F.col("within") + F.col("before")).alias("base"))
     out = docs.join(base, F.col("shard") == F.col("_shard"))
     return out.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -337,7 +337,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rer
     docs = with_block(docs if reread else written(docs, "line-docs")).withColumn("row", F.monotonically_increasing_id())
     slim = docs.select("row", "block", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     gone = written(dropped_lines(slim), "line-drops").select(F.col("row").alias("_row"), F.col("drop").alias("_drop"))
-    out = docs.drop("block").join(gone, F.col("row") == F.col("_row"), "left").drop("row", "_row")
+    # documents are dealt out by row whatever the number of drops: what would be broadcast grows with the documents
+    out = docs.drop("block").join(gone.hint("merge"), F.col("row") == F.col("_row"), "left").drop("row", "_row")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     cut = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")

@@ -20,9 +20,17 @@ FEATURES = (
     ("f_marks", "ln(1 + 10 * n_marks / word_chars)", 0.1),
 )
 LEAST_WORDS = 50
-#: Share of a group's rows that the determinant is minimised over, rows a group needs, concentration steps.
-SUPPORT, LEAST_ROWS, STEPS = 0.75, 200, 3
-#: A clean row lies beyond the cut-off with this probability under the normal model.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks")
+#: Share of a group's rows that the determinant is minimised over, concentration steps at most, change of a log determinant that ends them.
+SUPPORT, STEPS, SETTLED = 0.75, 8, 0.01
+#: Share of normal rows within the ellipsoid whose rows give the final estimate.
+WITHIN = 0.975
+#: Rows by which the estimate of a wider group counts in that of a narrower one.
+PRIOR = 100.0
+#: Groups whose estimates are sent to all tasks: some 36 numbers each, 15 MB in all.
+MOST_GROUPS = 50_000
+#: A clean row lies beyond the cut-off with this probability under the normal model. It is this small so that of some 10^10 documents
+#: hardly one is lost by chance, and as real statistics have longer tails than normal ones.
 TAIL = 1e-12
 
 
@@ -93,65 +101,117 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _grouped(rows: DataFrame, lang: str, source: str, least: int) -> DataFrame:
-    """Adds ``g``: language and source; groups under ``least`` rows join those of their language, then all others."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = rows.withColumns({"g2": F.concat_ws("\t", F.lit("2"), text(lang), text(source)), "g1": F.concat_ws("\t", F.lit("1"), text(lang))})
-    counts = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("g", F.when(F.col("n") >= least, F.col("g2")).otherwise(F.col("g1")))
-    langs = counts.groupBy("g").agg(F.sum("n").alias("all")).withColumnRenamed("g", "_g")
-    counts = counts.join(langs, F.col("g") == F.col("_g"))
-    counts = counts.select(unplaced(F.col("g2"), "string").alias("_g2"), F.when(F.col("all") >= least, F.col("g")).otherwise(F.lit("0")).alias("g"))
-    return rows.join(counts, F.col("g2") == F.col("_g2")).drop("_g2", "g1", "g2")
-
-
-def robust_distances(rows: DataFrame, features=FEATURES, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """Adds ``distance2``, the squared Mahalanobis distance from the minimum-covariance-determinant estimate of group ``g``.
-
-    Starts from medians and median deviations; each concentration step re-estimates mean and covariance
-    from the ``support`` share of a group's rows nearest to the last estimate. All steps are grouped
-    sums; thresholds are mergeable quantile sketches, so a hot group needs no task of its own. Spreads
-    below a feature's floor are raised to it, so constant features don't make estimates singular.
+def _levels(rows: DataFrame) -> DataFrame:
+    """Each row three times, with ``g`` its language and source, its language, and all rows."""
+    return rows.withColumn("g", F.explode(F.array("g2", "g1", F.lit("0")))).drop("g1", "g2")
+
+
+def _sized(estimates: DataFrame) -> DataFrame:
+    """A small table of estimates to be sent to all tasks; one with too many groups for that is joined like any other."""
+    return F.broadcast(estimates) if estimates.count() <= MOST_GROUPS else estimates
+
+
+def _cholesky(stats: DataFrame, floors: tuple[float, ...], factor: float) -> DataFrame:
+    """``c{i}_{j}`` times ``factor`` to the triangle ``l{i}_{j}``, and ``logdet``. Pivots below a feature's floor are raised to it."""
+    p = len(floors)
+    for i in range(p):
+        for j in range(i + 1):
+            c = F.col(f"c{i}_{j}") * factor
+            for k in range(j):
+                c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
+            stats = stats.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(floors[i] ** 2))) if i == j else c / F.col(f"l{j}_{j}"))
+    return stats.withColumn("logdet", 2 * sum((F.ln(f"l{i}_{i}") for i in range(1, p)), F.ln("l0_0")))
+
+
+def _with_distance(rows: DataFrame, estimates: DataFrame, names: list[str], key: str = "g") -> DataFrame:
+    """Joins ``rows`` with the estimates of their group and adds ``distance2``, by substitution along the triangle."""
+    placed = estimates.select(unplaced(F.col("g"), "string").alias("_g"), *[c for c in estimates.columns if c != "g"])
+    out = rows.join(placed, F.col(key) == F.col("_g"), "left")
+    for i, f in enumerate(names):
+        z = F.col(f) - F.col(f"m{i}")
+        for j in range(i):
+            z = z - F.col(f"l{i}_{j}") * F.col(f"z{j}")
+        out = out.withColumn(f"z{i}", z / F.col(f"l{i}_{i}"))
+    total = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(names))), F.col("z0") * F.col("z0"))
+    return out.withColumn("distance2", total)
+
+
+def _moments(rows: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    p = len(names)
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(names)],
+        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)],
+    )
+
+
+def _starts(rows: DataFrame, names: list[str], floors: tuple[float, ...]) -> DataFrame:
+    """Three first estimates for each ``g``, all at the medians: deviations alone, the covariance of values whose tails are bent (tanh), and
+    that of directions from the medians."""
+    p = len(names)
+    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 10000).alias(f) for f in names])
+    middle = written(quartiles.select(
+        unplaced(F.col("g"), "string").alias("_g"), *[F.col(f)[1].alias(f"m{i}") for i, f in enumerate(names)],
+        *[F.greatest((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(floors[i])).alias(f"s{i}") for i, f in enumerate(names)],
+    ), "quality-medians")
+    z = rows.join(_sized(middle), F.col("g") == F.col("_g"))
+    z = z.select("g", *[((F.col(f) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"t{i}") for i, f in enumerate(names)])
+    norm = F.sqrt(sum((F.col(f"t{i}") * F.col(f"t{i}") for i in range(1, p)), F.col("t0") * F.col("t0")))
+    bent = z.select("g", F.lit(1).alias("start"), *[F.tanh(f"t{i}").alias(f"t{i}") for i in range(p)])
+    turned = z.select("g", F.lit(2).alias("start"), *[F.coalesce(F.try_divide(F.col(f"t{i}"), norm), F.lit(0.0)) * math.sqrt(p) for i in range(p)])
+    both = bent.union(turned)
+    products = both.groupBy("g", "start").agg(*[F.avg(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"r{i}_{j}") for i in range(p) for j in range(i + 1)])
+    alone = middle.select(F.col("_g").alias("g"), F.lit(0).alias("start"), *[F.lit(float(i == j)).alias(f"r{i}_{j}") for i in range(p) for j in range(i + 1)])
+    first = alone.unionByName(products).join(middle, F.col("g") == F.col("_g")).drop("_g")
+    for i in range(p):
+        for j in range(i + 1):
+            first = first.withColumn(f"c{i}_{j}", F.col(f"r{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}"))
+    return first.select("g", "start", *[f"m{i}" for i in range(p)], *[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])
+
+
+def robust_estimates(rows: DataFrame, features=FEATURES, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+    """The minimum-covariance-determinant estimate of each group ``g`` of ``rows``: ``(g, n, m{i}, c{i}_{j})``, consistent and reweighted.
+
+    From each of three starts, concentration steps re-estimate mean and covariance from the ``support`` share of a group's rows that are
+    nearest to the last estimate, until no group's log determinant falls by more than ``SETTLED`` (or after ``steps``). The start with the least
+    determinant is taken. Rows within its 97.5 % ellipsoid then give the final estimate. All steps are grouped sums over
+    narrow rows and limits by mergeable quantile sketches (ranks within 1 in 10,000), so a hot group needs no task of its own.
     """
-    p = len(features)
-    names, floors = [f[0] for f in features], [f[2] for f in features]
-    first = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 10000).alias(f) for f in names])
-    scale = [F.greatest((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(s)) for f, s in zip(names, floors, strict=True)]
-    stats = first.select("g", *[F.col(f)[1].alias(f"m{i}") for i, f in enumerate(names)],
-                         *[(scale[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(p) for j in range(i + 1)])
+    names, floors = [f[0] for f in features], tuple(f[2] for f in features)
+    p = len(names)
     factor = support / chi2_cdf(chi2_quantile(support, p), p + 2)
-
-    def distances(stats: DataFrame) -> DataFrame:
-        placed = stats.select(unplaced(F.col("g"), "string").alias("_g"), *[c for c in stats.columns if c != "g"])
-        out = rows.join(placed, F.col("g") == F.col("_g"), "left")
-        for i, f in enumerate(names):
-            z = F.col(f) - F.col(f"m{i}")
-            for j in range(i):
-                z = z - F.col(f"l{i}_{j}") * F.col(f"z{j}")
-            out = out.withColumn(f"z{i}", z / F.col(f"l{i}_{i}"))
-        total = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0"))
-        return out.withColumn("distance2", total).select(*rows.columns, "distance2")
-
-    for _ in range(steps):
-        near = distances(stats)
-        near = written(near.select("g", *names, "distance2"), "near")
-        limit = near.groupBy("g").agg(F.percentile_approx("distance2", support, 10000).alias("limit"))
-        near = near.join(limit.select(unplaced(F.col("g"), "string").alias("_g"), "limit"), (F.col("g") == F.col("_g")) & (F.col("distance2") <= F.col("limit")))
-        sums = near.groupBy("g").agg(
-            *[F.avg(f).alias(f"m{i}") for i, f in enumerate(names)],
-            *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)],
-        )
-        stats = sums
-        for i in range(p):  # Cholesky, column by column
-            for j in range(i + 1):
-                c = F.col(f"c{i}_{j}") * factor
-                if i == j:
-                    c = c + floors[i] ** 2
-                for k in range(j):
-                    c = c - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-                stats = stats.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(floors[i] ** 2))) if i == j else c / F.col(f"l{j}_{j}"))
-        stats = written(stats.select("g", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)]), "estimates")
-    return distances(stats)
+    kept = [f"m{i}" for i in range(p)] + [f"l{i}_{j}" for i in range(p) for j in range(i + 1)]
+    now = written(_cholesky(_starts(rows, names, floors), floors, 1.0).select("g", "start", "logdet", *kept), "quality-estimates")
+    for step in range(steps):
+        near = _with_distance(rows, _sized(now), names)
+        limit = written(near.groupBy("g", "start").agg(F.percentile_approx("distance2", support, 10000).alias("limit")), "quality-limits")
+        limit = limit.select(unplaced(F.col("g"), "string").alias("_h"), F.col("start").alias("_start"), "limit")
+        near = near.join(_sized(limit), (F.col("g") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("distance2") <= F.col("limit")))
+        stats = _cholesky(_moments(near.select("g", "start", *names), names, "g", "start"), floors, factor).select("g", "start", "logdet", *kept)
+        old = now.select(F.col("g").alias("_g"), F.col("start").alias("_start"), F.col("logdet").alias("_logdet"))
+        now = written(stats.join(old, (F.col("g") == F.col("_g")) & (F.col("start") == F.col("_start"))).drop("_g", "_start"), "quality-estimates")
+        fall = now.agg(F.max(F.abs(F.col("_logdet") - F.col("logdet")))).first()[0]
+        now = now.drop("_logdet")
+        if step and (fall is None or fall <= SETTLED):
+            break
+    best = now.groupBy("g").agg(F.min_by(F.struct(*kept), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+    within = _with_distance(rows, _sized(written(best, "quality-best")), names).where(F.col("distance2") <= chi2_quantile(WITHIN, p))
+    again = WITHIN / chi2_cdf(chi2_quantile(WITHIN, p), p + 2)
+    found = _moments(within.select("g", *names), names, "g")
+    return found.select("g", "n", *[f"m{i}" for i in range(p)], *[(F.col(f"c{i}_{j}") * again).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
+
+
+def _shrunk(estimates: DataFrame, groups: DataFrame, p: int) -> DataFrame:
+    """Estimates of each ``g2``, drawn towards that of its language and that one towards the estimate of all rows, as by ``PRIOR`` rows more."""
+    stats = [f"m{i}" for i in range(p)] + [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
+    side = lambda tag: estimates.select(F.col("g").alias(f"_{tag}"), F.struct("n", *stats).alias(tag))
+    out = groups.join(side("own"), F.col("g2") == F.col("_own"), "left").join(side("lang"), F.col("g1") == F.col("_lang"), "left")
+    out = out.crossJoin(F.broadcast(estimates.where("g = '0'").select(F.struct("n", *stats).alias("whole"))))  # one row
+
+    def drawn(tag: str, c: str, to):
+        n = F.coalesce(F.col(f"{tag}.n"), F.lit(0))
+        return (n * F.coalesce(F.col(f"{tag}.{c}"), F.lit(0.0)) + PRIOR * to) / (n + PRIOR)
+
+    return out.select(F.col("g2").alias("g"), *[drawn("own", c, drawn("lang", c, F.col(f"whole.{c}"))).alias(c) for c in stats])
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
@@ -160,32 +220,34 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     Rows that fail a base rule aren't kept and don't enter the estimates; the others are kept unless
     their distance passes the chi-square cut-off for ``tail``. Null texts count as empty and fail; null
     languages and sources are groups of their own; repeated rows count each; an empty table stays
-    empty. Columns named like a result are replaced by it.
+    empty; a very long text costs time in proportion. Columns named like a result are replaced by it; others may have any name.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "base_failed", "distance2", "kept", "g"]
-    rows = with_statistics(docs.drop(*new, *[f[0] for f in FEATURES]), text).withColumn("base_failed", base_failed())
-    rows = rows.withColumns({n: F.when(~F.col("base_failed"), F.expr(e)) for n, e, _ in FEATURES})
-    return _judged(written(rows, "statistics"), lang, source, tail)
-
-
-def _judged(rows: DataFrame, lang: str, source: str, tail: float) -> DataFrame:
-    good = robust_distances(_grouped(rows.where("not base_failed"), lang, source, LEAST_ROWS))
+    docs = docs.drop(*STATISTICS, "base_failed", "distance2", "kept")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"), named(lang).alias("lang"), named(source).alias("source"))
+    return _judged(packed, tail).select("doc.*", *STATISTICS, "base_failed", "distance2", "kept")
+
+
+def _judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """``docs (text, lang, source, ...)`` without these three, with statistics and verdicts; ``text`` isn't written."""
+    keys = {"g2": F.concat_ws("\t", F.lit("2"), "lang", "source"), "g1": F.concat_ws("\t", F.lit("1"), "lang")}
+    rows = with_statistics(docs).drop("text").withColumns(keys).drop("lang", "source").withColumn("base_failed", base_failed())
+    rows = written(rows.withColumns({n: F.when(~F.col("base_failed"), F.expr(e)) for n, e, _ in FEATURES}), "quality-statistics")
+    names, floors = [f[0] for f in FEATURES], tuple(f[2] for f in FEATURES)
+    good = rows.where("not base_failed").select("g1", "g2", *names)
+    groups = written(good.select("g1", "g2").distinct(), "quality-groups")
+    estimates = written(robust_estimates(_levels(good)), "quality-estimates")
+    final = _cholesky(_shrunk(estimates, groups, len(names)), floors, 1.0)
+    kept = [f"m{i}" for i in range(len(names))] + [f"l{i}_{j}" for i in range(len(names)) for j in range(i + 1)]
+    final = written(final.select("g", *kept), "quality-estimates")
     cut = chi2_quantile(1 - tail, len(FEATURES))
-    good = good.withColumn("kept", F.coalesce(F.col("distance2") <= cut, F.lit(True))).drop("g")
-    bad = rows.where("base_failed").withColumns({"distance2": F.lit(None).cast("double"), "kept": F.lit(False)})
-    return good.unionByName(bad).drop(*[f[0] for f in FEATURES])
+    out = _with_distance(rows, _sized(final), names, "g2").withColumn("distance2", F.when(~F.col("base_failed"), F.col("distance2")))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True)))
+    return out.select(*[c for c in rows.columns if c not in (*names, "g1", "g2")], "distance2", "kept")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = docs.select("doc_id", "text", "lang", "source")
-    return quality_of(slim)
-
-
-def quality_of(docs: DataFrame) -> DataFrame:
-    """The judgement of each row without its text: what is written and dealt out between the steps stays narrow."""
-    rows = with_statistics(docs).drop("text").withColumn("base_failed", base_failed())
-    rows = rows.withColumns({n: F.when(~F.col("base_failed"), F.expr(e)) for n, e, _ in FEATURES})
-    return _judged(written(rows, "statistics"), "lang", "source", TAIL).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2"
-    )
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    judged = _judged(docs.select("doc_id", "text", named("lang").alias("lang"), named("source").alias("source")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")

@@ -38,7 +38,7 @@ PLAIN = PlainKeys()
 
 
 def plain_keys(text: bytes | None) -> np.ndarray:
-    if len(PLAIN) > 150_000:
+    if len(PLAIN) > 300_000:
         PLAIN.clear()
     w = text.split() if text else []
     keys = np.fromiter(map(PLAIN.__getitem__, w), np.uint64, len(w))
@@ -141,7 +141,10 @@ class Items:
     def hits(self, run: np.ndarray) -> np.ndarray:
         """Places of shingles that some item holds. A window without one shares nothing with any item and needs no fingerprint."""
         at = np.flatnonzero(self.seen[(run & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        return at[np.isin(run[at], self.known)] if len(at) else at
+        if len(at):
+            found = np.minimum(np.searchsorted(self.known, run[at]), len(self.known) - 1)
+            at = at[self.known[found] == run[at]]
+        return at
 
     def window_prints(self, part: np.ndarray, own: int) -> np.ndarray:
         """Fingerprints of all windows of ``own`` shingles over ``part`` (one of the whole part if that is shorter)."""

@@ -102,24 +102,44 @@ def test_plan_uses_every_piece_near_the_bound():
 
 
 def test_scores(spark, docs):
-    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.score_documents(docs).collect()}
-    c1, c2, c0 = Counter(), Counter(), Counter()
-    for i, t, *_ in ROWS:
+    """Against probabilities of order three by their formula, and against a walk of one token at a time over states, arcs and failure arcs."""
+    again = [(20, BASE, "en", "a"), (21, " ".join(WORDS[3:70]), "en", "a"), (22, " ".join(WORDS[10:20] * 4), "en", "b"), (23, "w0x0 zzz w2x4", "en", "b")]
+    rows = ROWS + again
+    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.score_documents(spark.createDataFrame(rows, TYPE)).collect()}
+    counts, history = Counter(), Counter()
+    for i, t, *_ in rows:
         if lm_scoring.trains(i):
-            h = "<s>"
-            for w in [*plain(t), "</s>"]:
-                c1[w], c2[h, w], c0[h] = c1[w] + 1, c2[h, w] + 1, c0[h] + 1
-                h = w
+            all_ = ["<s>", *plain(t), "</s>"]
+            for j in range(1, len(all_)):
+                for n in (1, 2, 3):
+                    if j - n + 1 >= 0:
+                        counts[tuple(all_[j - n + 1 : j + 1])] += 1
+                        history[tuple(all_[j - n + 1 : j])] += 1
+    c1 = Counter({g[0]: c for g, c in counts.items() if len(g) == 1})
     n, v = sum(c1.values()), len(c1)
     n1, n2 = sum(x == 1 for x in c1.values()), sum(x == 2 for x in c1.values())
     d = min(0.95, max(0.05, n1 / (n1 + 2 * n2)))
-    for i, t, *_ in ROWS:
-        h, score, tokens = "<s>", 0.0, [*plain(t), "</s>"]
-        for w in tokens:
-            p1 = (c1[w] - d) / n if c1[w] else d * v / n
-            score, h = score + math.log10((c2[h, w] + lm_scoring.PRIOR * p1) / (c0[h] + lm_scoring.PRIOR)), w
+    prior = {1: lm_scoring.PRIORS[0], 2: lm_scoring.PRIORS[1]}
+
+    def p(h, w):
+        if not h:
+            return (c1[w] - d) / n if c1[w] else d * v / n
+        return (counts[*h, w] + prior[len(h)] * p(h[1:], w)) / (history[h] + prior[len(h)])
+
+    arcs = {g: math.log10(p(g[:-1], g[-1])) for g in counts}
+    for i, t, *_ in rows:
+        score, walked, tokens, state = 0.0, 0.0, [*plain(t), "</s>"], ("<s>",)
+        for at, w in enumerate(tokens):
+            score += math.log10(p(tuple(["<s>", *tokens][max(0, at - 1) : at + 1]), w))
+            while state and (not history[state] or (*state, w) not in arcs):
+                walked += math.log10(prior[len(state)] / (history[state] + prior[len(state)]))
+                state = state[1:]
+            walked += arcs.get((*state, w), math.log10(p((), w)))
+            state = tuple(["<s>", *tokens][at : at + 2])
+            while state and not history[state]:
+                state = state[1:]
         r = got[i, len(tokens)]
-        assert r.score == pytest.approx(score) and r.train_tokens == n and r.n_known == sum(c1[w] > 0 for w in tokens)
+        assert r.score == pytest.approx(score) == pytest.approx(walked) and r.train_tokens == n and r.n_known == sum(c1[w] > 0 for w in tokens)
         assert r.base_score == pytest.approx(sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
     assert lm_scoring.score_documents(docs.limit(0)).count() == 0
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers before it starts anew; a few hundred MB at most.
-MEMO = 1_200_000
+MEMO = 800_000
 #: White space other than blanks and line feeds, by any rule that a tokenizer may follow.
 _ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

@@ -187,7 +187,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, text: str
     table = slots(plan(counts))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
     tasks = tasks.select(unplaced(F.col("length").cast("long"), "bigint").alias("_length"), F.col("part").alias("_part"), before.alias("before"))
-    ranked = pieces.join(tasks, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
+    # a row for each length and task: it grows with the tasks, so it is joined by key and not sent to all
+    ranked = pieces.join(tasks.hint("merge"), (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("ord")).alias("rank"))
     return ranked.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

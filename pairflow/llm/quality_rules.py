@@ -21,8 +21,9 @@ FEATURES = (
 )
 LEAST_WORDS = 50
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks")
-#: Share of a group's rows that the determinant is minimised over, concentration steps at most, change of a log determinant that ends them.
-SUPPORT, STEPS, SETTLED = 0.75, 8, 0.01
+#: Share of a group's rows that the determinant is minimised over, concentration steps from all starts, steps at most, change of a log
+#: determinant that ends them.
+SUPPORT, FIRST_STEPS, STEPS, SETTLED = 0.75, 2, 8, 0.01
 #: Share of normal rows within the ellipsoid whose rows give the final estimate.
 WITHIN = 0.975
 #: Rows by which the estimate of a wider group counts in that of a narrower one.
@@ -106,9 +107,9 @@ def _levels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("g", F.explode(F.array("g2", "g1", F.lit("0")))).drop("g1", "g2")
 
 
-def _sized(estimates: DataFrame) -> DataFrame:
+def _sized(estimates: DataFrame, groups: int) -> DataFrame:
     """A small table of estimates to be sent to all tasks; one with too many groups for that is joined like any other."""
-    return F.broadcast(estimates) if estimates.count() <= MOST_GROUPS else estimates
+    return F.broadcast(estimates) if groups <= MOST_GROUPS else estimates
 
 
 def _cholesky(stats: DataFrame, floors: tuple[float, ...], factor: float) -> DataFrame:
@@ -137,23 +138,31 @@ def _with_distance(rows: DataFrame, estimates: DataFrame, names: list[str], key:
 
 
 def _moments(rows: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """Count, means and covariances, from sums of deviations from the last means ``m{i}``, which are near enough to lose no digits."""
     p = len(names)
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(names)],
-        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)],
+    rows = rows.select(*keys, *[f"m{i}" for i in range(p)], *[(F.col(f) - F.col(f"m{i}")).alias(f"d{i}") for i, f in enumerate(names)])
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[F.max(f"m{i}").alias(f"old{i}") for i in range(p)], *[F.sum(f"d{i}").alias(f"a{i}") for i in range(p)],
+        *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"b{i}_{j}") for i in range(p) for j in range(i + 1)],
+    )
+    mean = lambda c: F.col(c) / F.col("n")
+    return sums.select(
+        *keys, "n", *[(F.col(f"old{i}") + mean(f"a{i}")).alias(f"m{i}") for i in range(p)],
+        *[(mean(f"b{i}_{j}") - mean(f"a{i}") * mean(f"a{j}")).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)],
     )
 
 
-def _starts(rows: DataFrame, names: list[str], floors: tuple[float, ...]) -> DataFrame:
+def _starts(rows: DataFrame, names: list[str], floors: tuple[float, ...]) -> tuple[DataFrame, int]:
     """Three first estimates for each ``g``, all at the medians: deviations alone, the covariance of values whose tails are bent (tanh), and
-    that of directions from the medians."""
+    that of directions from the medians. Also returns the number of groups."""
     p = len(names)
     quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 10000).alias(f) for f in names])
     middle = written(quartiles.select(
         unplaced(F.col("g"), "string").alias("_g"), *[F.col(f)[1].alias(f"m{i}") for i, f in enumerate(names)],
         *[F.greatest((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(floors[i])).alias(f"s{i}") for i, f in enumerate(names)],
     ), "quality-medians")
-    z = rows.join(_sized(middle), F.col("g") == F.col("_g"))
+    groups = middle.count()
+    z = rows.join(_sized(middle, groups), F.col("g") == F.col("_g"))
     z = z.select("g", *[((F.col(f) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"t{i}") for i, f in enumerate(names)])
     norm = F.sqrt(sum((F.col(f"t{i}") * F.col(f"t{i}") for i in range(1, p)), F.col("t0") * F.col("t0")))
     bent = z.select("g", F.lit(1).alias("start"), *[F.tanh(f"t{i}").alias(f"t{i}") for i in range(p)])
@@ -165,38 +174,41 @@ def _starts(rows: DataFrame, names: list[str], floors: tuple[float, ...]) -> Dat
     for i in range(p):
         for j in range(i + 1):
             first = first.withColumn(f"c{i}_{j}", F.col(f"r{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}"))
-    return first.select("g", "start", *[f"m{i}" for i in range(p)], *[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return first.select("g", "start", *[f"m{i}" for i in range(p)], *[f"c{i}_{j}" for i in range(p) for j in range(i + 1)]), groups
 
 
 def robust_estimates(rows: DataFrame, features=FEATURES, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
     """The minimum-covariance-determinant estimate of each group ``g`` of ``rows``: ``(g, n, m{i}, c{i}_{j})``, consistent and reweighted.
 
     From each of three starts, concentration steps re-estimate mean and covariance from the ``support`` share of a group's rows that are
-    nearest to the last estimate, until no group's log determinant falls by more than ``SETTLED`` (or after ``steps``). The start with the least
-    determinant is taken. Rows within its 97.5 % ellipsoid then give the final estimate. All steps are grouped sums over
+    nearest to the last estimate. After ``FIRST_STEPS`` the start with the least determinant goes on alone, until no group's log determinant
+    changes by more than ``SETTLED`` (or after ``steps``). Rows within its 97.5 % ellipsoid then give the final estimate. All steps are grouped sums over
     narrow rows and limits by mergeable quantile sketches (ranks within 1 in 10,000), so a hot group needs no task of its own.
     """
     names, floors = [f[0] for f in features], tuple(f[2] for f in features)
     p = len(names)
     factor = support / chi2_cdf(chi2_quantile(support, p), p + 2)
     kept = [f"m{i}" for i in range(p)] + [f"l{i}_{j}" for i in range(p) for j in range(i + 1)]
-    now = written(_cholesky(_starts(rows, names, floors), floors, 1.0).select("g", "start", "logdet", *kept), "quality-estimates")
+    first, groups = _starts(rows, names, floors)
+    now = written(_cholesky(first, floors, 1.0).select("g", "start", "logdet", *kept), "quality-estimates")
     for step in range(steps):
-        near = _with_distance(rows, _sized(now), names)
+        near = _with_distance(rows, _sized(now, groups), names)
         limit = written(near.groupBy("g", "start").agg(F.percentile_approx("distance2", support, 10000).alias("limit")), "quality-limits")
         limit = limit.select(unplaced(F.col("g"), "string").alias("_h"), F.col("start").alias("_start"), "limit")
-        near = near.join(_sized(limit), (F.col("g") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("distance2") <= F.col("limit")))
-        stats = _cholesky(_moments(near.select("g", "start", *names), names, "g", "start"), floors, factor).select("g", "start", "logdet", *kept)
+        near = near.join(_sized(limit, groups), (F.col("g") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("distance2") <= F.col("limit")))
+        stats = _cholesky(_moments(near, names, "g", "start"), floors, factor).select("g", "start", "logdet", *kept)
         old = now.select(F.col("g").alias("_g"), F.col("start").alias("_start"), F.col("logdet").alias("_logdet"))
         now = written(stats.join(old, (F.col("g") == F.col("_g")) & (F.col("start") == F.col("_start"))).drop("_g", "_start"), "quality-estimates")
         fall = now.agg(F.max(F.abs(F.col("_logdet") - F.col("logdet")))).first()[0]
         now = now.drop("_logdet")
-        if step and (fall is None or fall <= SETTLED):
+        if step == FIRST_STEPS - 1:
+            best = now.groupBy("g").agg(F.min_by(F.struct("start", "logdet", *kept), F.struct("logdet", "start")).alias("b"))
+            now = written(best.select("g", "b.*"), "quality-best")
+        elif step >= FIRST_STEPS and (fall is None or fall <= SETTLED):
             break
-    best = now.groupBy("g").agg(F.min_by(F.struct(*kept), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
-    within = _with_distance(rows, _sized(written(best, "quality-best")), names).where(F.col("distance2") <= chi2_quantile(WITHIN, p))
+    within = _with_distance(rows, _sized(now, groups), names).where(F.col("distance2") <= chi2_quantile(WITHIN, p))
     again = WITHIN / chi2_cdf(chi2_quantile(WITHIN, p), p + 2)
-    found = _moments(within.select("g", *names), names, "g")
+    found = _moments(within, names, "g")
     return found.select("g", "n", *[f"m{i}" for i in range(p)], *[(F.col(f"c{i}_{j}") * again).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
 
 
@@ -241,7 +253,7 @@ def _judged(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     kept = [f"m{i}" for i in range(len(names))] + [f"l{i}_{j}" for i in range(len(names)) for j in range(i + 1)]
     final = written(final.select("g", *kept), "quality-estimates")
     cut = chi2_quantile(1 - tail, len(FEATURES))
-    out = _with_distance(rows, _sized(final), names, "g2").withColumn("distance2", F.when(~F.col("base_failed"), F.col("distance2")))
+    out = _with_distance(rows, _sized(final, groups.count()), names, "g2").withColumn("distance2", F.when(~F.col("base_failed"), F.col("distance2")))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True)))
     return out.select(*[c for c in rows.columns if c not in (*names, "g1", "g2")], "distance2", "kept")
 

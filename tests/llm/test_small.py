@@ -311,6 +311,48 @@ def test_quality_statistics(spark):
     assert got[2].n_dup_lines == 1 and got[5].kept and not got[1].kept and quality_rules.judge_quality(df.limit(0)).count() == 0
 
 
+def test_determinant_estimates_resist_outliers_and_equal_a_direct_fit(spark):
+    """Against concentration steps in numpy from the same three starts, in a group with a fifth of its rows far away."""
+    rng = np.random.default_rng(4)
+    clean = rng.multivariate_normal([1.0, 2.0, 3.0], [[1, 0.6, 0], [0.6, 1, 0.2], [0, 0.2, 0.5]], 800)
+    x = np.concatenate([clean, rng.normal([9, -6, 3], 0.3, (200, 3))])
+    features = tuple((f"f{i}", "", 0.05) for i in range(3))
+    rows = spark.createDataFrame([("a", *map(float, r)) for r in x], "g string, f0 double, f1 double, f2 double")
+    got = quality_rules.robust_estimates(rows, features).first().asDict()
+    p, h = 3, quality_rules.SUPPORT
+
+    def consistent(q):
+        return q / quality_rules.chi2_cdf(quality_rules.chi2_quantile(q, p), p + 2)
+
+    def distances(m, c):
+        return np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+
+    m0, s0 = np.median(x, 0), (np.percentile(x, 75, 0) - np.percentile(x, 25, 0)) / 1.349
+    z = (x - m0) / s0
+    bent, turned = np.tanh(z), z / np.linalg.norm(z, axis=1)[:, None] * p**0.5
+    fits = []
+    for r in (np.eye(3), bent.T @ bent / len(x), turned.T @ turned / len(x)):
+        m, c = m0, r * np.outer(s0, s0)
+        for _ in range(20):
+            d = distances(m, c)
+            near = x[d <= np.sort(d)[int(h * len(x)) - 1]]
+            m, c = near.mean(0), np.cov(near.T, bias=True) * consistent(h)
+        fits.append((np.linalg.det(c), m, c))
+    _, m, c = min(fits, key=lambda f: f[0])
+    near = x[distances(m, c) <= quality_rules.chi2_quantile(quality_rules.WITHIN, p)]
+    m, c = near.mean(0), np.cov(near.T, bias=True) * consistent(quality_rules.WITHIN)
+    assert [got[f"m{i}"] for i in range(3)] == pytest.approx(m.tolist(), abs=0.02)
+    assert [got[f"c{i}_{j}"] for i in range(3) for j in range(i + 1)] == pytest.approx([c[i, j] for i in range(3) for j in range(i + 1)], abs=0.05)
+    assert np.allclose(m, [1, 2, 3], atol=0.15) and np.allclose(np.diag(c), [1, 1, 0.5], atol=0.25)
+
+
+def test_quality_takes_columns_of_any_name(spark, docs):
+    odd = docs.withColumns({c: F.lit("mine") for c in ("g", "g1", "m0", "l0_0", "z0", "doc", "f_words", "_g", "start")})
+    got = quality_rules.judge_quality(odd)
+    assert got.columns[: len(odd.columns)] == odd.columns and got.count() == len(ROWS)
+    assert {tuple(r) for r in got.select("g", "m0", "doc", "f_words").collect()} == {("mine",) * 4}
+
+
 def test_lexicon_catches_one_edit():
     lex = toxicity.Lexicon([("loser", False), ("scum", False), ("vequ", True)])
     assert [lex.match(w) for w in ("loser", "losr", "losser", "lozer", "looser", "scum", "scam", "vequta", "veq", "idiot", "")] == [2, 1, 1, 1, 1, 2, 0, 2, 0, 0, 0]

@@ -30,7 +30,7 @@ CTES = {
 def sql(body: str, upto: str = "deltas", more: str = "") -> str:
     """``body`` over the roles' tables up to one of them."""
     names = list(CTES)
-    parts = [f"{n} AS ({CTES[n]})" for n in names[: names.index(upto) + 1]]
+    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in names[: names.index(upto) + 1]]
     return "WITH " + ",\n".join(parts + ([more] if more else [])) + "\n" + body
 
 

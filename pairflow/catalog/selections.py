@@ -205,6 +205,11 @@ def _lines(t: Tables):
 
 add("x1_points_in_polygons", f"WITH {PTS}, {GRID} SELECT point_id, polygon_id FROM pt JOIN gr ON x > x1 AND x < x1 + 0.2 AND y > y1 AND y < y1 + 0.2")(lambda t: spatial.points_in_polygons(_points(t), _polygons(t), 0.1).select("point_id", "polygon_id"))
 add("x8_within_any", f"WITH {PTS}, {GRID} SELECT DISTINCT point_id FROM pt JOIN gr ON x > x1 AND x < x1 + 0.2 AND y > y1 AND y < y1 + 0.2")(lambda t: spatial.within_any(_points(t), _polygons(t), 0.1).select("point_id"))
+BOX = "sqrt(pow(greatest(x1 - x, 0, x - x1 - 0.2), 2) + pow(greatest(y1 - y, 0, y - y1 - 0.2), 2))"
+add(
+    "x6_containing_or_nearest",
+    f"WITH {PTS}, {GRID} SELECT point_id, polygon_id, {r('distance')} FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, polygon_id) AS k FROM (SELECT point_id, polygon_id, {BOX} AS distance FROM pt, gr)) WHERE k = 1",
+)(lambda t: spatial.containing_or_nearest(_points(t), _polygons(t), 0.1))
 DIST = "sqrt(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2))"
 add(
     "x3_nearest_line",
@@ -214,4 +219,8 @@ add("x4_centroids", f"WITH {PTS}, {LINES} SELECT line_id, {r('(x1 + x2) / 2', 'x
 add("x5_web_mercator", f"WITH {PTS} SELECT point_id, {r('radians(x * 100) * 6378137.0', 'mx', 4)}, {r('ln(tan(pi() / 4 + radians(y * 100) / 2)) * 6378137.0', 'my', 4)} FROM pt", digits=4)(
     lambda t: _points(t).select("point_id", *[c.alias(n) for c, n in zip(spatial.to_web_mercator(F.col("x") * 100, F.col("y") * 100), ("mx", "my"), strict=True)])
 )
-add("x9_lines_meeting_polygons")(lambda t: spatial.lines_meeting_polygons(_lines(t), _polygons(t), 0.1))
+CLIPPED = "greatest(0, least((g.x1 - li.x1) / (li.x2 - li.x1), (g.x1 + 0.2 - li.x1) / (li.x2 - li.x1)), least((g.y1 - li.y1) / (li.y2 - li.y1), (g.y1 + 0.2 - li.y1) / (li.y2 - li.y1)))"
+add(
+    "x9_lines_meeting_polygons",
+    f"WITH {PTS}, {GRID}, {LINES} SELECT DISTINCT line_id, polygon_id FROM li, gr g WHERE {CLIPPED} <= {CLIPPED.replace('greatest', 'GREATER').replace('least', 'greatest').replace('GREATER', 'least').replace('least(0', 'least(1')}",
+)(lambda t: spatial.lines_meeting_polygons(_lines(t), _polygons(t), 0.1))

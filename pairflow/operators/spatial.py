@@ -111,6 +111,16 @@ def nearest_line(points: DataFrame, lines: DataFrame, cell: float, point_id: str
     return found
 
 
+def containing_or_nearest(points: DataFrame, polygons: DataFrame, cell: float, point_id: str = "point_id", polygon_id: str = "polygon_id") -> DataFrame:
+    """``(point_id, polygon_id, distance)``: the polygon that each point lies within (distance 0; of several the smallest id), else the one whose
+    ring is nearest. Points without any polygon in reach stay out."""
+    inside_ = points_in_polygons(points, polygons.select(polygon_id, "ring"), cell)
+    held = kept(inside_.groupBy(point_id).agg(F.min(polygon_id).alias(polygon_id)).withColumn("distance", F.lit(0.0)))
+    closed = polygons.select(polygon_id, F.concat("ring", F.slice("ring", 1, 1)).alias("line"))
+    rest = points.join(held.select(point_id), point_id, "left_anti")
+    return held.unionByName(nearest_line(rest, closed, cell, point_id, polygon_id))
+
+
 def centroids(lines: DataFrame, line_id: str = "line_id", vertices: str = "line") -> DataFrame:
     """Length-weighted centroid of each line; a line without length has the mean of its points."""
     s = segments(lines, line_id, vertices)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairflow.functions.tails import beta_inc, correlation_p, normal_p
-from pairflow.operators import cleaning, crosscorr, differencing, filters, graph, information, pairing, regression, resample, spatial, trend
+from pairflow.operators import classes, cleaning, crosscorr, differencing, filters, graph, information, pairing, regression, resample, spatial, trend
 from pairflow.plans.tables import steps_of
 from pairflow.sources import readers
 
@@ -163,3 +163,14 @@ def test_flow_folder_reads_ids_from_names(spark, tmp_path):
 
 def test_steps():
     assert steps_of("all") == (1, 9) and steps_of("3-5") == (3, 5) and steps_of("7,4") == (4, 7) and steps_of("2") == (2, 2)
+
+
+def test_classes_and_names_of_unknown_keys(spark):
+    df = spark.createDataFrame([("1", 2.0), ("2", -1.0), ("3", None), (None, 5.0)], "grp string, z double")
+    kinds = spark.createDataFrame([(1, "Ref"), (1, "Ref"), (2, "Non-ref"), (3, "other")], "grp int, class string")
+    got = {r.grp: r["class"] for r in classes.with_class(df, kinds).collect()}
+    assert got == {"1": "Regulated", "2": "Unregulated", "3": "Unclassified", None: "Unclassified"}
+    named = classes.with_name(df, kinds.withColumnRenamed("class", "name"), "grp")
+    assert named.columns == ["grp", "name", "z"] and named.count() == 4 and named.where("grp is null").first().name is None
+    assert {r.grp for r in classes.without_outer_noise(df, ("z",), 2.0).collect()} == {"1", "2"}
+    assert classes.pearson(df, ("grp",), "z", "z").count() == 0 and classes.slope_split(df, slope="z").where("grp = '2'").first().n_negative == 1

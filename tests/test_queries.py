@@ -12,6 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 CHOSEN = [
     "a3_regression_by_group", "a5_spearman_by_pair", "a8_pair_information", "a11_lag_overview_by_group", "a12_mann_kendall", "a26_compare_datasets", "g3_terminal_groups_edited",
     "g5_upstream_links_nested", "g6_first_gage_below", "j5_lag_one_year", "p7_elevation_classes", "t1_pchip_monthly", "t6_anomaly", "t6_rolling_year", "t9_peaks", "x1_points_in_polygons", "x3_nearest_line",
+    "a33_class_fits", "a34_class_fits_by_season", "a43_information_fit", "a51_slope_split", "j9_by_number", "j10_class_join", "p17_without_outer_noise", "p19_display_name",
+    "x6_containing_or_nearest", "x9_lines_meeting_polygons",
 ]
 
 

@@ -19,6 +19,8 @@ from .common import n_blocks, written
 PRIORS = (256.0, 8.0)
 START, STOP = np.uint64(0x5354415254), np.uint64(0x53544F50)
 ORDERS = (1, 2, 3)
+#: Rows of a scan task in one block: a block's n-grams, their counts and its part of the automaton take about 100 bytes a token in one Python worker.
+ROWS = 1024
 
 
 def trains(doc_id) -> bool:
@@ -58,7 +60,8 @@ class Grams:
         self.keys, self.counts, self.at = {}, {}, {}
         for order, all_keys, there in ((1, np.append(tokens, START), None), (2, pairs, None), (3, triples, ~first)):
             keys, at = np.unique(all_keys if there is None else all_keys[there], return_inverse=True)
-            where = at[:n] if there is None else np.full(n, -1)
+            at = at.astype(np.int32)
+            where = at[:n] if there is None else np.full(n, -1, np.int32)
             if there is not None:
                 where[there] = at
             counted = where[in_train & (where >= 0)]
@@ -69,7 +72,7 @@ class Grams:
                 self.counts[1][start] = int(train.sum())
         one = np.concatenate([[start], self.at[1][:-1]])[:n]
         two = np.concatenate([[-1], self.at[2][:-1]])[:n]
-        self.history = {1: np.where(first, start, one), 2: np.where(first, -1, two)}
+        self.history = {1: np.where(first, start, one).astype(np.int32), 2: np.where(first, -1, two).astype(np.int32)}
 
 
 def _requests(buckets: int):
@@ -214,13 +217,13 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs if reread else written(docs, "lm-docs")
     buckets = n_blocks(docs, block_mb=2)
-    asked = with_block(docs).mapInArrow(_requests(buckets), "bucket int, block long, order int, keys binary, counts binary")
+    asked = with_block(docs, ROWS).mapInArrow(_requests(buckets), "bucket int, block long, order int, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(_totals, "bucket int, block long, order int, totals binary, n long, v long, n1 long, n2 long")
     told = written(told, "lm-totals")
     stats = told.where("block = -1").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first().asDict()
     answers = told.where("block >= 0").select("block", "bucket", "order", "totals")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_block(docs).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(stats, priors), schema)
+    return with_block(docs, ROWS).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(stats, priors), schema)
 
 
 def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

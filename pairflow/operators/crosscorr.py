@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,3 +58,24 @@ def peak_overview(best: DataFrame, group: str = "grp") -> DataFrame:
 def mean_curve(curves: DataFrame, group: str = "grp", value: str = "c", step: int = 1) -> DataFrame:
     """Mean and population deviation of the curves at every ``step``-th lag, per group."""
     return curves.where(F.col("lag") % step == 0).groupBy(group, "lag").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def held_mean_curve(
+    curves: DataFrame, grid: Sequence[float], keys: Sequence[str] = ("grp", "entity"), group: str = "grp", value: str = "c"
+) -> DataFrame:
+    """Mean, population deviation and standard error of the curves at the lags of ``grid``, per group and over all (null group).
+
+    Each curve is interpolated linearly between its own lags; beyond its first and last lag it keeps the value there. Null
+    values are no part of a curve, so curves without any value stay out.
+    """
+    own = curves.where(F.col(value).isNotNull()).groupBy(*keys)
+    points = own.agg(F.sort_array(F.collect_list(F.struct(F.col("lag").cast("double").alias("lag"), F.col(value).alias("v")))).alias("p"))
+    at = points.select(*keys, "p", F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("lag"))
+    g = F.col("lag")
+    below = F.try_element_at(F.filter("p", lambda e: e["lag"] <= g), F.lit(-1))
+    above = F.try_element_at(F.filter("p", lambda e: e["lag"] >= g), F.lit(1))
+    at = at.select(*keys, "lag", below.alias("a"), above.alias("b"))
+    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * F.coalesce(F.try_divide(g - F.col("a.lag"), F.col("b.lag") - F.col("a.lag")), F.lit(0.0))
+    at = at.select(group, "lag", F.coalesce(between, "a.v", "b.v").alias("v"))
+    out = at.groupingSets([[F.col(group), g], [g]], F.col(group), g)
+    return out.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), (F.stddev_pop("v") / F.sqrt(F.count("*"))).alias("error"))

@@ -97,3 +97,22 @@ def with_crosswalk(gages: DataFrame, crosswalk: DataFrame, key: str = "grp", cod
     """Left join of a crosswalk on ids as text."""
     other = crosswalk.select(clean_id(F.col(code)).alias("_code"), *columns).dropDuplicates(["_code"])
     return gages.join(other, clean_id(F.col(key)) == F.col("_code"), "left").drop("_code")
+
+
+def locations_with_series(places: DataFrame, series: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Locations with points, the levels' series, and the locations' attributes without the geometry."""
+    points = locations(places)
+    return points, levels(series), points.drop("point")
+
+
+def reach_elevations(df: DataFrame) -> DataFrame:
+    """``(reach, reach_elevation)``: mean ground elevation of each reach, null where it is no number."""
+    out = renamed(df, ("reach", "reach_elevation"), {"reach": ("reach_id",), "reach_elevation": ("avg_gse",)})
+    return no_nan(out.select(clean_id(F.col("reach")).alias("reach"), F.col("reach_elevation").try_cast("double").alias("reach_elevation")))
+
+
+def vertex_arrays(df: DataFrame, vertices: str = "line", least: int = 2) -> DataFrame:
+    """Lines or rings held as ``array<struct<x, y>>``; rows with fewer than ``least`` whole vertices drop out."""
+    points = F.transform(vertices, lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y")))
+    whole = F.filter(points, lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+    return df.withColumn(vertices, whole).where(F.size(vertices) >= least)

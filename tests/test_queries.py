@@ -14,6 +14,8 @@ CHOSEN = [
     "g5_upstream_links_nested", "g6_first_gage_below", "j5_lag_one_year", "p7_elevation_classes", "t1_pchip_monthly", "t6_anomaly", "t6_rolling_year", "t9_peaks", "x1_points_in_polygons", "x3_nearest_line",
     "a33_class_fits", "a34_class_fits_by_season", "a43_information_fit", "a51_slope_split", "j9_by_number", "j10_class_join", "p17_without_outer_noise", "p19_display_name",
     "x6_containing_or_nearest", "x9_lines_meeting_polygons",
+    "x2_entities_in_catchments", "x7_basins_of_gages", "j3_enriched_series", "j12_with_fits", "j14_match_rate", "a52_step_metrics", "t10_held_mean_curve",
+    "s3_attributes_of_series", "s8_reach_elevations", "s9_vertex_arrays",
 ]
 
 

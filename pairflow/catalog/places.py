@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairflow.operators import crosscorr, places, regression
+from pairflow.plans import study
+from pairflow.plans.tables import Store, shared_folder
 from pairflow.sources import readers
 
-from .base import Tables, add, r, sql
+from .base import ORACLES, Tables, add, r, sql
 from .pairs import stat
 from .selections import GRID, LINES, PTS, _lines, _points, _polygons
 from .series import IX, _curves
@@ -95,3 +99,15 @@ add("s8_reach_elevations", f"SELECT CAST(p_partkey AS VARCHAR) AS reach, {r('CAS
 add("s9_vertex_arrays", f"WITH {PTS}, {LINES} SELECT line_id, 2 AS n, {r('x1')}, {r('y2')} FROM li")(
     lambda t: readers.vertex_arrays(_lines(t)).select("line_id", F.size("line").alias("n"), F.col("line")[0]["x"].alias("x1"), F.col("line")[1]["y"].alias("y2"))
 )
+
+
+def _resumed(t: Tables):
+    """Levels and members as an earlier run left them; a run of step 7, then another that starts again at step 8."""
+    store = Store(t.spark, f"{shared_folder(t.spark)}/study-{uuid.uuid4().hex}")
+    store.save("near_stream", t.mlev())
+    store.save("members", t.ents())
+    study.run(store, {"flows": t.flows()}, "7")
+    return study.run(store, {}, "8-9").drop("spearman")
+
+
+add("s11_resumed_study", ORACLES["a4_regression_by_pair"])(_resumed)

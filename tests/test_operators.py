@@ -174,3 +174,32 @@ def test_classes_and_names_of_unknown_keys(spark):
     assert named.columns == ["grp", "name", "z"] and named.count() == 4 and named.where("grp is null").first().name is None
     assert {r.grp for r in classes.without_outer_noise(df, ("z",), 2.0).collect()} == {"1", "2"}
     assert classes.pearson(df, ("grp",), "z", "z").count() == 0 and classes.slope_split(df, slope="z").where("grp = '2'").first().n_negative == 1
+
+
+def test_nine_steps_and_resume(spark, tmp_path):
+    """Two gages on one river; the lower one is terminal and has both catchments. Well w3 lies in none, w2 too far below its reach."""
+    from pairflow.plans import study
+    from pairflow.plans.tables import Store
+
+    square = lambda i, x: (i, [(x, 0.0), (x + 1.0, 0.0), (x + 1.0, 1.0), (x, 1.0)])
+    days = [(2000 + m // 12, m % 12 + 1) for m in range(60)]
+    levels = [(w, dt.date(y, m, 5), base + m + (y - 2000) * 2.0) for w, base in (("w1", 5000.0), ("w2", 100.0), ("w3", 5000.0)) for y, m in days]
+    inputs = {
+        "network": spark.createDataFrame([(1, 2), (2, 0)], "link long, below long"),
+        "gages": spark.createDataFrame([("a", 1), ("b", 2)], "id string, link long"),
+        "points": spark.createDataFrame([("w1", 0.5, 0.5), ("w2", 1.5, 0.5), ("w3", 9.5, 9.5)], "entity string, x double, y double"),
+        "catchments": spark.createDataFrame([square(1, 0.0), square(2, 1.0)], "polygon_id long, ring array<struct<x: double, y: double>>"),
+        "lines": spark.createDataFrame([(7, [(0.0, 0.4), (2.0, 0.4)])], "line_id long, line array<struct<x: double, y: double>>"),
+        "elevations": spark.createDataFrame([(7, 1500.0)], "line_id long, reach_elevation double"),
+        "levels": spark.createDataFrame(levels, "entity string, date date, wte double"),
+        "flows": spark.createDataFrame([("b", dt.date(y, m, 9), 120.0 * y + 10 * m, 1) for y, m in days], "grp string, date date, q double, bfd int"),
+    }
+    store = Store(spark, str(tmp_path))
+    got = study.run(store, inputs, cell=0.5).collect()
+    assert [(r.entity, r.grp) for r in got] == [("w1", "b")] and got[0].r2 > 0.5
+    assert {(r.entity, r.grp) for r in store.load("members").collect()} == {("w1", "b"), ("w2", "b")}
+    assert {r.entity for r in store.load("near_stream").collect()} == {"w1"}
+    assert study.run(store, {}, "8-9").collect() == got
+    assert study.run(store, inputs, "6", buffer=5000.0).select("entity").distinct().count() == 2
+    with pytest.raises(ValueError):
+        study.run(store, inputs, "9", no_such=1)

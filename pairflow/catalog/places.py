@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pairflow.operators import crosscorr, places, regression
+from pairflow.operators import crosscorr, information, places, regression
 from pairflow.plans import study
 from pairflow.plans.tables import Store, shared_folder
 from pairflow.sources import readers
 
 from .base import ORACLES, Tables, add, r, sql
-from .pairs import stat
+from .pairs import mi, reg, stat
 from .selections import GRID, LINES, PTS, _lines, _points, _polygons
 from .series import IX, _curves
 
@@ -111,3 +111,42 @@ def _resumed(t: Tables):
 
 
 add("s11_resumed_study", ORACLES["a4_regression_by_pair"])(_resumed)
+
+
+def _chosen(t: Tables):
+    r2 = _fits(t).select("entity", "grp", F.col("r2").alias("value"))
+    shared = information.mutual_information(t.deltas()).select("entity", "grp", F.col("mi").alias("value"))
+    return places.six_selections({"R2": r2, "MI": shared}, n=2)
+
+
+CHOSEN = f"""{FITS}, m AS ({mi("deltas", "delta_wte")}), me AS (SELECT entity, grp, 'R2' AS k, r2 AS v FROM s UNION ALL SELECT entity, grp, 'MI', mi FROM m WHERE mi IS NOT NULL),
+    cut AS (SELECT grp, k, quantile_cont(v, 0.9) AS q90, quantile_cont(v, 0.75) AS q75 FROM me GROUP BY grp, k),
+    sel AS (SELECT '10%_' || k AS selection, grp, entity FROM me JOIN cut USING (grp, k) WHERE v >= q90 UNION ALL SELECT '25%_' || k, grp, entity FROM me JOIN cut USING (grp, k) WHERE v >= q75
+    UNION ALL SELECT 'top2_' || k, grp, entity FROM (SELECT *, row_number() OVER (PARTITION BY grp, k ORDER BY v DESC, entity) AS i FROM me) WHERE i <= 2), sd AS (SELECT * FROM deltas JOIN sel USING (grp, entity))"""
+add("u5_selections", sql("SELECT selection, grp, entity FROM sel", more=CHOSEN))(_chosen)
+add(
+    "u5_selection_fits",
+    sql(
+        f"""SELECT *, 'well' AS level FROM ({reg("selection, grp, entity", src="sd", least=5)}) UNION ALL BY NAME
+        SELECT *, 'ALL' AS entity, 'pooled' AS level FROM ({reg("selection, grp", src="sd", least=5)})""",
+        more=CHOSEN,
+    ),
+)(lambda t: places.selection_fits(t.deltas(), _chosen(t)))
+add("s6_gage_locations", "SELECT CAST(s_suppkey AS VARCHAR) AS grp, CAST(s_acctbal AS DOUBLE) AS lat, CAST(s_nationkey AS DOUBLE) AS lon FROM supplier")(
+    lambda t: readers.locations(
+        t.read("supplier").select(F.col("s_suppkey").alias("ID"), F.col("s_acctbal").alias("Latitude"), F.col("s_nationkey").alias("Longitude")), role="grp"
+    ).drop("point")
+)
+add("s7_flags", "SELECT CAST(o_custkey AS VARCHAR) AS grp, CAST(o_orderdate AS DATE) AS date, CAST(o_orderstatus = 'F' AS INT) AS bfd FROM orders")(
+    lambda t: readers.flags(
+        t.read("orders").select(F.col("o_custkey").alias("gage_id"), F.col("o_orderdate").alias("Date"), (F.col("o_orderstatus") == "F").cast("int").alias("ML_BFD"))
+    )
+)
+add("s13_upstream_map", "SELECT CAST(s_nationkey AS BIGINT) AS gage, CASE WHEN s_suppkey % 5 > 0 THEN CAST(s_suppkey AS BIGINT) END AS upstream_link FROM supplier")(
+    lambda t: readers.upstream_map(
+        t.read("supplier").select(
+            F.col("s_nationkey").cast("string").alias("Gage_ID"),
+            F.when(F.col("s_suppkey") % 5 > 0, F.col("s_suppkey").cast("string")).otherwise("none").alias("Upstream_Catchment_ID"),
+        )
+    )
+)

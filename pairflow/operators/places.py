@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .filters import above_group_quantile, top_n
+from .regression import regression
 from .spatial import points_in_polygons
 
 
@@ -69,3 +71,30 @@ def step_metrics(df: DataFrame, entity: str = "entity", group: str = "grp", date
     return df.agg(
         count, F.countDistinct(entity).alias("n_entities"), F.countDistinct(group).alias("n_groups"), F.min(date).alias("first_date"), F.max(date).alias("last_date")
     )
+
+
+def six_selections(tables: Mapping[str, DataFrame], shares: Sequence[float] = (0.1, 0.25), n: int = 10, group: str = "grp", entity: str = "entity") -> DataFrame:
+    """``(selection, grp, entity)``: of each metric the pairs at or above each group's quantile for every share, and each group's best ``n``.
+
+    ``tables`` holds per label a table ``(entity, grp, value)``. Null values are never chosen; equal values all pass a quantile, and of
+    equal values at the end of the best ``n`` the smaller entity stays.
+    """
+    out = None
+    for label, values in tables.items():
+        values = values.select(entity, group, "value").where(F.col("value").isNotNull())
+        parts = [(f"{100 * s:g}%_{label}", above_group_quantile(values, 1 - s, "value", group)) for s in shares]
+        for name, part in [*parts, (f"top{n}_{label}", top_n(values, n, "value", group, entity))]:
+            part = part.select(F.lit(name).alias("selection"), group, entity)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def selection_fits(df: DataFrame, chosen: DataFrame, least: int = 5, group: str = "grp", entity: str = "entity", all_of: str = "ALL") -> DataFrame:
+    """Least squares of each chosen entity and, as entity ``ALL``, of each group's chosen entities together, per selection.
+
+    Fits of fewer than ``least`` rows or with a constant column drop out.
+    """
+    rows = df.join(chosen, [group, entity])
+    own = regression(rows, ("selection", group, entity), least=least).withColumn("level", F.lit("well"))
+    pooled = regression(rows, ("selection", group), least=least).withColumns({entity: F.lit(all_of), "level": F.lit("pooled")})
+    return own.unionByName(pooled)

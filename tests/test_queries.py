@@ -15,7 +15,8 @@ CHOSEN = [
     "a33_class_fits", "a34_class_fits_by_season", "a43_information_fit", "a51_slope_split", "j9_by_number", "j10_class_join", "p17_without_outer_noise", "p19_display_name",
     "x6_containing_or_nearest", "x9_lines_meeting_polygons",
     "x2_entities_in_catchments", "x7_basins_of_gages", "j3_enriched_series", "j12_with_fits", "j14_match_rate", "a52_step_metrics", "t10_held_mean_curve",
-    "s3_attributes_of_series", "s8_reach_elevations", "s9_vertex_arrays", "s11_resumed_study",
+    "s3_attributes_of_series", "s8_reach_elevations", "s9_vertex_arrays", "s11_resumed_study", "u5_selections", "u5_selection_fits", "s6_gage_locations", "s7_flags",
+    "s13_upstream_map",
 ]
 
 

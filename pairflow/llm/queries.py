@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op12_byte_bpe
 from .decontamination import op9_benchmark_decontamination
 from .jaccard_join import OP4_SQL, op4_ngram_jaccard_join
 from .line_dedup import op8_line_dedup
@@ -9,6 +10,8 @@ from .lm_scoring import op2_backoff_scores
 from .packing import op10_pattern_packing
 from .quality_rules import op6_quality_rules
 from .secret_scans import OP5_SQL, op5_secret_scans
+from .spelling_variants import op13_spelling_variants
+from .token_alignment import op11_token_alignment
 from .token_blocks import op1_token_blocks
 from .toxicity import op7_toxicity
 from .url_filters import OP3_SQL, op3_url_filters
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pattern_packing": op10_pattern_packing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op3_url_filters": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_secret_scans": OP5_SQL}

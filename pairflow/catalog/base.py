@@ -38,6 +38,29 @@ def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
 
 
+def _simpson(f: Callable[[str], str], length: str, steps: int = 1000) -> str:
+    """The integral of ``f`` from 0 to ``length`` as SQL."""
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"({length}) / {3 * steps} * list_sum(list_transform(range({steps + 1}), lambda i: ({weight}) * {f(f'(i * ({length}) / {steps}.0)')}))"
+
+
+def normal_p(z: str) -> str:
+    """Two-sided p of a normal value as SQL."""
+    rest = _simpson(lambda t: f"exp(-abs({z}) * {t} - {t} * {t} / 2)", f"sqrt({z} * {z} + 82) - abs({z})")
+    return f"least(1.0, sqrt(2 / pi()) * exp(-{z} * {z} / 2) * {rest})"
+
+
+def correlation_p(rr: str, n: str) -> str:
+    """Two-sided p of a correlation as SQL: cosines to the power n - 3 beyond its angle, as a share of all of them."""
+
+    def rest(x: str) -> str:
+        slope = f"{x} / sqrt(1 - {x} * {x})"
+        length = f"CASE WHEN {n} > 3 THEN least(acos({x}), sqrt(pow({slope}, 2) + 82.0 / ({n} - 3)) - {slope}) ELSE acos({x}) END"
+        return _simpson(lambda t: f"pow(greatest(cos(asin({x}) + {t}), 0), {n} - 3)", length)
+
+    return f"CASE WHEN {n} = 2 OR abs({rr}) >= 1 THEN 0.0 WHEN {n} > 2 THEN least(1.0, ({rest(f'abs({rr})')}) / ({rest('0.0')})) END"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to ``digits`` decimals, without a negative zero."""
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from pairflow.operators import differencing, filters, information, pairing, regression, reports
 
-from .base import Tables, add, r, sql
+from .base import Tables, add, correlation_p, r, sql
 
 CLASSES = (("low", 0.0, 0.01), ("middle", 0.01, 0.05), ("high", 0.05, None))
 
 
-def reg(keys: str, x: str = "delta_wte", y: str = "delta_q", src: str = "deltas", least: int = 2, entity: str = "", where: str = "true") -> str:
+def reg(keys: str, x: str = "delta_wte", y: str = "delta_q", src: str = "deltas", least: int = 2, entity: str = "", where: str = "true", p: bool = False) -> str:
     """Least squares by key as SQL; rounded figures."""
     k = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
     e = f", count(DISTINCT {entity}) AS n_entities" if entity else ""
-    n = ", n_entities" if entity else ""
+    n = (", n_entities" if entity else "") + (f", {r(correlation_p('rr', 'n'), 'p')}" if p else "")
     return f"""SELECT {k}n, {r("slope")}, {r("my - slope * mx", "intercept")}, {r("rr", "r")}, {r("rr * rr", "r2")},
       {r("CASE WHEN n > 2 THEN sqrt(greatest(0, (1 - rr * rr) * syy / sxx / (n - 2))) ELSE 0 END", "std_err")}{n} FROM (
       SELECT *, sxy / sxx AS slope, sxy / sqrt(sxx) / sqrt(syy) AS rr FROM (
@@ -73,17 +73,22 @@ add(
         "paired",
     ),
 )(lambda t: pairing.pair_summary(t.paired()))
-add("a3_regression_by_group", sql(reg("grp", least=10, entity="entity")))(lambda t: regression.regression(t.deltas(), ("grp",), least=10, entity="entity"))
-add("a4_regression_by_pair", sql(reg("entity, grp", least=10)))(lambda t: regression.regression(t.deltas(), ("entity", "grp"), least=10))
+add("a3_regression_by_group", sql(reg("grp", least=10, entity="entity", p=True)))(
+    lambda t: regression.regression(t.deltas(), ("grp",), least=10, entity="entity", p=True)
+)
+add("a4_regression_by_pair", sql(reg("entity, grp", least=10, p=True)))(lambda t: regression.regression(t.deltas(), ("entity", "grp"), least=10, p=True))
+RANKED = """SELECT entity, grp, count(*) AS n, regr_sxy(b, a) / sqrt(regr_sxx(b, a)) / sqrt(regr_syy(b, a)) AS spearman FROM (SELECT entity, grp,
+  rank() OVER (PARTITION BY entity, grp ORDER BY delta_wte) + (count(*) OVER (PARTITION BY entity, grp, delta_wte) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY entity, grp ORDER BY delta_q) + (count(*) OVER (PARTITION BY entity, grp, delta_q) - 1) / 2.0 AS b FROM deltas)
+  GROUP BY entity, grp HAVING count(*) >= 10"""
+add("a5_spearman_by_pair", sql(f"SELECT entity, grp, n, {r('spearman')} FROM ({RANKED})"))(lambda t: regression.spearman(t.deltas(), ("entity", "grp"), least=10))
 add(
-    "a5_spearman_by_pair",
+    "u1_p_values",
     sql(
-        f"""SELECT entity, grp, count(*) AS n, {r("regr_sxy(b, a) / sqrt(regr_sxx(b, a)) / sqrt(regr_syy(b, a))", "spearman")} FROM (SELECT entity, grp,
-        rank() OVER (PARTITION BY entity, grp ORDER BY delta_wte) + (count(*) OVER (PARTITION BY entity, grp, delta_wte) - 1) / 2.0 AS a,
-        rank() OVER (PARTITION BY entity, grp ORDER BY delta_q) + (count(*) OVER (PARTITION BY entity, grp, delta_q) - 1) / 2.0 AS b FROM deltas) GROUP BY entity, grp HAVING count(*) >= 10"""
+        f"SELECT * FROM ({reg('entity, grp', least=10, p=True)}) JOIN (SELECT entity, grp, {r('spearman')}, {r(correlation_p('spearman', 'n'), 'spearman_p')} FROM sr) USING (entity, grp)",
+        more=f"sr AS ({RANKED})",
     ),
-)(lambda t: regression.spearman(t.deltas(), ("entity", "grp"), least=10))
-add("u1_p_values")(lambda t: regression.regression_by_pair(t.deltas(), p=True))
+)(lambda t: regression.regression_by_pair(t.deltas(), p=True))
 add(
     "a6_regression_overview",
     sql(

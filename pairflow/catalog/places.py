@@ -11,7 +11,7 @@ from pairflow.plans import study
 from pairflow.plans.tables import Store, shared_folder
 from pairflow.sources import readers
 
-from .base import ORACLES, Tables, add, r, sql
+from .base import Tables, add, r, sql
 from .pairs import mi, reg, stat
 from .selections import GRID, LINES, PTS, _lines, _points, _polygons
 from .series import IX, _curves
@@ -110,7 +110,7 @@ def _resumed(t: Tables):
     return study.run(store, {}, "8-9").drop("spearman")
 
 
-add("s11_resumed_study", ORACLES["a4_regression_by_pair"])(_resumed)
+add("s11_resumed_study", sql(reg("entity, grp", least=10)))(_resumed)
 
 
 def _chosen(t: Tables):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairflow.operators import cleaning, crosscorr, resample, trend
 
-from .base import Tables, add, r, sql
+from .base import Tables, add, normal_p, r, sql
 
 OUT = """oq AS (SELECT entity, count(*) AS n, quantile_cont(wte, 0.25) AS lo, quantile_cont(wte, 0.75) AS hi FROM levels GROUP BY entity),
 oo AS (SELECT l.*, coalesce(n >= 5 AND hi > lo AND (wte < lo - {k} * (hi - lo) OR wte > hi + {k} * (hi - lo)), false) AS is_outlier FROM levels l JOIN oq USING (entity))"""
@@ -87,21 +87,22 @@ m{n} AS (SELECT *, (n * (n - 1) * (2 * n + 5) - t) / 18.0 AS var_s FROM (SELECT
   LEFT JOIN (SELECT {k}, sum(c * (c - 1) * (2 * c + 5)) AS t FROM (SELECT {k}, x, count(*) AS c FROM i{n} GROUP BY 1, 2) GROUP BY 1) USING ({k})),
 k{n} AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE (s - sign(s)) / sqrt(var_s) END AS z, 2.0 * s / (n * (n - 1)) AS tau, mx - (n - 1) / 2.0 * slope AS intercept FROM m{n})"""
 FIG = f"n, {r('CAST(s AS DOUBLE)', 's')}, {r('var_s')}, {r('z')}, {r('tau')}, {r('slope')}, {r('intercept')}"
-NOP = ("n", "s", "var_s", "z", "tau", "slope", "intercept")
+FIG += f", {r(normal_p('z'), 'p')}, CASE WHEN n < 4 THEN 'insufficient data' WHEN {normal_p('z')} >= 0.05 THEN 'no trend' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS trend"
+FIG += f", n >= 4 AND {normal_p('z')} < 0.05 AS significant"
 MLEV_MK = MK.format(n=1, k="entity", src="SELECT entity, date AS d, wte AS x FROM mlev")
-add("a12_mann_kendall", sql(f"SELECT entity, {FIG} FROM k1", "mlev", MLEV_MK))(lambda t: trend.mann_kendall(t.mlev(), "entity", value="wte", p=False))
-add("u2_trend_labels")(lambda t: trend.mann_kendall(t.mlev(), "entity", value="wte"))
+add("a12_mann_kendall", sql(f"SELECT entity, {FIG} FROM k1", "mlev", MLEV_MK))(lambda t: trend.mann_kendall(t.mlev(), "entity", value="wte"))
+add("u2_trend_labels", sql(f"SELECT entity, {FIG} FROM k1", "mlev", MLEV_MK))(lambda t: trend.mann_kendall(t.mlev(), "entity", value="wte"))
 LT = MLEV_MK + """, gp AS (SELECT entity, median(g) AS gap, min(date) AS first_date, max(date) AS last_date FROM (SELECT *, datediff('day', lag(date) OVER (PARTITION BY entity ORDER BY date), date) AS g FROM mlev) GROUP BY 1 HAVING count(*) >= 10),
 lt AS (SELECT *, slope * 365.25 / gap AS sen_slope_yr, round_even(datediff('day', first_date, last_date) / 365.25, 2) AS year_span FROM k1 JOIN gp USING (entity))"""
-add("a13_level_trends", sql(f"SELECT entity, {FIG}, first_date, last_date, {r('sen_slope_yr')}, {r('year_span')} FROM lt", "mlev", LT))(lambda t: trend.level_trends(t.mlev(), p=False))
-add("a14_flow_trends", sql(f"SELECT grp, {FIG}, {r('12 * slope', 'sen_slope_yr')} FROM k1", "mflow", MK.format(n=1, k="grp", src="SELECT grp, date AS d, avg(q) AS x FROM mflow GROUP BY 1, 2")))(lambda t: trend.group_trends(t.mflow(), p=False))
+add("a13_level_trends", sql(f"SELECT entity, {FIG}, first_date, last_date, {r('sen_slope_yr')}, {r('year_span')} FROM lt", "mlev", LT))(lambda t: trend.level_trends(t.mlev()))
+add("a14_flow_trends", sql(f"SELECT grp, {FIG}, {r('12 * slope', 'sen_slope_yr')} FROM k1", "mflow", MK.format(n=1, k="grp", src="SELECT grp, date AS d, avg(q) AS x FROM mflow GROUP BY 1, 2")))(lambda t: trend.group_trends(t.mflow()))
 add(
     "a15_group_level_trends",
     sql(f"SELECT grp, {FIG}, {r('12 * slope', 'sen_slope_yr')}, n_entities FROM k1 JOIN (SELECT grp, count(DISTINCT entity) AS n_entities FROM paired GROUP BY 1) USING (grp)", "paired", MK.format(n=1, k="grp", src="SELECT grp, date AS d, avg(wte) AS x FROM paired GROUP BY 1, 2")),
-)(lambda t: trend.group_trends(t.paired(), value="wte", entity="entity", p=False))
+)(lambda t: trend.group_trends(t.paired(), value="wte", entity="entity"))
 ANN = MK.format(n=1, k="grp", src="SELECT grp, year AS d, x FROM ya WHERE grp IN (SELECT grp FROM yf)")
 ANN = f"ya AS (SELECT grp, year(date) AS year, avg(q) AS x, count(DISTINCT month(date)) AS months FROM flows GROUP BY 1, 2), yf AS (SELECT grp, count(*) AS years, CAST(sum(months) AS BIGINT) AS months, avg(x) AS mean_flow FROM ya GROUP BY 1 HAVING count(*) >= 5 AND sum(months) >= 12), {ANN}"
-add("a16_annual_trends", sql(f"SELECT grp, {FIG}, years, months, {r('mean_flow')}, {r('CASE WHEN mean_flow > 0 THEN 100 * slope / mean_flow END', 'pct_of_mean')} FROM k1 JOIN yf USING (grp)", "flows", ANN))(lambda t: trend.annual_trends(t.flows(), p=False))
+add("a16_annual_trends", sql(f"SELECT grp, {FIG}, years, months, {r('mean_flow')}, {r('CASE WHEN mean_flow > 0 THEN 100 * slope / mean_flow END', 'pct_of_mean')} FROM k1 JOIN yf USING (grp)", "flows", ANN))(lambda t: trend.annual_trends(t.flows()))
 add(
     "a17_trend_overview",
     sql(
@@ -116,13 +117,13 @@ add("a47_linear_trends", sql(f"SELECT entity, n, {r('slope_yr')}, {r('r2')} FROM
 add(
     "a46_rank_sum",
     sql(
-        f"""SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {r("u")}, {r("sign(u - n1 * n2 / 2) * greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1))))", "z")} FROM (
+        f"""SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {r("u")}, {r("sign(u - n1 * n2 / 2) * greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1))))", "z")}, {r(normal_p("zz"), "p")} FROM (SELECT *, sign(u - n1 * n2 / 2) * greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))) AS zz FROM (
         SELECT sum(f) AS n1, sum(1 - f) AS n2, sum(rk * f) - sum(f) * (sum(f) + 1) / 2 AS u, 0.0 + (SELECT sum(c * c * c - c) FROM (SELECT count(*) AS c FROM lf GROUP BY r2)) AS t
-        FROM (SELECT CAST(CASE WHEN slope_yr < 0 THEN 1 ELSE 0 END AS DOUBLE) AS f, rank() OVER (ORDER BY r2) + (count(*) OVER (PARTITION BY r2) - 1) / 2.0 AS rk FROM lf))""",
+        FROM (SELECT CAST(CASE WHEN slope_yr < 0 THEN 1 ELSE 0 END AS DOUBLE) AS f, rank() OVER (ORDER BY r2) + (count(*) OVER (PARTITION BY r2) - 1) / 2.0 AS rk FROM lf)))""",
         "mlev",
         LIN,
     ),
-)(lambda t: trend.rank_sum(trend.linear_trends(t.mlev()), F.col("slope_yr") < 0, "r2", p=False))
+)(lambda t: trend.rank_sum(trend.linear_trends(t.mlev()), F.col("slope_yr") < 0, "r2"))
 
 IX = f"""ix AS (SELECT *, (delta_wte - avg(delta_wte) OVER p) / (stddev_pop(delta_wte) OVER p + 1e-10) AS zx, (delta_q - avg(delta_q) OVER p) / (stddev_pop(delta_q) OVER p + 1e-10) AS zy FROM (
   SELECT grp, entity, date, delta_wte, delta_q, row_number() OVER (PARTITION BY grp, entity ORDER BY date) AS i, count(*) OVER (PARTITION BY grp, entity) AS n FROM deltas) WINDOW p AS (PARTITION BY grp, entity)),
@@ -133,7 +134,7 @@ pk AS (SELECT grp, entity, max(n) AS n_obs, arg_min(lag, struct_pack(a := -abs(c
 
 
 def _curves(t: Tables):
-    return crosscorr.cross_correlation(t.deltas())
+    return crosscorr.cross_correlation(t.deltas(), limit=12)
 
 
 add("t7_cross_correlation", sql(f"SELECT grp, entity, n, lag, {r('c')} FROM cc", "deltas", IX))(_curves)

@@ -1,46 +1,58 @@
-"""Tail probabilities that SQL lacks, as Arrow functions over rows that are aggregated already."""
+"""Tail probabilities that SQL lacks, as column expressions: the density from a value on by Gauss-Legendre quadrature."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-
-def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction, for all elements at once."""
-    swap = x > (a + 1) / (a + b + 2)
-    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    gamma = np.vectorize(math.lgamma, otypes=[float])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = np.ones_like(x), 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
-    out = d.copy()
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + num / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            out *= d * c
-    out = np.where((x <= 0) | (x >= 1), np.where(x >= 1, 1.0, 0.0), front * out)
-    return np.where(swap, 1 - out, out)
-
-
-@F.pandas_udf(DoubleType())
-def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p of a correlation of n pairs by Student's t with n - 2 degrees; null below 3 pairs, 0 for |r| = 1."""
-    r, n = r.to_numpy(float), n.to_numpy(float)
-    ok = ~np.isnan(r) & (n >= 3)
-    r2, df = np.clip(np.where(ok, r * r, 0.5), 0, 1), np.where(ok, n - 2, 1)
-    return pd.Series(np.where(ok, beta_inc(df / 2, np.full(len(r), 0.5), 1 - r2), np.nan)).astype(object).where(pd.Series(ok), None).astype("Float64")
-
-
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided p of a standard normal value."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype("Float64")
+
+#: Nodes of the quadrature; relative errors stay below 1e-12.
+NODES = 48
+#: The interval ends where a density has fallen to exp(-41) of its height at the start, below the last bit of a double.
+FALL = 41.0
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _integral(f: Callable[[Column], Column], length: Column) -> Column:
+    """The integral of ``f`` from 0 to ``length``."""
+    at, weights = np.polynomial.legendre.leggauss(NODES)
+    nodes = F.array(*[F.struct(F.lit(float((1 + x) / 2)).alias("x"), F.lit(float(w / 2)).alias("w")) for x, w in zip(at, weights, strict=True)])
+    return length * F.aggregate(nodes, F.lit(0.0), lambda total, n: total + n["w"] * f(n["x"] * length))
+
+
+def _at_most_1(p: Column) -> Column:
+    return F.when(p > 1, 1.0).when(p <= 1, p)
+
+
+def normal_p(z: Column | str) -> Column:
+    """Two-sided p of a standard normal value; null stays null."""
+    a = F.abs(_column(z).cast("double"))
+    length = 2 * FALL / (F.sqrt(a * a + 2 * FALL) + a)
+    rest = _integral(lambda t: F.exp(-a * t - t * t / 2), length)
+    return _at_most_1(math.sqrt(2 / math.pi) * F.exp(-a * a / 2) * rest)
+
+
+def correlation_p(r: Column | str, n: Column | str) -> Column:
+    """Two-sided p of a correlation of n pairs by Student's t with n - 2 degrees; null below 3 pairs, 0 for |r| = 1.
+
+    With sin(angle) = r the density is a power n - 3 of the cosine, so p is that power's integral from the angle to a right angle, as a
+    share of the integral from 0.
+    """
+    a, n = F.abs(_column(r).cast("double")), _column(n)
+    k = (n - 3).cast("double")
+
+    def rest(slope: Column, most: Column) -> Column:
+        fall = F.try_divide(F.lit(2 * FALL), k)
+        length = F.least(most, F.coalesce(fall / (F.sqrt(slope * slope + fall) + slope), most))
+        return _integral(lambda t: F.pow(F.greatest(F.cos(t) - slope * F.sin(t), F.lit(0.0)), k), length)
+
+    cosine = F.sqrt((1 - a) * (1 + a))
+    p = F.pow(cosine, k) * rest(a / cosine, F.acos(a)) / rest(F.lit(0.0), F.lit(math.pi / 2))
+    known = (n >= 3) & ~F.isnan(a)
+    return F.when(known & (a >= 1), 0.0).when(known, _at_most_1(p))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pairflow.functions.columns import DAYS_A_YEAR, unplaced
 
+from .ranks import exact_quantiles
+
 
 def iqr_outliers(levels: DataFrame, entity: str = "entity", value: str = "wte", least: int = 5, k: float = 3.0) -> DataFrame:
     """Adds ``is_outlier``: outside the entity's quartiles by more than k interquartile ranges, if it has ``least`` rows and a positive range."""
@@ -25,8 +27,9 @@ def without_outliers(levels: DataFrame, **how) -> DataFrame:
 
 def global_outliers(df: DataFrame, column: str, z: float = 3.0, k: float = 1.5) -> DataFrame:
     """Adds ``z_outlier, iqr_outlier, any_outlier, both_outlier`` by population z-score and quartiles over all rows."""
-    one = df.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    out = df.join(F.broadcast(one))  # a single row
+    one = df.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
+    q = exact_quantiles(df, column, [0.25, 0.75]).select(F.col("q").alias("_q"))
+    out = df.join(F.broadcast(one)).join(F.broadcast(q))  # single rows
     span = F.col("_q")[1] - F.col("_q")[0]
     far = F.coalesce(F.try_divide(F.abs(F.col(column) - F.col("_m")), F.col("_s")) > z, F.lit(False))
     wide = F.coalesce((F.col(column) < F.col("_q")[0] - k * span) | (F.col(column) > F.col("_q")[1] + k * span), F.lit(False))

@@ -1,43 +1,87 @@
-"""Cross-correlation over row lags, per pair, as equi self-joins on a row index."""
+"""Cross-correlation over row lags, per pair, by Fourier transforms of its two series."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .regression import regression
+from .series import by_series
 
 
-def _indexed(df: DataFrame, keys, date: str, x: str, y: str, least: int) -> DataFrame:
-    """Rows of both values by date: place ``i``, count ``n`` and population z-values ``zx, zy``."""
-    w = W.partitionBy(*keys)
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"i": F.row_number().over(w.orderBy(date)), "n": F.count("*").over(w)})
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-10)
-    return rows.where(F.col("n") >= least).select(*keys, date, "i", "n", z(x).alias("zx"), z(y).alias("zy"))
+#: Rows of a series that are transformed at once.
+CHUNK = 1 << 15
 
 
-def cross_correlation(df: DataFrame, keys=("grp", "entity"), date: str = "date", x: str = "delta_wte", y: str = "delta_q", limit: int = 12, least: int = 36) -> DataFrame:
-    """``(keys, n, lag, c)`` for lags -limit..limit: c is the mean over n of x at i times y at i - lag, so at positive lags y leads.
+def lag_sums(x: np.ndarray, y: np.ndarray, first: int, last: int, chunk: int = CHUNK) -> np.ndarray:
+    """The sum of x at i times y at i - lag for each lag from ``first`` to ``last``, by Fourier transforms of ``chunk`` rows of x and the
+    rows of y that they meet."""
+    out = np.zeros(last - first + 1)
+    for a in range(0, len(x), chunk):
+        own = x[a : a + chunk]
+        met = np.zeros(len(own) + last - first)
+        low, high = max(0, a - last), min(len(y), a + len(own) - first)
+        if low >= high:
+            continue
+        met[low - (a - last) : high - (a - last)] = y[low:high]
+        size = 1 << (len(met) - 1).bit_length()
+        out += np.fft.irfft(np.conj(np.fft.rfft(own, size)) * np.fft.rfft(met, size), size)[: last - first + 1][::-1]
+    return out
 
-    Lags count rows. Pairs under ``least`` rows are left out.
+
+def _both(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+
+
+def cross_correlation(df: DataFrame, keys=("grp", "entity"), date: str = "date", x: str = "delta_wte", y: str = "delta_q", limit: int = 3650, least: int = 36) -> DataFrame:
+    """``(keys, n, lag, c)`` for lags -limit..limit: c is the mean over n of x at i times y at i - lag (population z-values), so at positive lags y leads.
+
+    Lags count rows; a lag without a common row has none. Pairs under ``least`` rows are left out. A pair's two arrays are convolved by
+    Fourier transforms in chunks, so its cost hardly grows with ``limit``.
     """
-    rows = _indexed(df, keys, date, x, y, least)
-    left = rows.select(*keys, "n", "i", "zx", F.explode(F.sequence(F.lit(-limit), F.lit(limit))).alias("lag"))
-    right = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("_i"), "zy")
-    out = left.join(right, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("i") - F.col("lag") == F.col("_i")])
-    return out.groupBy(*keys, "n", "lag").agg((F.sum(F.col("zx") * F.col("zy")) / F.col("n")).alias("c"))
+
+    def curve(x: np.ndarray, y: np.ndarray):
+        n = len(x)
+        if n < least:
+            return None
+        most = min(limit, n - 1)
+        zx, zy = ((v - v.mean()) / (v.std() + 1e-10) for v in (x, y))
+        return np.full(2 * most + 1, n), np.arange(-most, most + 1), lag_sums(zx, zy, -most, most) / n
+
+    return by_series(_both(df, x, y), keys, (date,), (x, y), curve, "n long, lag int, c double")
 
 
 def lagged_correlation(df: DataFrame, keys=("grp", "entity"), date: str = "date", x: str = "delta_wte", y: str = "delta_q", limit: int = 60, least: int = 36, overlap: int = 5) -> DataFrame:
-    """``(keys, lag, n, r)`` for lags 0..limit: Pearson of x at i and y at i + lag, so at positive lags x leads; ``n`` is the overlap."""
-    rows = _indexed(df, keys, date, x, y, least)
-    left = rows.select(*keys, "i", "zx", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("lag"))
-    right = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("_i"), "zy")
-    both = left.join(right, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("i") + F.col("lag") == F.col("_i")])
-    return regression(both, (*keys, "lag"), "zx", "zy", overlap).select(*keys, "lag", "n", "r")
+    """``(keys, lag, n, r)`` for lags 0..limit: Pearson of x at i and y at i + lag, so at positive lags x leads; ``n`` is the overlap.
+
+    Lags under ``overlap`` common rows, and those over which a column is constant, are left out. Products come from Fourier transforms, sums and squares
+    from running sums.
+    """
+
+    def curve(x: np.ndarray, y: np.ndarray):
+        n = len(x)
+        if n < least:
+            return None
+        most = min(limit, n - overlap)
+        if most < 0:
+            return None
+        lags = np.arange(most + 1)
+        m = n - lags
+        x, y = ((v - v.mean()) / (v.std() or 1.0) for v in (x, y))
+        # of x the first m rows, of y the last m
+        sx, sxx = np.cumsum(x)[m - 1], np.cumsum(x * x)[m - 1]
+        sy, syy = np.cumsum(y[::-1])[m - 1], np.cumsum(y[::-1] ** 2)[m - 1]
+        sxy = lag_sums(x, y, -most, 0)[::-1]
+        same_x = np.flatnonzero(x != x[0])[0] if (x != x[0]).any() else n
+        same_y = np.flatnonzero(y[::-1] != y[-1])[0] if (y != y[-1]).any() else n
+        varies = (m > same_x) & (m > same_y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (sxy - sx * sy / m) / np.sqrt((sxx - sx * sx / m) * (syy - sy * sy / m))
+        return lags[varies], m[varies], r[varies]
+
+    return by_series(_both(df, x, y), keys, (date,), (x, y), curve, "lag int, n long, r double")
 
 
 def peaks(curves: DataFrame, keys=("grp", "entity"), value: str = "c", n: str = "n") -> DataFrame:
@@ -70,12 +114,15 @@ def held_mean_curve(
     """
     own = curves.where(F.col(value).isNotNull()).groupBy(*keys)
     points = own.agg(F.sort_array(F.collect_list(F.struct(F.col("lag").cast("double").alias("lag"), F.col(value).alias("v")))).alias("p"))
-    at = points.select(*keys, "p", F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("lag"))
-    g = F.col("lag")
-    below = F.try_element_at(F.filter("p", lambda e: e["lag"] <= g), F.lit(-1))
-    above = F.try_element_at(F.filter("p", lambda e: e["lag"] >= g), F.lit(1))
-    at = at.select(*keys, "lag", below.alias("a"), above.alias("b"))
-    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * F.coalesce(F.try_divide(g - F.col("a.lag"), F.col("b.lag") - F.col("a.lag")), F.lit(0.0))
-    at = at.select(group, "lag", F.coalesce(between, "a.v", "b.v").alias("v"))
+
+    def between(g):
+        below = F.try_element_at(F.filter("p", lambda e: e["lag"] <= g), F.lit(-1))
+        above = F.try_element_at(F.filter("p", lambda e: e["lag"] >= g), F.lit(1))
+        share = F.coalesce(F.try_divide(g - below["lag"], above["lag"] - below["lag"]), F.lit(0.0))
+        return F.coalesce(below["v"] + (above["v"] - below["v"]) * share, below["v"], above["v"])
+
+    # each curve becomes the array of its values at the grid within its own row; only those are dealt out
+    values = F.transform(F.array(*[F.lit(float(g)) for g in grid]), lambda g: F.struct(g.alias("lag"), between(g).alias("v")))
+    at, g = points.select(group, F.inline(values)), F.col("lag")
     out = at.groupingSets([[F.col(group), g], [g]], F.col(group), g)
     return out.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), (F.stddev_pop("v") / F.sqrt(F.count("*"))).alias("error"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pairflow.functions.columns import ELEVATION_EDGES, FEET_TO_METRES, bin_labels, bin_order, clean_id, right_closed_bins
 
+from .ranks import exact_quantiles
+
 
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None, date: str = "date") -> DataFrame:
     """Rows from ``start`` to ``end``, both included, each optional."""
@@ -40,7 +42,7 @@ def without_known_errors(df: DataFrame, rules: DataFrame, group: str = "grp", va
 
 def top_share_of_entities(df: DataFrame, stats: DataFrame, percent: float = 10, metric: str = "r2", entity: str = "entity") -> DataFrame:
     """Rows of entities with a pair whose metric reaches the (100 - percent) percentile of all pairs."""
-    cut = stats.agg(F.percentile(metric, 1 - percent / 100).alias("_cut"))
+    cut = exact_quantiles(stats, metric, [1 - percent / 100]).select(F.col("q")[0].alias("_cut"))
     best = stats.join(F.broadcast(cut), F.col(metric) >= F.col("_cut")).select(entity).distinct()  # a single row
     return df.join(best, entity, "left_semi")
 
@@ -66,15 +68,15 @@ def elevation_filter(levels: DataFrame, reaches: DataFrame, buffer: float = 30.0
 def trimmed(df: DataFrame, columns: Sequence[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Rows inside each column's quantiles, one column after the other, each over what is left."""
     for c in columns:
-        q = df.agg(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias("_q"))
+        q = exact_quantiles(df, c, [low, high]).select(F.col("q").alias("_q"))
         df = df.join(F.broadcast(q), F.col(c).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")  # a single row
     return df
 
 
 def clipped(df: DataFrame, column: str, low: float, high: float, keys: Sequence[str] = ()) -> DataFrame:
     """Values saturate at their group's percentiles; no row goes."""
-    q = df.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    out = df.join(q, list(keys), "left") if keys else df.join(F.broadcast(q))
+    q = exact_quantiles(df, column, [low, high], keys).withColumnRenamed("q", "_q")
+    out = df.join(q, list(keys), "left") if keys else df.join(F.broadcast(q))  # a single row
     return out.withColumn(column, F.greatest(F.least(F.col(column), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
 
 

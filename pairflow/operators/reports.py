@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairflow.functions.columns import missing, threshold_class
 
+from .ranks import exact_quantiles
 from .regression import regression
 
 
@@ -146,15 +147,15 @@ def class_shares(df: DataFrame, column: str) -> DataFrame:
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of columns, a row each."""
     rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
+    out = rows.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    out = out.join(exact_quantiles(rows, "v", [0.25, 0.5, 0.75], ["column"]), "column", "left")
     return out.withColumns({c: F.col("q")[i] for i, c in enumerate(("q25", "q50", "q75"))}).drop("q")
 
 
 def value_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """5th and 95th percentile over the pooled columns; infinities are missing."""
     pooled = df.select(F.explode(F.array(*[missing(F.col(c)) for c in columns])).alias("v"))
-    return pooled.agg(F.percentile("v", 0.05).alias("q05"), F.percentile("v", 0.95).alias("q95"))
+    return exact_quantiles(pooled, "v", [0.05, 0.95]).select(F.col("q")[0].alias("q05"), F.col("q")[1].alias("q95"))
 
 
 def season_report(stats: DataFrame, slopes: Sequence[str], r2s: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,25 +10,90 @@ from pyspark.sql import functions as F
 from pairflow.functions.columns import DAYS_A_YEAR
 from pairflow.functions.tails import normal_p
 
+from .ranks import value_ranks
 from .regression import regression
+from .series import by_series
 
 
-def mann_kendall(series: DataFrame, key: str, date: str = "date", value: str = "x", least: int = 4, most: int = 5000, p: bool = True) -> DataFrame:
+#: Series up to this length have their few slopes sorted; longer ones never list them.
+FEW = 256
+
+
+def falls(y: np.ndarray, ties: bool) -> int:
+    """How many pairs of places i < j have y[j] < y[i] (``ties``: or equal).
+
+    Inversions by merging from the top bit of ranks down: at each bit the rows of a group split into zeros and ones, a zero counts the ones
+    before it, and both halves go on in their order. Linear in the rows for each bit.
+    """
+    n = len(y)
+    order = np.argsort(y, kind="stable")
+    rank = np.empty(n, np.int64)
+    if ties:  # of equal values the later has the smaller rank
+        order = n - 1 - np.argsort(y[::-1], kind="stable")
+    rank[order] = np.arange(n)
+    total = 0
+    for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        one = rank >> bit & 1
+        group = rank >> (bit + 1) << (bit + 1)  # ranks fill 0 to n - 1, so a group begins at its smallest rank
+        ones = np.cumsum(one) - one
+        ones -= ones[group]
+        total += int(ones[one == 0].sum())
+        zeros = np.arange(n) - group - ones
+        place = np.where(one == 0, group + zeros, np.minimum(group + (1 << bit), n) + ones)
+        moved = np.empty_like(rank)
+        moved[place] = rank
+        rank = moved
+    return total
+
+
+def _slope(x: np.ndarray, k: int) -> float:
+    """The k-th smallest slope (from 1) of all pairs of places, by bisection of slopes and counting of those up to each."""
+    i = np.arange(len(x), dtype=float)
+    high = float(x.max() - x.min())
+    low = -high
+    for _ in range(64):
+        middle = (low + high) / 2
+        if not low < middle < high:
+            break
+        if falls(x - middle * i, True) >= k:
+            high = middle
+        else:
+            low = middle
+    # a pair whose slope it is now stands next to each other in the order of what the line leaves
+    order = np.argsort(x - high * i, kind="stable")
+    near = np.diff(x[order]) / np.diff(i[order])
+    return float(near[np.argmin(np.abs(near - high))])
+
+
+def median_slope(x: np.ndarray) -> float:
+    """The median of the slopes of all pairs of places; the mean of the middle two of an even number."""
+    n = len(x)
+    pairs = n * (n - 1) // 2
+    if n <= FEW:
+        i, j = np.triu_indices(n, 1)
+        return float(np.median((x[j] - x[i]) / (j - i)))
+    low = _slope(x, (pairs + 1) // 2)
+    return low if pairs % 2 else (low + _slope(x, pairs // 2 + 1)) / 2
+
+
+def _kendall(x: np.ndarray):
+    """n, S, the sum of t(t-1)(2t+5) over ties, Sen's slope and the median of one series."""
+    n = len(x)
+    if n < 2:
+        return [n], [None], [0.0], [None], [float(x[0])]
+    pairs = n * (n - 1) // 2
+    t = np.unique(x, return_counts=True)[1].astype(float)
+    return [n], [float(pairs - falls(x, True) - falls(x, False))], [float((t * (t - 1) * (2 * t + 5)).sum())], [median_slope(x)], [float(np.median(x))]
+
+
+def mann_kendall(series: DataFrame, key: str, date: str = "date", value: str = "x", least: int = 4, p: bool = True) -> DataFrame:
     """``n, s, var_s, z, tau, slope, intercept`` (``p, trend, significant``) per key, over non-null rows by date.
 
-    Pairs are an ordered self-join within the key, n(n-1)/2 rows that are summed where they arise; a key with more than
-    ``most`` points raises an error rather than being cut. Keys under ``least`` points get the trend ``insufficient data`` and no figures.
+    No pairs are listed: S counts inversions by merging, Sen's slope is selected by bisecting slopes and counting the pairs up to each, so
+    a series of any length takes memory in proportion to it. Keys under ``least`` points get the trend ``insufficient data`` and no figures.
     """
-    w = W.partitionBy(key).orderBy(date)
-    rows = series.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(W.partitionBy(key)).alias("n"))
-    rows = rows.where(F.when(F.col("n") > most, F.raise_error(F.lit(f"a series has more than {most} points"))).otherwise(F.lit(True)).cast("boolean"))
-    n = rows.groupBy(key).agg(F.count("*").alias("n"), F.median("x").alias("mx"))
-    later = rows.select(F.col(key).alias("_k"), F.col("x").alias("y"), F.col("i").alias("j"))
-    pairs = rows.join(later, (F.col(key) == F.col("_k")) & (F.col("i") < F.col("j")))
-    d = F.col("y") - F.col("x")
-    sums = pairs.groupBy(key).agg(F.sum(F.signum(d)).alias("s"), F.median(d / (F.col("j") - F.col("i"))).alias("slope"))
-    ties = rows.groupBy(key, "x").count().groupBy(key).agg(F.sum(F.col("count") * (F.col("count") - 1) * (2 * F.col("count") + 5)).alias("t"))
-    out = n.join(sums, key, "left").join(ties, key, "left")
+    rows = series.where(F.col(value).isNotNull()).select(key, date, F.col(value).cast("double").alias("x"))
+    out = by_series(rows, (key,), (date,), ("x",), _kendall, "n long, s double, t double, slope double, mx double")
     m = F.col("n")
     out = out.withColumn("var_s", (m * (m - 1) * (2 * m + 5) - F.col("t")) / 18.0)
     out = out.withColumns(
@@ -97,10 +163,7 @@ def linear_trends(levels: DataFrame, entity: str = "entity", date: str = "date",
 def rank_sum(df: DataFrame, first, value: str, p: bool = True) -> DataFrame:
     """Mann-Whitney U of rows where ``first`` holds against the others; normal p with tie and continuity correction."""
     rows = df.where(F.col(value).isNotNull() & first.isNotNull()).withColumn("_f", first)
-    # ranks by distinct value: the window runs over value counts
-    counts = rows.groupBy(value).agg(F.count("*").alias("c"), F.count_if("_f").alias("a"))
-    below = F.coalesce(F.sum("c").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("r", below + (F.col("c") + 1) / 2)
+    ranked = value_ranks(rows, value, a=F.count_if("_f")).withColumn("r", F.col("before") + (F.col("c") + 1) / 2)
     one = ranked.agg(F.sum("a").alias("n1"), (F.sum("c") - F.sum("a")).alias("n2"), F.sum(F.col("r") * F.col("a")).alias("r1"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("t"))
     n1, n2 = F.col("n1"), F.col("n2")
     u = F.col("r1") - n1 * (n1 + 1) / 2

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairflow.functions.tails import beta_inc, correlation_p, normal_p
-from pairflow.operators import classes, cleaning, crosscorr, differencing, filters, graph, information, pairing, regression, resample, spatial, trend
+from pairflow.functions.tails import correlation_p, normal_p
+from pairflow.operators import classes, cleaning, crosscorr, differencing, filters, graph, information, pairing, ranks, regression, resample, series as whole, spatial, trend
 from pairflow.plans.tables import steps_of
 from pairflow.sources import readers
 
@@ -63,7 +63,32 @@ def test_tail_probabilities(spark):
     got = spark.createDataFrame([(0.631897, 10), (math.sqrt(0.5), 3), (1.0, 5), (None, 5), (0.3, 2)], "r double, n long").select(correlation_p("r", "n").alias("p")).collect()
     assert got[0].p == pytest.approx(0.05, abs=1e-5) and got[1].p == pytest.approx(0.5) and got[2].p == 0.0 and got[3].p is None and got[4].p is None
     assert spark.range(1).select(normal_p(F.lit(1.959964)).alias("p")).first().p == pytest.approx(0.05, abs=1e-6)
-    assert beta_inc(np.array([2.0]), np.array([3.0]), np.array([0.5]))[0] == pytest.approx(0.6875)
+
+
+def beta_inc(a, b, x):
+    """Regularised incomplete beta function by its continued fraction."""
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_inc(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 5000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d)
+            c = 1 + num / c
+            out *= d * c
+    return front * out
+
+
+def test_tail_probabilities_over_a_grid(spark):
+    assert beta_inc(2.0, 3.0, 0.5) == pytest.approx(0.6875)
+    grid = [(r, n) for n in (3, 4, 5, 10, 37, 1000, 250_000, 10_000_000) for r in (1e-4, 0.0004, 0.03, -0.2, 0.55, -0.9, 0.9999)]
+    got = spark.createDataFrame(grid, "r double, n long").select("r", "n", correlation_p("r", "n").alias("p")).collect()
+    for row in got:
+        assert row.p == pytest.approx(beta_inc((row.n - 2) / 2, 0.5, 1 - row.r * row.r), rel=1e-7, abs=1e-300), row
+    zs = [0.0, 1e-6, -0.5, 1.0, 3.3, -9.0, 37.0]
+    for row in spark.createDataFrame([(z,) for z in [*zs, None]], "z double").select("z", normal_p("z").alias("p")).collect():
+        assert row.p is None if row.z is None else row.p == pytest.approx(math.erfc(abs(row.z) / math.sqrt(2)), rel=1e-11)
 
 
 def test_mutual_information_edges(spark):
@@ -95,6 +120,96 @@ def test_mann_kendall_line_ties_and_short_series(spark):
     assert got["short"].trend == "insufficient data" and got["short"].s is None and got["flat"].trend == "no trend"
 
 
+def brute_slopes(x):
+    i, j = np.triu_indices(len(x), 1)
+    return (x[j] - x[i]) / (j - i)
+
+
+def test_counting_and_selection_equal_all_pairs():
+    rng = np.random.default_rng(7)
+    for n in (2, 3, 5, 31, 64, 65, 257, 300, 501):
+        for x in (rng.normal(size=n), rng.integers(0, 4, n).astype(float), 3.0 * np.arange(n), np.ones(n), rng.normal(size=n).cumsum() * 1e6):
+            i, j = np.triu_indices(n, 1)
+            assert trend.falls(x, True) == (x[j] <= x[i]).sum() and trend.falls(x, False) == (x[j] < x[i]).sum()
+            assert trend.median_slope(x) == pytest.approx(np.median(brute_slopes(x)), rel=1e-9, abs=1e-12)
+            for k in {1, n * (n - 1) // 2, n * (n - 1) // 3 + 1}:
+                assert trend._slope(x, k) == pytest.approx(np.sort(brute_slopes(x))[k - 1], rel=1e-9, abs=1e-9 * (1 + abs(x).max()))
+
+
+def test_mann_kendall_of_a_century_of_days(spark):
+    """36,500 points, whose 666 million pairs are only counted here, in blocks."""
+    n = 36_500
+    x = np.array([i // 50 + i * 7919 % 211 + math.sin(i) for i in range(n)])
+    rows = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("date"), (F.floor(F.col("id") / 50) + F.col("id") * 7919 % 211 + F.sin("id")).alias("x"))
+    got = trend.mann_kendall(rows, "k").first()
+    s = below = up_to = 0
+    for a in range(0, n, 500):
+        j = np.arange(a, n)
+        own = np.arange(a, min(n, a + 500))
+        later = j[None, :] > own[:, None]
+        d = x[None, j] - x[own][:, None]
+        s += int(np.sign(d)[later].sum())
+        m = got.slope * (j[None, :] - own[:, None])
+        below += int((d < m - 1e-9)[later].sum())
+        up_to += int((d < m + 1e-9)[later].sum())
+    assert got.n == n and got.s == s and below <= n * (n - 1) // 4 <= up_to and got.trend == "increasing"
+
+
+def test_series_are_whole_in_order_and_apart(spark):
+    """Keys with nulls, series longer than a batch, series without rows out."""
+    rows = [(k, None if k == "b" else 1, i, float(i)) for k in ("a", "b", None) for i in range(50)] + [("a", 2, 0, 9.0), ("few", 1, 0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, g int, at int, x double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        told = lambda x: None if x[0] == 1.0 else ([len(x)], [float((np.diff(x) == 1).all())])
+        got = {(r.k, r.g): (r.n, r.whole) for r in whole.by_series(df, ("k", "g"), ("at",), ("x",), told, "n long, whole double").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {("a", 1): (50, 1.0), ("b", None): (50, 1.0), (None, 1): (50, 1.0), ("a", 2): (1, 1.0)}
+    assert whole.by_series(df.limit(0), ("k", "g"), ("at",), ("x",), told, "n long, whole double").count() == 0
+
+
+def test_cross_correlation_over_ten_years_of_lags(spark):
+    n, limit = 9000, 3650
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=n).cumsum(), rng.normal(size=n)
+    y[40:] += x[:-40]
+    rows = spark.createDataFrame([("g", "e", i, float(x[i]), float(y[i])) for i in range(n)], "grp string, entity string, date int, delta_wte double, delta_q double")
+    got = {r.lag: (r.n, r.c) for r in crosscorr.cross_correlation(rows).collect()}
+    zx, zy = ((v - v.mean()) / v.std() for v in (x, y))
+    direct = lambda lag: sum(zx[max(0, lag) : n + min(0, lag)] * zy[max(0, -lag) : n - max(0, lag)]) / n
+    assert sorted(got) == list(range(-limit, limit + 1))
+    assert all(got[lag] == (n, pytest.approx(direct(lag), abs=1e-9)) for lag in (-limit, -3649, -777, -40, -1, 0, 1, 40, 2000, limit))
+    late = {r.lag: (r.n, r.r) for r in crosscorr.lagged_correlation(rows, limit=limit).collect()}
+    assert len(late) == limit + 1
+    assert all(late[lag] == (n - lag, pytest.approx(np.corrcoef(x[: n - lag], y[lag:])[0, 1], abs=1e-9)) for lag in (0, 1, 40, 999, limit))
+    assert np.allclose(crosscorr.lag_sums(x, y, -7, 9, chunk=100), [sum(x[i] * y[i - k] for i in range(n) if 0 <= i - k < n) for k in range(-7, 10)])
+
+
+def test_lags_over_constant_rows_are_left_out(spark):
+    x = [1.0] * 30 + [2.0, 3.0, 1.0, 5.0, 2.0, 9.0]
+    rows = spark.createDataFrame([("g", "e", i, x[i], float(i * i % 11)) for i in range(36)], "grp string, entity string, date int, delta_wte double, delta_q double")
+    assert {r.lag for r in crosscorr.lagged_correlation(rows, limit=60).collect()} == set(range(6))
+    assert crosscorr.lagged_correlation(rows.limit(35)).count() == 0 and crosscorr.cross_correlation(rows.limit(35)).count() == 0
+
+
+def test_exact_quantiles_and_ranks(spark):
+    rows = [(k, v) for k in ("a", "b", None) for v in [None, 3.0, 1.0, 1.0, 2.5, -4.0, 7.0][: 7 if k else 3]] + [("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.0, 0.005, 0.25, 0.5, 0.9, 1.0]
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()}
+    got = {r.k: r.q for r in ranks.exact_quantiles(df, "v", probs, ["k"]).collect()}
+    assert got == {k: q for k, q in want.items() if k != "empty"}
+    assert ranks.exact_quantiles(df, "v", probs).first().q == df.agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).first().q
+    assert ranks.exact_quantiles(df.limit(0), "v", [0.5]).first().q == [None]
+    big = spark.range(20_000).select((F.col("id") * 7919 % 5003).cast("double").alias("v"))
+    got = {r.value: (r.c, r.before, r.n) for r in ranks.value_ranks(big, "v").collect()}
+    seen = 0
+    for v in sorted(got):
+        assert got[v][1:] == (seen, 20_000)
+        seen += got[v][0]
+
+
 def test_consecutive_differences_only(spark):
     rows = [("a", "g", D(y, m, 15), float(y), 1.0) for y in (2001, 2002, 2004) for m in range(1, 8)]
     got = differencing.annual(spark.createDataFrame(rows, "entity string, grp string, date date, wte double, q double")).collect()

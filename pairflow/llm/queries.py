@@ -10,7 +10,7 @@ from .lm_scoring import op2_backoff_scores
 from .packing import op10_pattern_packing
 from .quality_rules import op6_quality_rules
 from .secret_scans import OP5_SQL, op5_secret_scans
-from .spelling_variants import op13_spelling_variants
+from .spelling_variants import OP13_SQL, op13_spelling_variants
 from .token_alignment import op11_token_alignment
 from .token_blocks import op1_token_blocks
 from .toxicity import op7_toxicity
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_byte_bpe": op12_byte_bpe,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op3_url_filters": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_secret_scans": OP5_SQL}
+ORACLES = {"op3_url_filters": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_secret_scans": OP5_SQL, "op13_spelling_variants": OP13_SQL}

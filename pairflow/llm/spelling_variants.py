@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import unplaced, written
@@ -20,8 +20,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT = 6, 5
 #: Runs whose checksum this divides lose a letter.
 LOSSES = 199
-#: Lengths of grams. A word has a gram for each of its letters, and an edit touches at most ``MOST`` of them, so one of six letters keeps two.
-LEAST, MOST = 2, 4
+#: Lengths of grams. A word has a gram for each of its letters, and an edit touches at most ``MOST`` of them, so one of six letters keeps one.
+LEAST, MOST = 2, 5
 #: A gram in more places than this is extended by the next letter, as far as ``MOST`` allows.
 FREQUENT = 32
 #: A form has this many times the occurrences of its word.
@@ -73,7 +73,7 @@ def counted_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
 
 
 def gram_dictionary(words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """``(gram, f)``: the shortest grams of 2 to 4 letters that stand in at most ``frequent`` places of ``words``, and of four letters also the others.
+    """``(gram, f)``: the shortest grams of 2 to 5 letters that stand in at most ``frequent`` places of ``words``, and of five letters also the others.
 
     Frequencies are counted for all lengths; a gram that is rare enough ends its branch, so longer ones that begin with it are pruned.
     No gram of the dictionary begins another, so at each place of a word exactly one of them fits.
@@ -91,10 +91,10 @@ def gram_dictionary(words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
 
 def gram_lists(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``(word, n, len, lens, affected, grams)`` for each word: the gram lengths of its places as digits, the most grams that one edit can touch,
+    """``(word, n, len, ids, affected, grams)`` for each word: the distinct numbers of its grams, the most grams that one edit can touch,
     and ``grams`` as ``(f, gram, at)``, rarest first.
 
-    An edit at a place touches the grams that reach over it: those that begin at most three letters before. Every other gram of either
+    An edit at a place touches the grams that reach over it: those that begin at most four letters before. Every other gram of either
     word stands in the other too, at the same place or one further on.
     """
     padded = F.concat("word", F.lit(END * (MOST - 1)))
@@ -107,22 +107,9 @@ def gram_lists(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     size = F.length("word")
     reach = lambda i: F.size(F.filter("g", lambda x: (x["at"] <= i) & (i < x["at"] + F.length(x["gram"]))))
     affected = F.array_max(F.transform(F.sequence(F.lit(1), size), reach))
-    lens = F.array_join(F.transform("g", lambda x: F.length(x["gram"]).cast("string")), "")
+    ids = F.array_distinct(F.transform("g", lambda x: F.hash(x["gram"])))
     grams = F.array_sort(F.transform("g", lambda x: F.struct(x["f"].alias("f"), x["gram"].alias("gram"), x["at"].alias("at"))))
-    return found.select("word", "n", size.alias("len"), lens.alias("lens"), affected.alias("affected"), grams.alias("grams"))
-
-
-def _shared(word: Column, lens: Column, other: Column, other_lens: Column) -> Column:
-    """How many places of ``word`` have a gram that ``other`` has at that place or, being longer, one further on."""
-    end = F.lit(END * (MOST - 1))
-    a, b = F.concat(word, end), F.concat(other, end)
-
-    def same(p: Column, shift: int) -> Column:
-        q = F.substr(lens, p, F.lit(1))
-        return (q == F.substr(other_lens, p + shift, F.lit(1))) & (F.substr(a, p, q.cast("int")) == F.substr(b, p + shift, q.cast("int")))
-
-    further = F.length(other) > F.length(word)
-    return F.size(F.filter(F.sequence(F.lit(1), F.length(word)), lambda p: same(p, 0) | (further & same(p, 1))))
+    return found.select("word", "n", size.alias("len"), ids.alias("ids"), affected.alias("affected"), grams.alias("grams"))
 
 
 def near_words(lists: DataFrame) -> DataFrame:
@@ -130,18 +117,20 @@ def near_words(lists: DataFrame) -> DataFrame:
 
     Two near words share all but ``affected`` grams of either, so in each word's own order, rarest first, the first shared gram is among
     the first ``affected + 1``. These short lists, keyed by gram, place and length, propose pairs; the long lists of frequent
-    grams are never read. A pair's lists are then merged place by place, pairs under the bound of either word go, and the edit
-    distance of the rest is verified.
+    grams are never read. A pair's lists are then merged: pairs that share fewer grams than the bound of either word go (a
+    repeated gram counts once, so as many more are allowed as both words repeat), and the edit distance of the rest is verified.
     """
-    short = lists.select("word", "n", "len", "lens", "affected", F.explode(F.slice("grams", F.lit(1), F.col("affected") + 1)).alias("x"))
-    short = short.select("word", "n", "len", "lens", "affected", F.col("x.gram").alias("gram"), F.col("x.at").alias("at"))
+    carried = ("word", "n", "len", "ids", "affected")
+    short = lists.select(*carried, F.explode(F.slice("grams", F.lit(1), F.col("affected") + 1)).alias("x"))
+    short = short.select(*carried, F.col("x.gram").alias("gram"), F.col("x.at").alias("at"))
     ask = F.array(*[F.struct((F.col("at") + i).alias("at"), (F.col("len") + j).alias("len")) for i, j in ((0, 0), (0, 1), (1, 1))])
     asked = short.withColumn("ask", F.explode(ask))
-    asked = asked.select(*[F.col(c).alias(f"_{c}") for c in ("word", "n", "len", "lens", "affected", "gram")], F.col("ask.at").alias("_at"), F.col("ask.len").alias("_want"))
+    asked = asked.select(*[F.col(c).alias(f"_{c}") for c in (*carried, "gram")], F.col("ask.at").alias("_at"), F.col("ask.len").alias("_want"))
     fits = (F.col("gram") == F.col("_gram")) & (F.col("at") == F.col("_at")) & (F.col("len") == F.col("_want"))
     fits &= (F.col("_len") < F.col("len")) | (F.col("_word") < F.col("word"))
     bound = F.greatest(F.col("_len") - F.col("_affected"), F.col("len") - F.col("affected"))
-    pairs = short.join(asked, fits).where(_shared(F.col("_word"), F.col("_lens"), F.col("word"), F.col("lens")) >= bound)
+    repeated = F.least(F.col("_len") - F.size("_ids"), F.col("len") - F.size("ids"))
+    pairs = short.join(asked, fits).where(F.size(F.array_intersect("_ids", "ids")) + repeated >= bound)
     pairs = pairs.where(F.levenshtein("_word", "word", 1) == 1)
     return pairs.select(F.col("_word").alias("a"), F.col("word").alias("b"), F.col("_n").alias("na"), F.col("n").alias("nb")).distinct()
 
@@ -177,3 +166,29 @@ def group_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows: checksums bit by bit from the polynomial, near words by what is left when one letter goes.
+OP13_SQL = f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[{LETTERS}]+')) AS cased,
+      translate(cased, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= {LEAST_LENGTH} GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+summed AS (SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM coded, tab),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % {LOSSES} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed)
+  WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.v = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.v = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, struct_pack(a := -m, b := other)) AS other, max(m) AS m FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, CASE WHEN m >= {TIMES} * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+steps(word, here) AS (SELECT word, word FROM formed UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON s.here = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.here AS root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.word = f.word JOIN formed e ON e.word = s.here WHERE e.form IS NULL
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairflow.functions.columns import FEET_TO_METRES, minus_log10, p_text, season
-from pairflow.operators import cleaning, filters, graph, regression, reports, spatial
+from pairflow.operators import cleaning, filters, graph, places, regression, reports, spatial
 from pairflow.sources import readers
 
 from .base import Tables, add, r, sql
@@ -180,6 +180,32 @@ add("g7_upstream_counts", f"{DOWN}{TERM} SELECT id AS gage, count(*) AS n_links
 add("g6_first_gage_below", f"{DOWN} SELECT node AS link, gage, CAST(d AS INT) AS depth FROM (SELECT node, d, min(id) AS gage, row_number() OVER (PARTITION BY node ORDER BY d) AS k FROM dn JOIN gg ON gg.link = dn.here WHERE d < 100 GROUP BY 1, 2) WHERE k = 1")(
     lambda t: graph.first_gage_below(_gages(t), _net(t))
 )
+LONG = f"""WITH RECURSIVE {NET}, ln AS (SELECT p_partkey + 1 AS link, CAST(p_retailprice AS DOUBLE) AS len FROM part),
+dl(node, here, d, s) AS (SELECT n, n, 0, 0.0::DOUBLE FROM (SELECT src AS n FROM net UNION SELECT dst FROM net UNION SELECT link FROM gg)
+  UNION ALL SELECT dl.node, net.dst, d + 1, s + coalesce(len, 0) FROM dl JOIN net ON dl.here = net.src LEFT JOIN ln ON ln.link = net.src WHERE d < 200)"""
+
+
+def _lengths(t: Tables):
+    return t.read("part").select((F.col("p_partkey") + 1).alias("link"), F.col("p_retailprice").cast("double").alias("length"))
+
+
+add("g4_upstream_of", f"{DOWN}, wanted AS (SELECT DISTINCT s_suppkey * 3 % (SELECT count(*) FROM part) + 1 AS link FROM supplier) SELECT link, dn.node, CAST(d AS BIGINT) AS steps FROM wanted JOIN dn ON dn.here = wanted.link")(
+    lambda t: _upstream_of(t)
+)
+
+
+def _upstream_of(t: Tables):
+    n = t.read("part").agg(F.count("*").alias("n"))
+    wanted = t.read("supplier").join(F.broadcast(n)).select((F.col("s_suppkey") * 3 % F.col("n") + 1).alias("link"))  # one row
+    return graph.upstream_pairs(wanted, _net(t)).select("link", "node", "steps")
+
+
+add(
+    "g7_upstream_summary",
+    f"""{LONG} SELECT gage, n_links, coalesce(n_gages, 0) AS n_gages, {r("mean_steps")}, {r("mean_distance")} FROM
+    (SELECT id AS gage, count(*) AS n_links FROM gg JOIN dl ON dl.here = gg.link GROUP BY 1) LEFT JOIN
+    (SELECT g.id AS gage, count(*) AS n_gages, avg(d) AS mean_steps, avg(s) AS mean_distance FROM gg g JOIN dl ON dl.here = g.link JOIN gg o ON o.link = dl.node AND o.id <> g.id GROUP BY 1) USING (gage)""",
+)(lambda t: graph.upstream_summary(_gages(t), _gages(t), _net(t), _lengths(t)))
 # geometry
 PTS = "pt AS (SELECT vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 GRID = "gr AS (SELECT i * 4 + j AS polygon_id, -0.4 + 0.2 * i AS x1, -0.4 + 0.2 * j AS y1 FROM (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j))"
@@ -219,6 +245,46 @@ add("x4_centroids", f"WITH {PTS}, {LINES} SELECT line_id, {r('(x1 + x2) / 2', 'x
 add("x5_web_mercator", f"WITH {PTS} SELECT point_id, {r('radians(x * 100) * 6378137.0', 'mx', 4)}, {r('ln(tan(pi() / 4 + radians(y * 100) / 2)) * 6378137.0', 'my', 4)} FROM pt", digits=4)(
     lambda t: _points(t).select("point_id", *[c.alias(n) for c, n in zip(spatial.to_web_mercator(F.col("x") * 100, F.col("y") * 100), ("mx", "my"), strict=True)])
 )
+def utm(lon: str, lat: str, zone: int = 12) -> tuple[str, str]:
+    """Easting and northing as SQL, by the same series."""
+    n = spatial.FLATTENING / (2 - spatial.FLATTENING)
+    scale = 0.9996 * spatial.AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
+    lam = f"radians({lon} - ({zone * 6 - 183}))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + pow({t}, 2)))"
+    east = " + ".join([eta, *[f"{a!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(alpha, 1)]])
+    north = " + ".join([xi, *[f"{a!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(alpha, 1)]])
+    return f"(500000 + {scale!r} * ({east}))", f"({scale!r} * ({north}))"
+
+
+EAST, NORTH = utm("(x * 5 - 111)", "(y * 5 + 40)")
+add("x5_utm", f"WITH {PTS} SELECT point_id, {r(EAST, 'east', 3)}, {r(NORTH, 'north', 3)} FROM pt", digits=3)(
+    lambda t: _points(t).select("point_id", *[c.alias(n) for c, n in zip(spatial.to_utm(F.col("x") * 5 - 111, F.col("y") * 5 + 40), ("east", "north"), strict=True)])
+)
+# points and lines in degrees about a corner of the zone; lines are links of the network, every third one without an elevation
+ON_REACHES = f"""{DOWN}, {PTS}, {LINES}, mp AS (SELECT point_id, {EAST} AS x, {NORTH} AS y FROM pt),
+ml AS (SELECT line_id + 1 AS line_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM li JOIN mp a ON a.point_id = 2 * line_id JOIN mp b ON b.point_id = 2 * line_id + 1),
+nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, line_id) AS k FROM (SELECT point_id, line_id, {DIST} AS distance FROM (
+  SELECT *, greatest(0, least(1, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0))) AS u FROM mp, ml))) WHERE k = 1),
+bl AS (SELECT node, gage FROM (SELECT node, d, min(id) AS gage, row_number() OVER (PARTITION BY node ORDER BY d) AS k FROM dn JOIN gg ON gg.link = dn.here WHERE d < 100 GROUP BY 1, 2) WHERE k = 1)"""
+add(
+    "x3_reaches_of_points",
+    f"""{ON_REACHES} SELECT point_id, line_id AS reach, CASE WHEN line_id % 3 > 0 THEN CAST(p_retailprice AS DOUBLE) END AS reach_elevation, {r("distance", None, 3)}, gage AS downstream_gage
+    FROM nr LEFT JOIN part ON p_partkey = line_id LEFT JOIN bl ON bl.node = line_id""",
+    digits=3,
+)(lambda t: _reaches_of(t))
+
+
+def _reaches_of(t: Tables):
+    points = _points(t).select("point_id", (F.col("x") * 5 - 111).alias("lon"), (F.col("y") * 5 + 40).alias("lat"))
+    turned = lambda v: F.struct((v["x"] * 5 - 111).alias("x"), (v["y"] * 5 + 40).alias("y"))
+    lines = _lines(t).select((F.col("line_id") + 1).alias("line_id"), F.transform("line", turned).alias("line"))
+    heights = t.read("part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("line_id"), F.col("p_retailprice").cast("double").alias("reach_elevation"))
+    return places.reaches_of(points, lines, heights, _net(t), _gages(t), entity="point_id")
+
+
 CLIPPED = "greatest(0, least((g.x1 - li.x1) / (li.x2 - li.x1), (g.x1 + 0.2 - li.x1) / (li.x2 - li.x1)), least((g.y1 - li.y1) / (li.y2 - li.y1), (g.y1 + 0.2 - li.y1) / (li.y2 - li.y1)))"
 add(
     "x9_lines_meeting_polygons",

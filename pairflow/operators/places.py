@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .filters import above_group_quantile, top_n
 from .regression import regression
-from .spatial import points_in_polygons
+from .graph import first_gage_below
+from .spatial import nearest_line, points_in_polygons, to_utm
 
 
 def entities_in_catchments(points: DataFrame, catchments: DataFrame, upstream: DataFrame, cell: float, catchment: str = "polygon_id", gage: str = "grp") -> DataFrame:
@@ -23,6 +24,29 @@ def entities_in_catchments(points: DataFrame, catchments: DataFrame, upstream: D
     return out.toDF(*[c.lower() for c in out.columns])
 
 
+def reaches_of(
+    points: DataFrame, lines: DataFrame, elevations: DataFrame, net: DataFrame, gages: DataFrame, cell: float = 1000.0, zone: int = 12, entity: str = "entity"
+) -> DataFrame:
+    """``(entity, reach, reach_elevation, distance, downstream_gage)``: the nearest reach of each point, its elevation, and the first gage at or below it.
+
+    ``points(entity, lon, lat)`` and ``lines(line_id, line)`` with vertices ``x, y`` are in degrees; distances are metres in the UTM zone, as is ``cell``, the least
+    width of the search's cells. ``elevations(line_id, reach_elevation)``: of several rows of a reach the smallest counts, none gives null. ``net(src, dst)`` and
+    ``gages(id, link)`` are over the lines' ids; a gage is looked for within 100 links, and null if there is none.
+    """
+    x, y = to_utm(F.col("lon"), F.col("lat"), zone)
+    spots = points.select(entity, x.alias("x"), y.alias("y"))
+
+    def moved(v: Column) -> Column:
+        east, north = to_utm(v["x"], v["y"], zone)
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    near = nearest_line(spots, lines.select("line_id", F.transform("line", moved).alias("line")), cell, entity)
+    heights = elevations.groupBy(F.col("line_id").alias("_line")).agg(F.min("reach_elevation").alias("reach_elevation"))
+    below = first_gage_below(gages, net).select(F.col("link").alias("_link"), F.col("gage").alias("downstream_gage"))
+    out = near.join(heights, F.col("line_id") == F.col("_line"), "left").join(below, F.col("line_id") == F.col("_link"), "left")
+    return out.select(entity, F.col("line_id").alias("reach"), "reach_elevation", "distance", "downstream_gage")
+
+
 def basins_of(gages: DataFrame, upstream: DataFrame, gage: str = "grp", terminal: str = "terminal", basin: str = "polygon_id") -> DataFrame:
     """``(gage, basin, role)``: the gage's own basin as ``terminal`` and all others above it as ``upstream``, each once.
 

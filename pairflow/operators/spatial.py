@@ -1,4 +1,4 @@
-"""Points, rings and lines as column expressions; candidates by grid cells, never all pairs."""
+"""Points, rings and lines as column expressions; candidates by cells whose width follows each geometry, never all pairs."""
 
 from __future__ import annotations
 
@@ -51,9 +51,48 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return odd & ~F.exists(s, lambda e: (turn(e) == 0) & within(e))
 
 
-def _cells(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, cell: float) -> Column:
-    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    return F.flatten(F.transform(span(lo_x, hi_x), lambda cx: F.transform(span(lo_y, hi_y), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+def _cells(level: Column, lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, cell: float) -> Column:
+    """Structs ``level, cx, cy`` of the cells that a box meets at a level; widths double with each level."""
+    width = cell * F.pow(F.lit(2.0), level)
+    span = lambda a, b: F.sequence(F.floor(a / width), F.floor(b / width))
+    at = lambda cx, cy: F.struct(level.cast("int").alias("level"), cx.alias("cx"), cy.alias("cy"))
+    return F.flatten(F.transform(span(lo_x, hi_x), lambda cx: F.transform(span(lo_y, hi_y), lambda cy: at(cx, cy))))
+
+
+def _level(lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, cell: float) -> Column:
+    """The level of a box: its longer side is at most four cells wide, so it meets 25 cells at most, whatever its size."""
+    return F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(F.greatest(hi_x - lo_x, hi_y - lo_y) / cell)) - 2, F.lit(0))).cast("int")
+
+
+def _own_cells(box: tuple[Column, Column, Column, Column], cell: float) -> Column:
+    return _cells(_level(*box, cell), *box, cell)
+
+
+def _levels(df: DataFrame, cells: str) -> list[int]:
+    """The levels in use: one for each doubling of size, some dozens at most."""
+    return sorted(r[0] for r in df.select(F.explode(cells).alias("c")).select("c.level").distinct().collect()) or [0]
+
+
+def _point_cells(x: Column, y: Column, levels: list[int], cell: float) -> Column:
+    """A point's cell at each level."""
+    at = lambda v, n: F.floor(v / (cell * 2.0**n))
+    return F.array(*[F.struct(F.lit(n).alias("level"), at(x, n).alias("cx"), at(y, n).alias("cy")) for n in levels])
+
+
+def _with_coarser(cells: Column, levels: list[int]) -> Column:
+    """Structs ``c, own``: a geometry's cells at its own level, and those that hold them at each coarser level in use, once each.
+
+    Two geometries that meet share a cell at the coarser of their levels, where one of them is at its own.
+    """
+    half = lambda v, by: F.floor(v / F.pow(F.lit(2.0), by))
+
+    def lifted(n: int):
+        return lambda c: F.struct(F.lit(n).alias("level"), half(c["cx"], n - c["level"]).alias("cx"), half(c["cy"], n - c["level"]).alias("cy"))
+
+    told = lambda own: lambda c: F.struct(c.alias("c"), F.lit(own).alias("own"))
+    finer = lambda n: F.filter(cells, lambda c: c["level"] < n)
+    up = [F.transform(F.array_distinct(F.transform(finer(n), lifted(n))), told(False)) for n in levels]
+    return F.concat(F.transform(cells, told(True)), *up)
 
 
 def _box(vertices: Column) -> tuple[Column, Column, Column, Column]:
@@ -61,16 +100,23 @@ def _box(vertices: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, ring: str = "ring", how: str = "inner") -> DataFrame:
-    """Join of points ``(x, y)`` with the polygons they lie within; candidates share a grid cell with the polygon's box."""
-    boxed = polygons.withColumn("_c", F.explode(_cells(*_box(F.col(ring)), cell)))
-    keyed = points.withColumn("_p", F.struct(F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")))
-    return keyed.join(boxed, (F.col("_p") == F.col("_c")) & inside(F.col("x"), F.col("y"), F.col(ring)), how).drop("_p", "_c", ring)
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, ring: str = "ring") -> DataFrame:
+    """Join of points ``(x, y)`` with the polygons they lie within.
+
+    Candidates share a cell. Each polygon is covered by at most 25 cells of a width that follows its box (``cell`` is the least
+    width), and a point looks at its one cell of each width in use, so neither large nor small polygons multiply.
+    """
+    boxed = polygons.withColumn("_own", _own_cells(_box(F.col(ring)), cell))
+    levels = _levels(boxed, "_own")
+    keyed = points.withColumn("_p", F.explode(_point_cells(F.col("x"), F.col("y"), levels, cell)))
+    boxed = boxed.withColumn("_c", F.explode("_own")).drop("_own")
+    return keyed.join(boxed, (F.col("_p") == F.col("_c")) & inside(F.col("x"), F.col("y"), F.col(ring))).drop("_p", "_c", ring)
 
 
 def within_any(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """Points within the union of polygons."""
-    return points_in_polygons(points, polygons, cell, how="left_semi")
+    spots = points_in_polygons(points.select("x", "y").distinct(), polygons.select("ring"), cell).distinct()
+    return points.join(spots.select(F.col("x").alias("_x"), F.col("y").alias("_y")), (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_semi")
 
 
 def segments(lines: DataFrame, line_id: str = "line_id", vertices: str = "line") -> DataFrame:
@@ -88,27 +134,67 @@ def segment_distance(x: Column, y: Column) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, cell: float, point_id: str = "point_id", line_id: str = "line_id", vertices: str = "line", rounds: int = 40) -> DataFrame:
+def _gap(x: Column, y: Column, c: Column, cell: float) -> Column:
+    """The distance from a point to a cell, 0 within it."""
+    width = cell * F.pow(F.lit(2.0), c["level"])
+    off = lambda v, i: F.greatest(i * width - v, v - (i + 1) * width, F.lit(0.0))
+    return F.sqrt(F.pow(off(x, c["cx"]), 2.0) + F.pow(off(y, c["cy"]), 2.0))
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, cell: float, point_id: str = "point_id", line_id: str = "line_id", vertices: str = "line") -> DataFrame:
     """``(point_id, line_id, distance)``: the nearest line of each point, of equal ones the smallest id.
 
-    Each round looks at the cells around a point; a hit no farther than a cell is certain, the other points go on with
-    cells twice as wide. Points without any line in reach of the last round stay out.
+    Two joins, whatever the distances. Pieces of lines are keyed by cells of a width that follows their own size, and each cell of any width names one
+    of its pieces. A point measures the pieces named by its cell and the three nearest cells of every width; the least distance
+    bounds the true one by a small factor. Then it meets all pieces in the cells within that bound, at a width as large as the bound: at most nine
+    cells, and the few of wider pieces. Without any line no point has a row; points without coordinates have none.
     """
-    pieces = kept(segments(lines, line_id, vertices))
-    left, found = kept(points.select(point_id, "x", "y")), None
-    for _ in range(rounds):
-        box = (F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2"))
-        there = pieces.withColumn("_c", F.explode(_cells(*box, cell)))
-        around = left.withColumn("_p", F.explode(_cells(F.col("x") - cell, F.col("x") + cell, F.col("y") - cell, F.col("y") + cell, cell)))
-        near = around.join(there, F.col("_p") == F.col("_c"))
-        best = near.groupBy(point_id).agg(F.min(F.struct(segment_distance(F.col("x"), F.col("y")).alias("distance"), F.col(line_id).alias("line_id"))).alias("b"))
-        sure = kept(best.where(F.col("b.distance") <= cell).select(point_id, F.col("b.line_id").alias(line_id), F.col("b.distance").alias("distance")))
-        found = sure if found is None else found.union(sure)
-        left = kept(left.join(sure, point_id, "left_anti"))
-        if left.isEmpty():
-            break
-        cell *= 2
-    return found
+    pieces = segments(lines, line_id, vertices)
+    spots = points.select(point_id, "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    low = lambda a, b: F.min(F.least(a, b))
+    high = lambda a, b: F.max(F.greatest(a, b))
+    lo_x, lo_y, hi_x, hi_y = pieces.agg(low("x1", "x2"), low("y1", "y2"), high("x1", "x2"), high("y1", "y2")).first()
+    p_lo_x, p_lo_y, p_hi_x, p_hi_y = spots.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if lo_x is None or p_lo_x is None:
+        return spots.join(pieces.select(line_id), F.lit(False)).select(point_id, line_id, F.col("x").alias("distance"))
+    lo_x, lo_y = min(lo_x, p_lo_x), min(lo_y, p_lo_y)
+    span = max(hi_x - lo_x, hi_y - lo_y, p_hi_x - lo_x, p_hi_y - lo_y)
+    top = max(0, math.ceil(math.log2(max(span / cell, 1)))) + 1  # everything in one cell
+
+    # cells count from the lower left corner of all, so that those of the top level coincide
+    sx = {c: F.col(c) - (lo_x if c[0] == "x" else lo_y) for c in ("x1", "x2", "y1", "y2", "x", "y")}
+    box = (F.least(sx["x1"], sx["x2"]), F.greatest(sx["x1"], sx["x2"]), F.least(sx["y1"], sx["y2"]), F.greatest(sx["y1"], sx["y2"]))
+    keyed = kept(pieces.withColumn("_own", _own_cells(box, cell)))
+    own_levels = _levels(keyed, "_own")
+    named = F.min(F.struct(F.col(line_id).alias("i"), "x1", "y1", "x2", "y2"))
+    ends = ("x1", "y1", "x2", "y2")
+    first = keyed.select(line_id, *ends, F.explode("_own").alias("_c")).groupBy("_c").agg(named.alias("l"))
+    first = first.select(F.col("l.i").alias(line_id), *[F.col(f"l.{c}") for c in ends], F.explode(_with_coarser(F.array("_c"), list(range(top + 1)))["c"]).alias("_c"))
+    first = first.groupBy("_c").agg(named.alias("l")).select("_c", "l.x1", "l.y1", "l.x2", "l.y2")
+
+    x, y = F.col("x"), F.col("y")
+    near = []
+    for n in range(own_levels[0], top + 1):
+        width = cell * 2.0**n
+        cx, cy = F.floor(sx["x"] / width), F.floor(sx["y"] / width)
+        side = lambda v, i, w=width: F.when(v / w - i < 0.5, i - 1).otherwise(i + 1)
+        near += [F.struct(F.lit(n).alias("level"), a.alias("cx"), b.alias("cy")) for a in (cx, side(sx["x"], cx)) for b in (cy, side(sx["y"], cy))]
+    bound = spots.withColumn("_p", F.explode(F.array(*near))).join(first, F.col("_p") == F.col("_c"))
+    bound = kept(bound.groupBy(point_id, "x", "y").agg(F.min(segment_distance(x, y)).alias("r")))
+
+    r = F.col("r")
+    level = F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(r / cell)), F.lit(0))).cast("int")
+    bound = bound.withColumn("_at", F.least(level, F.lit(top)))
+    searched = [r_[0] for r_ in bound.select("_at").distinct().collect()]  # a row for each doubling of distance
+    around = lambda n: F.filter(_cells(n, sx["x"] - r, sx["x"] + r, sx["y"] - r, sx["y"] + r, cell), lambda c: _gap(sx["x"], sx["y"], c, cell) <= r * (1 + 1e-9) + 1e-9)
+    own = [F.when(F.lit(n) > F.col("_at"), around(F.lit(n))) for n in own_levels]
+    told = lambda any_: lambda c: F.struct(c.alias("c"), F.lit(any_).alias("any"))
+    asked = [F.transform(F.coalesce(c, F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>")), told(False)) for c in own]
+    asked = bound.withColumn("_p", F.explode(F.concat(F.transform(around(F.col("_at")), told(True)), *asked)))
+    there = keyed.withColumn("_c", F.explode(_with_coarser(F.col("_own"), searched))).drop("_own")
+    both = asked.join(there, (F.col("_p.c") == F.col("_c.c")) & (F.col("_p.any") | F.col("_c.own")))
+    best = both.groupBy(point_id).agg(F.min(F.struct(segment_distance(x, y).alias("distance"), F.col(line_id).alias("line_id"))).alias("b"))
+    return best.select(point_id, F.col("b.line_id").alias(line_id), F.col("b.distance").alias("distance"))
 
 
 def containing_or_nearest(points: DataFrame, polygons: DataFrame, cell: float, point_id: str = "point_id", polygon_id: str = "polygon_id") -> DataFrame:
@@ -134,8 +220,11 @@ def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, cell: float, l
     """``(line_id, polygon_id)`` of lines that share a point with a polygon: a vertex within, or a piece that crosses a side."""
     pieces = segments(lines, line_id)
     box = (F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2"))
-    pieces = pieces.withColumn("_c", F.explode(_cells(*box, cell)))
-    rings = polygons.select(polygon_id, "ring").withColumn("_d", F.explode(_cells(*_box(F.col("ring")), cell)))
+    pieces = pieces.withColumn("_own", _own_cells(box, cell))
+    rings = polygons.select(polygon_id, "ring").withColumn("_own", _own_cells(_box(F.col("ring")), cell))
+    levels = sorted({*_levels(pieces, "_own"), *_levels(rings, "_own")})
+    pieces = pieces.withColumn("_c", F.explode(_with_coarser(F.col("_own"), levels))).drop("_own")
+    rings = rings.withColumn("_d", F.explode(_with_coarser(F.col("_own"), levels))).drop("_own")
     turn = lambda ax, ay, bx, by, cx, cy: F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
     p = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
 
@@ -146,7 +235,8 @@ def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, cell: float, l
         return apart & boxes
 
     meets = inside(p[0], p[1], F.col("ring")) | F.exists(sides(F.col("ring")), crosses)
-    return pieces.join(rings, (F.col("_c") == F.col("_d")) & meets).select(line_id, polygon_id).distinct()
+    same = (F.col("_c.c") == F.col("_d.c")) & (F.col("_c.own") | F.col("_d.own"))
+    return pieces.join(rings, same & meets).select(line_id, polygon_id).distinct()
 
 
 def gradient(df: DataFrame, wte: str = "wte", reach: str = "reach_elevation", distance: str = "distance") -> DataFrame:

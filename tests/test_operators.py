@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairflow.functions.tails import correlation_p, normal_p
-from pairflow.operators import classes, cleaning, crosscorr, differencing, filters, graph, information, pairing, ranks, regression, resample, series as whole, spatial, trend
+from pairflow.operators import classes, cleaning, crosscorr, differencing, filters, graph, information, pairing, places, ranks, regression, resample, series as whole, spatial, trend
 from pairflow.plans.tables import steps_of
 from pairflow.sources import readers
 
@@ -234,6 +234,140 @@ def test_graph_cases(spark):
     assert {(r.gage, r.upstream_link) for r in up.collect()} == {("a", 1), ("b", 1), ("b", 2), ("b", 3), ("d", 10), ("d", 11)}
 
 
+def brute_upstream(net, links, lengths):
+    """Each link's upstream nodes with links and length on the first way down."""
+    below, out = dict(net), {}
+    for start in {n for e in net for n in e} | set(links):
+        node, steps, along, seen = start, 0, 0.0, set()
+        while node is not None and node not in seen:
+            seen.add(node)
+            if node in links:
+                out[node, start] = (steps, along)
+            steps, along, node = steps + 1, along + lengths.get(node, 0.0), below.get(node)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_interval_labels_find_all_upstream_nodes(spark, seed):
+    """Random forests with chains, stars, cycles with trees on them, nested gages and links outside the network."""
+    rng = np.random.default_rng(seed)
+    net = {i: int(rng.integers(0, i)) for i in range(1, 60)} | {i: i - 1 for i in range(101, 170)} | {i: 200 for i in range(201, 230)}
+    net |= {300: 301, 301: 302, 302: 300, 303: 301, 304: 303, 305: 302, 310: 310, 311: 310}
+    if seed == 3:
+        net = {k: v for k, v in net.items() if k < 300}
+    lengths = {n: float(n % 7) for n in net if n % 5}
+    links = [0, 3, 7, 20, 59, 100, 130, 169, 200, 210, 300, 302, 304, 310, 999]
+    frame = spark.createDataFrame(list(net.items()), "src long, dst long")
+    far = spark.createDataFrame(list(lengths.items()), "link long, length double")
+    wanted = spark.createDataFrame([(n,) for n in [*links, None, 3]], "link long")
+    rows = graph.upstream_pairs(wanted, frame, far).collect()
+    assert {(r.link, r.node): (r.steps, r.along) for r in rows} == brute_upstream(list(net.items()), links, lengths) and len(rows) == len({(r.link, r.node) for r in rows})
+
+
+def test_upstream_summary_and_unsettled_networks(spark):
+    net = spark.createDataFrame([(1, 2), (2, 3), (4, 3)], "src long, dst long")
+    gages = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 3)], "id string, link long")
+    far = spark.createDataFrame([(1, 10.0), (2, 1.0), (4, None)], "link long, length double")
+    got = {r.gage: tuple(r)[1:] for r in graph.upstream_summary(gages.where("id in ('a', 'c')"), gages, net, far).collect()}
+    assert got == {"a": (1, 0, None, None), "c": (4, 4, 1.0, 3.0)}
+    with pytest.raises(RuntimeError):
+        graph.terminal_groups(gages, spark.createDataFrame([(i, i + 1) for i in range(1, 99)], "src long, dst long"), rounds=2)
+
+
+def test_blocks_make_up_each_interval(spark):
+    rows = [(a, b) for a in (0, 1, 5, 64, 1000) for b in (0, 1, 7, 63, 64, 65, 999, 5000) if a <= b]
+    for r in spark.createDataFrame(rows, "a long, b long").select("a", "b", graph._blocks(F.col("a"), F.col("b")).alias("x")).collect():
+        assert sorted(i for c in r.x for i in range(c["index"] << c.level, (c["index"] + 1) << c.level)) == list(range(r.a, r.b + 1)) and len(r.x) <= 2 * 13
+
+
+def points_frame(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    spread = np.concatenate([rng.normal(0, 1, (n // 2, 2)), rng.normal(0, 300, (n - n // 2, 2)), [[1e5, -3e4]]])
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spread)], "point_id int, x double, y double"), spread
+
+
+def line_of(*xy):
+    return [{"x": float(x), "y": float(y)} for x, y in xy]
+
+
+def test_nearest_line_of_all_sizes_and_distances(spark):
+    """Lines from a thousandth to thousands of cells long, in clusters and apart, against all distances."""
+    rng = np.random.default_rng(5)
+    points, spread = points_frame(spark, 120, 1)
+    lines = []
+    for i in range(150):
+        at = rng.normal(0, [1, 50, 2000][i % 3], 2)
+        size = 10.0 ** rng.uniform(-3, 3.5)
+        lines.append((i, line_of(at, at + rng.normal(0, size, 2), at + rng.normal(0, size, 2))))
+    lines += [(150, lines[0][1]), (151, line_of((3, 3), (3, 3))), (152, line_of((0, 0)))]
+    got = {r.point_id: (r.line_id, r.distance) for r in spatial.nearest_line(points, spark.createDataFrame(lines, "line_id int, line array<struct<x:double,y:double>>"), 0.7).collect()}
+
+    def apart(p, a, b):
+        d = b - a
+        t = min(1.0, max(0.0, (p - a) @ d / (d @ d))) if d @ d else 0.0
+        return math.hypot(*(p - a - t * d))
+
+    pieces = [(i, np.array([a["x"], a["y"]]), np.array([b["x"], b["y"]])) for i, line in lines for a, b in zip(line, line[1:], strict=False)]
+    for i, p in enumerate(spread):
+        distance, line = min((apart(p, a, b), n) for n, a, b in pieces)
+        assert got[i] == (line, pytest.approx(distance, abs=1e-6)), i
+    empty = spark.createDataFrame([], "line_id int, line array<struct<x:double,y:double>>")
+    assert spatial.nearest_line(points, empty, 1.0).count() == 0
+    lost = spark.createDataFrame([(1, None, 2.0)], "point_id int, x double, y double")
+    assert spatial.nearest_line(lost, spark.createDataFrame(lines, "line_id int, line array<struct<x:double,y:double>>"), 1.0).count() == 0
+
+
+def test_covers_stay_small_and_find_all(spark):
+    """Polygons from one to a million cells; each has 25 cells at most, and joins equal those of all pairs."""
+    points, spread = points_frame(spark, 200, 2)
+    rng = np.random.default_rng(8)
+    rings = [(i, line_of(*(rng.normal(0, 50, 2) + 10.0 ** rng.uniform(-1, 3.2) * np.array([(math.cos(a), math.sin(a)) for a in np.sort(rng.uniform(0, 6.28, 7))])))) for i in range(60)]
+    polygons = spark.createDataFrame(rings, "polygon_id int, ring array<struct<x:double,y:double>>")
+    cells = polygons.select(F.size(spatial._own_cells(spatial._box(F.col("ring")), 0.001)).alias("n")).agg(F.max("n")).first()[0]
+    assert cells <= 25
+
+    def within(p, ring):
+        odd = False
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (a["y"] > p[1]) != (b["y"] > p[1]) and p[0] < (b["x"] - a["x"]) * (p[1] - a["y"]) / (b["y"] - a["y"]) + a["x"]:
+                odd = not odd
+        return odd
+
+    want = {(i, n) for i, p in enumerate(spread) for n, ring in rings if within(p, ring)}
+    rows = spatial.points_in_polygons(points, polygons, 0.5).collect()
+    assert {(r.point_id, r.polygon_id) for r in rows} == want and len(rows) == len(want)
+    twice = points.union(points)
+    assert sorted(r.point_id for r in spatial.within_any(twice, polygons, 0.5).collect()) == sorted(2 * [i for i in {i for i, _ in want}])
+    lines = spark.createDataFrame([(i, line_of(p, p + rng.normal(0, 10.0 ** rng.uniform(-2, 3), 2))) for i, p in enumerate(spread)], "line_id int, line array<struct<x:double,y:double>>")
+    met = {(r.line_id, r.polygon_id) for r in spatial.lines_meeting_polygons(lines, polygons, 0.5).collect()}
+    every = {(r.line_id, r.polygon_id) for r in spatial.lines_meeting_polygons(lines, polygons, 1e7).collect()}  # one cell for all
+    assert met == every and met >= want and len(met) > len(want)
+
+
+def test_utm_of_known_places(spark):
+    """On the central meridian the northing is 0.9996 of the meridian arc; a degree beside it, eastings are mirrored."""
+    f, a = spatial.FLATTENING, spatial.AXIS
+    e2 = f * (2 - f)
+    phi = np.linspace(0, math.radians(40), 200_001)
+    arc = np.trapezoid(a * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5, phi)
+    rows = spark.createDataFrame([(-111.0, 40.0), (-112.0, 40.0), (-110.0, 40.0), (-111.0, 0.0)], "lon double, lat double")
+    east, north = spatial.to_utm(F.col("lon"), F.col("lat"))
+    got = [tuple(r) for r in rows.select(east.alias("e"), north.alias("n")).collect()]
+    assert got[0] == (pytest.approx(500_000, abs=1e-6), pytest.approx(0.9996 * arc, abs=1e-3)) and got[3] == (pytest.approx(500_000, abs=1e-6), pytest.approx(0, abs=1e-6))
+    assert got[1][0] + got[2][0] == pytest.approx(1_000_000, abs=1e-6) and got[1][1] == pytest.approx(got[2][1], abs=1e-6) and 414_000 < got[1][0] < 415_000
+
+
+def test_reaches_with_elevation_and_gage_below(spark):
+    shape = "line_id long, line array<struct<x:double,y:double>>"
+    lines = spark.createDataFrame([(1, line_of((-111.1, 40.0), (-111.0, 40.0))), (2, line_of((-111.0, 40.0), (-110.9, 40.0))), (9, line_of((-100.0, 30.0), (-100.1, 30.0)))], shape)
+    points = spark.createDataFrame([("p", -111.05, 40.01), ("q", -110.95, 39.99), ("far", -100.05, 30.3)], "entity string, lon double, lat double")
+    heights = spark.createDataFrame([(1, 1500.0), (1, 1400.0)], "line_id long, reach_elevation double")
+    net = spark.createDataFrame([(1, 2)], "src long, dst long")
+    got = {r.entity: r for r in places.reaches_of(points, lines, heights, net, spark.createDataFrame([("g", 2)], "id string, link long")).collect()}
+    assert tuple(got["p"])[1:3] == (1, 1400.0) and got["p"].downstream_gage == "g" and 1105 < got["p"].distance < 1115
+    assert tuple(got["q"])[1:3] == (2, None) and got["q"].downstream_gage == "g" and got["far"].reach == 9 and got["far"].downstream_gage is None
+
+
 def test_within_excludes_sides(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 2.0), (0.0, 4.0)]
     polygon = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ring])], "polygon_id int, ring array<struct<x:double,y:double>>")

@@ -11,10 +11,10 @@ from pairflow.plans import study
 from pairflow.plans.tables import Store, shared_folder
 from pairflow.sources import readers
 
-from .base import Tables, add, r, sql
-from .pairs import mi, reg, stat
+from .base import CTES, Tables, add, r, sql
+from .pairs import RANKED, mi, reg, stat
 from .selections import GRID, LINES, PTS, _lines, _points, _polygons
-from .series import IX, _curves
+from .series import IX, MONTHLY, PCHIP, _curves
 
 #: Each cell of the grid drains to one group or to two.
 DRAINS = "dr AS (SELECT CAST(n_nationkey AS VARCHAR) AS grp, n_nationkey % 16 AS polygon_id FROM nation WHERE n_nationkey % 5 > 0)"
@@ -113,6 +113,50 @@ def _resumed(t: Tables):
 add("s11_resumed_study", sql(reg("entity, grp", least=10)))(_resumed)
 
 
+def _study_inputs(t: Tables) -> dict:
+    """Four rivers of four links each under the cells of the grid; suppliers are entities at points, nations gages of the lower eight links."""
+    key = F.col("n_nationkey")
+    at = _points(t).select(F.col("point_id").cast("string").alias("entity"), "x", "y")
+    return {
+        "network": t.read("nation").where(key < 16).select((key + 1).alias("link"), F.greatest(key - 3, F.lit(0)).alias("below")),
+        "gages": t.read("nation").where(key < 8).select(key.cast("string").alias("id"), (key + 1).alias("link")),
+        "points": at.join(t.ents().select("entity"), "entity", "left_semi"),
+        "catchments": _polygons(t).withColumn("polygon_id", F.col("polygon_id") + 1),
+        "lines": _lines(t),
+        "elevations": _lines(t).where("line_id % 9 > 0").select("line_id", (20.0 + 2 * (F.col("line_id") % 13)).alias("reach_elevation")),
+        "levels": t.levels(),
+        "flows": t.flows(),
+    }
+
+
+def _nine_steps(t: Tables):
+    """Steps 1 to 4, then a run that reads them again for 5 to 9."""
+    store = Store(t.spark, f"{shared_folder(t.spark)}/study-{uuid.uuid4().hex}")
+    inputs = _study_inputs(t)
+    study.run(store, inputs, "1-4", cell=0.05)
+    return study.run(store, inputs, "5-9", cell=0.05)
+
+
+ON_LINE = "greatest(0, least(1, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0)))"
+STUDY = f"""{PTS}, {GRID}, {LINES},
+net AS (SELECT n_nationkey + 1 AS src, n_nationkey - 3 AS dst FROM nation WHERE n_nationkey < 16),
+dn(link, here) AS (SELECT src, src FROM net UNION ALL SELECT link, dst FROM dn JOIN net ON here = src WHERE dst > 0),
+mb AS MATERIALIZED (SELECT DISTINCT CAST(point_id AS VARCHAR) AS entity, CAST(here - 1 AS VARCHAR) AS grp, x, y FROM pt JOIN gr ON {WITHIN}
+  JOIN dn ON link = polygon_id + 1 AND here <= 4 WHERE point_id IN (SELECT s_suppkey FROM supplier)),
+rc AS MATERIALIZED (SELECT entity, 20.0 + 2 * (line_id % 13) AS z FROM (SELECT entity, line_id, row_number() OVER (PARTITION BY entity ORDER BY d, line_id) AS k FROM (
+  SELECT entity, line_id, sqrt(pow(x - (x1 + u * (x2 - x1)), 2) + pow(y - (y1 + u * (y2 - y1)), 2)) AS d FROM (SELECT *, {ON_LINE} AS u FROM mb, li))) WHERE k = 1 AND line_id % 9 > 0),
+q4 AS (SELECT entity, count(*) AS n, quantile_cont(wte, 0.25) AS lo, quantile_cont(wte, 0.75) AS hi FROM levels WHERE entity IN (SELECT entity FROM mb) GROUP BY 1),
+kp AS (SELECT l.* FROM levels l JOIN q4 USING (entity) WHERE NOT coalesce(n >= 5 AND hi > lo AND (wte < lo - 3 * (hi - lo) OR wte > hi + 3 * (hi - lo)), false)),
+ck AS MATERIALIZED (SELECT * FROM kp WHERE entity IN (SELECT entity FROM kp GROUP BY 1 HAVING count(*) >= 20 AND datediff('day', min(date), max(date)) / 365.25 >= 3)),
+{PCHIP.format(src="ck", grid=MONTHLY)},
+ns AS (SELECT entity, date, wte FROM pv JOIN rc USING (entity) WHERE z - wte * 0.3048 <= 30),
+paired AS MATERIALIZED (SELECT b.grp, n.date, n.entity, n.wte, f.q, f.bfd FROM ns n JOIN (SELECT DISTINCT entity, grp FROM mb) b USING (entity) JOIN mflow f ON f.grp = b.grp AND f.date = n.date),
+based AS MATERIALIZED ({CTES["based"]}), deltas AS MATERIALIZED ({CTES["deltas"]}), sr AS ({RANKED})"""
+add("s11_nine_steps", sql(f"SELECT * FROM ({reg('entity, grp', least=10)}) JOIN (SELECT entity, grp, {r('spearman')} FROM sr) USING (entity, grp)", "mflow", STUDY).replace("WITH ", "WITH RECURSIVE ", 1))(
+    _nine_steps
+)
+
+
 def _chosen(t: Tables):
     r2 = _fits(t).select("entity", "grp", F.col("r2").alias("value"))
     shared = information.mutual_information(t.deltas()).select("entity", "grp", F.col("mi").alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairflow.operators import cleaning, filters, graph, pairing, places, regression, resample, spatial
 
-from .tables import Store, steps_of
+from .tables import StaleStep, Store, fingerprint, steps_of
 
 #: Settings of the steps and their defaults; ``cell`` is the grid's width in the points' units, ``buffer`` is in metres.
 DEFAULTS = {"cell": 0.1, "least": 20, "years": 3.0, "buffer": 30.0, "least_pairs": 10, "without": ()}
@@ -74,16 +74,85 @@ def fits(inputs: Inputs, done: Done, how: Mapping) -> DataFrame:
 STEPS = (upstream, members, reaches, checked, monthly, near_stream, paired, deltas, fits)
 
 
+class _Used(Mapping):
+    """A mapping that notes what is read from it."""
+
+    def __init__(self, of: Mapping):
+        self.of, self.read = of, set()
+
+    def __getitem__(self, key):
+        self.read.add(key)
+        return self.of[key]
+
+    def __iter__(self):
+        return iter(self.of)
+
+    def __len__(self):
+        return len(self.of)
+
+
+def _told(value) -> object:
+    return list(value) if isinstance(value, (list, tuple, set)) else value
+
+
 def run(store: Store, inputs: Inputs, steps: str = "all", **how) -> DataFrame:
     """Runs ``steps`` (as :func:`steps_of` reads them) and returns the last one's table.
 
-    Each step writes its table to the store under the function's name; steps before the first are read from there, and one that was never written
-    is an error. Inputs are needed only by the steps that run. Unknown settings are errors.
+    Each step commits its table to the store under the function's name, with a manifest of the inputs (by fingerprint), settings and earlier
+    steps it has read. An earlier step that is read again must fit: if it is missing or half-written, was made with other settings or
+    other inputs than this run's, or from a step that has been written anew since, the run raises :class:`StaleStep`. Inputs are needed
+    only by the steps that run; those that aren't given aren't compared. Unknown settings are errors.
     """
     unknown = set(how) - set(DEFAULTS)
     if unknown:
         raise ValueError(f"no such setting: {', '.join(sorted(unknown))}")
+    settings, prints, fits = DEFAULTS | how, {}, {}
+
+    def print_of(name: str) -> str:
+        if name not in prints:
+            prints[name] = fingerprint(inputs[name])
+        return prints[name]
+
+    def checked_id(name: str) -> str:
+        """The id of a kept step, once it is known to fit."""
+        if name not in fits:
+            kept = store.manifest(name)
+            made = kept["made_from"]
+            if made is not None:
+                for key, value in made["settings"].items():
+                    if value != _told(settings[key]):
+                        raise StaleStep(f"step {name} was made with {key} = {value}, not {_told(settings[key])}")
+                for key, value in made["inputs"].items():
+                    if key in inputs and value != print_of(key):
+                        raise StaleStep(f"step {name} was made from other rows of {key}")
+                for key, value in made["steps"].items():
+                    if value != checked_id(key):
+                        raise StaleStep(f"step {name} was made before step {key} was written anew")
+            fits[name] = kept["id"]
+        return fits[name]
+
     first, last = steps_of(steps, len(STEPS))
     for step in STEPS[first - 1 : last]:
-        store.save(step.__name__, step(inputs, store.load, DEFAULTS | how))
+        given, set_, before = _Used(inputs), _Used(settings), {}
+
+        def done(name: str, before=before) -> DataFrame:
+            before[name] = checked_id(name)
+            return store.load(name)
+
+        table = step(given, done, set_)
+        made = {"settings": {k: _told(settings[k]) for k in sorted(set_.read)}, "inputs": {k: print_of(k) for k in sorted(given.read)}, "steps": before}
+        store.save(step.__name__, table, made)
+        fits.pop(step.__name__, None)
     return store.load(STEPS[last - 1].__name__)
+
+
+def observed(store: Store) -> DataFrame:
+    """``(step, rows, about_entity, about_grp, first_date, last_date)``: what was observed while each step was written."""
+    rows = []
+    for step in STEPS:
+        try:
+            seen = store.manifest(step.__name__)["observed"]
+        except StaleStep:
+            continue
+        rows.append((step.__name__, *[seen.get(c) for c in ("rows", "about_entity", "about_grp", "first_date", "last_date")]))
+    return store.spark.createDataFrame(rows, "step string, rows long, about_entity long, about_grp long, first_date string, last_date string")

@@ -31,14 +31,15 @@ def stat(src: str = "deltas", x: str = "delta_wte", least: int = 10) -> str:
       WHERE {x} IS NOT NULL AND delta_q IS NOT NULL GROUP BY entity, grp HAVING count(*) >= {least} AND min({x}) < max({x}) AND min(delta_q) < max(delta_q)"""
 
 
-def mi(src: str, x: str, bins: int = 10) -> str:
-    """Mutual information by pair as a CTE body."""
+def mi(src: str, x: str, bins: int = 10, keys: str = "entity, grp", least: int = 10) -> str:
+    """Mutual information by key as a CTE body."""
     at = lambda c: f"coalesce(least(CAST(floor(({c} - min({c}) OVER p) * {bins} / nullif(max({c}) OVER p - min({c}) OVER p, 0)) AS INT), {bins - 1}), 0)"
-    return f"""SELECT entity, grp, n, CASE WHEN n >= 10 THEN greatest(sum(c / n * ln(c * n / (cx * cy))), 0) END AS mi FROM (
-      SELECT *, sum(c) OVER (PARTITION BY entity, grp, bx) AS cx, sum(c) OVER (PARTITION BY entity, grp, by_) AS cy FROM (
-        SELECT entity, grp, n, bx, by_, CAST(count(*) AS DOUBLE) AS c FROM (
-          SELECT entity, grp, count(*) OVER p AS n, {at(x)} AS bx, {at("delta_q")} AS by_ FROM {src} WINDOW p AS (PARTITION BY entity, grp))
-        GROUP BY ALL)) GROUP BY entity, grp, n"""
+    return f"""SELECT {keys}, n, CASE WHEN n >= {least} THEN greatest(sum(c / n * ln(c * n / (cx * cy))), 0) END AS mi FROM (
+      SELECT *, sum(c) OVER (PARTITION BY {keys}, bx) AS cx, sum(c) OVER (PARTITION BY {keys}, by_) AS cy FROM (
+        SELECT {keys}, n, bx, by_, CAST(count(*) AS DOUBLE) AS c FROM (
+          SELECT {keys}, count(*) OVER p AS n, {at(x)} AS bx, {at("delta_q")} AS by_ FROM {src}
+          WHERE {x} IS NOT NULL AND delta_q IS NOT NULL WINDOW p AS (PARTITION BY {keys}))
+        GROUP BY ALL)) GROUP BY {keys}, n"""
 
 
 add("a1_monthly_response", sql(f"SELECT grp, date, {r('q')}, bfd FROM mflow", "mflow"))(lambda t: t.mflow())

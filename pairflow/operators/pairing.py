@@ -36,10 +36,14 @@ def pair(levels: DataFrame, flow: DataFrame, flags: DataFrame | None = None, gro
 
 
 def with_baseline(paired: DataFrame, by: tuple[str, ...] = ("entity",), date: str = "date", x: str = "wte", y: str = "q", flag: str = "bfd", tie: str = "grp") -> DataFrame:
-    """Adds ``{x}0`` and ``{y}0``: each column's first value by date among flagged rows of the key, null without any."""
-    w = W.partitionBy(*by).orderBy(date, tie).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first = lambda c: F.first(F.when(F.col(flag) == 1, F.col(c)), ignorenulls=True).over(w)
-    return paired.withColumns({f"{x}0": first(x), f"{y}0": first(y)})
+    """Adds ``{x}0`` and ``{y}0``: each column's first value by date among flagged rows of the key, null without any.
+
+    First values are aggregates, so map-side sums come before the exchange and no task holds an entity's rows in order.
+    """
+    rank = lambda c: F.when((F.col(flag) == 1) & F.col(c).isNotNull(), F.struct(date, tie))
+    first = paired.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(*[F.min_by(c, rank(c)).alias(f"{c}0") for c in (x, y)])
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]
+    return paired.join(first, on, "left").drop(*[f"_{k}" for k in by])
 
 
 def with_deltas(df: DataFrame, x: str = "wte", y: str = "q") -> DataFrame:

@@ -122,3 +122,21 @@ def selection_fits(df: DataFrame, chosen: DataFrame, least: int = 5, group: str
     own = regression(rows, ("selection", group, entity), least=least).withColumn("level", F.lit("well"))
     pooled = regression(rows, ("selection", group), least=least).withColumns({entity: F.lit(all_of), "level": F.lit("pooled")})
     return own.unionByName(pooled)
+
+
+def selection_summary(fits: DataFrame, group: str = "grp") -> DataFrame:
+    """Of the single fits of :func:`selection_fits`, per selection and group: their number, medians and means, and the share of positive slopes."""
+    return fits.where("level = 'well'").groupBy("selection", group).agg(
+        F.count("*").alias("n_wells"), F.median("n").alias("median_n"), F.avg("slope").alias("mean_slope"), F.median("slope").alias("median_slope"),
+        F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), (100 * F.avg((F.col("slope") > 0).cast("double"))).alias("positive_pct"),
+    )
+
+
+def selections_wide(summary: DataFrame, selections: Sequence[str], value: str, group: str = "grp") -> DataFrame:
+    """One row for each group with a value of every selection, null where it has none."""
+    return summary.groupBy(group).agg(*[F.max(F.when(F.col("selection") == s, F.col(value))).alias(s) for s in selections])
+
+
+def counts_of(members: DataFrame, by: Sequence[str] = ("polygon_id", "grp"), entity: str = "entity") -> DataFrame:
+    """Entities of each catchment and gage (or of other keys), the largest first."""
+    return members.groupBy(*by).agg(F.count_distinct(entity).alias("n")).orderBy(F.desc("n"), *by)

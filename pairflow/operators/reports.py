@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairflow.functions.columns import missing, threshold_class
+from pairflow.functions.columns import minus_log10, missing, threshold_class
 
 from .ranks import exact_quantiles
 from .regression import regression
@@ -158,6 +158,19 @@ def value_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return exact_quantiles(pooled, "v", [0.05, 0.95]).select(F.col("q")[0].alias("q05"), F.col("q")[1].alias("q95"))
 
 
+def group_range(df: DataFrame, column: str, group: str = "grp", q: float = 0.95, least: float = 1e-6) -> DataFrame:
+    """``(grp, most)``: the quantile of each group's absolute values, infinities missing; ``least`` where that is null or 0."""
+    rows = df.select(group, F.abs(missing(F.col(column))).alias("v"))
+    found = exact_quantiles(rows, "v", [q], [group]).select(F.col(group).alias("_g"), F.col("q")[0].alias("_q"))
+    out = rows.select(group).distinct().join(found, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return out.select(group, F.when(F.col("_q") > 0, F.col("_q")).otherwise(F.lit(least)).alias("most"))
+
+
+def method_significance(fits: DataFrame, by: str = "method") -> DataFrame:
+    """``(method, n, mean_minus_log10_p)`` over fits with ``p``."""
+    return fits.groupBy(by).agg(F.count("*").alias("n"), F.avg(minus_log10(F.col("p"))).alias("mean_minus_log10_p"))
+
+
 def season_report(stats: DataFrame, slopes: Sequence[str], r2s: Sequence[str]) -> DataFrame:
     """Per season and over all (null): rows, share of positive slopes and mean r2 of each pair of columns."""
     aggs = [F.count("*").alias("n")]

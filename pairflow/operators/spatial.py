@@ -244,3 +244,11 @@ def gradient(df: DataFrame, wte: str = "wte", reach: str = "reach_elevation", di
     head = F.col(wte) - F.col(reach)
     told = F.when(head > 0, "gaining").when(head < 0, "losing").otherwise("neutral")
     return df.withColumns({"head": head, "gradient": F.when(F.col(distance) > 0, head / F.col(distance)), "direction": told})
+
+
+def direction_counts(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of each direction of :func:`gradient` and their share in percent, per ``by`` or over all."""
+    out = df.groupBy(*by, "direction").agg(F.count("*").alias("n"))
+    total = df.groupBy(*by).agg(F.count("*").alias("_all"))
+    out = out.join(total, list(by)) if by else out.join(F.broadcast(total))  # one row
+    return out.select(*by, "direction", "n", (100.0 * F.col("n") / F.col("_all")).alias("pct"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairflow.catalog import classes, pairs, places, selections, series  # noqa: F401
+from pairflow.catalog import classes, lags, pairs, places, selections, series  # noqa: F401
 from pairflow.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -65,10 +65,11 @@ def absolute(link: Column, base: Column) -> Column:
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges ``(a, b)`` between url nodes: the canonical link and the refresh target that a page declares in its html."""
     page = F.coalesce(F.col(html), F.lit(""))
-    tags = F.regexp_extract_all(page, F.lit(r"(?i)(<link\b[^>]{0,2000}\brel\s{0,9}=\s{0,9}[\"']?canonical\b[^>]{0,2000}>)"), 1)
-    canonical = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    tags = F.regexp_extract_all(page, F.lit(r"(?i)(<meta\b[^>]{0,2000}\bhttp-equiv\s{0,9}=\s{0,9}[\"']?refresh\b[^>]{0,2000}>)"), 1)
-    refresh = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    # whole tags of any length first; possessive repeats give nothing back, so a tag is read once
+    tags = lambda name, has: F.filter(F.regexp_extract_all(page, F.lit(rf"(?i)<{name}\b[^>]*+>"), 0), lambda t: t.rlike(rf"(?i)\b{has}\b"))
+    to = lambda t, name: F.regexp_extract(t, rf"(?i)\b{name}\s*+=\s*+[\"']?([^\"'\s>]+)", 1)
+    canonical = F.transform(tags("link", r"rel\s*+=\s*+[\"']?canonical"), lambda t: to(t, "href"))
+    refresh = F.transform(tags("meta", r"http-equiv\s*+=\s*+[\"']?refresh"), lambda t: to(t, "url"))
     out = pages.select(F.col(url).alias("_url"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("_to"))
     return out.select(canonical_url(F.col("_url")).alias("a"), canonical_url(absolute(F.col("_to"), F.col("_url"))).alias("b"))
 
@@ -87,9 +88,11 @@ def judge_urls(
     """
     named = ("host", "path", "rule", "verdict", "component")
     host, path = host_and_path(F.col(url))
-    judged = pages.drop(*named).withColumns({"host": host, "path": path})
+    # the pages' own columns travel in a struct, so that none can clash with those of the work
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    judged = pages.select(row.alias("row"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumns({"rule": rule, "verdict": verdict, "_node": canonical_url(F.col(url))})
+    judged = judged.withColumns({"rule": rule, "verdict": verdict, "_node": canonical_url(F.col("url"))})
     links = []
     if html is not None and html in pages.columns:
         links.append(page_links(pages, url, html))
@@ -110,7 +113,8 @@ def judge_urls(
     spread = ruled.where("_block and not _allow").select(unplaced(F.col("component"), "string").alias("_id"))
     judged = judged.join(spread, F.col("component") == F.col("_id"), "left")
     aliased = F.when(F.col("_id").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.withColumn("verdict", F.coalesce("verdict", aliased)).drop("_id", "_node")
+    judged = judged.withColumn("verdict", F.coalesce("verdict", aliased))
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c not in named], *named)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,86 @@ def test_secrets(spark):
     assert got[1].spans == "" and got[2].spans == "ident:0:17,key:18:54" and got[3].spans == got[4].spans == ""
 
 
+def test_aliases_over_a_random_graph_with_redirects(spark):
+    """Verdicts against components by brute force; urls link by canonical tags, refresh tags and redirects."""
+    rng = random.Random(4)
+    hosts = ["a.net", "x.example.net", "b.org", "example.com", "c.io", "d.io", "e.io"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr', 'q'])}/{i}" for i in range(220)]
+    pages, moved, edges = [], [], []
+    for i, u in enumerate(urls):
+        html, to = "<p>text</p>", rng.choice(urls)
+        if i % 3 == 0:
+            edges.append((u, to))
+            html = f'<link data-x="{"y" * rng.choice([1, 2500])}" rel = canonical href="{to}">' if i % 2 else f'<meta content="0; url={to}" http-equiv="refresh">'
+        elif i % 5 == 0:
+            edges.append((u, to))
+            moved.append((u, to))
+        pages.append((i, u, html))
+    got = {r.page_id: r for r in url_filters.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), redirects=spark.createDataFrame(moved, "from_url string, to_url string")).collect()}
+    of = {u: u for u in urls}
+    for _ in urls:
+        for a, b in edges:
+            of[a] = of[b] = min(of[a], of[b])
+    rules = {u: got[i].rule for i, u in enumerate(urls)}
+    allowed = {"example.net/en/", "org/fr/"}
+    for i, u in enumerate(urls):
+        group = [rules[v] for v in urls if of[v] == of[u] and rules[v]]
+        want = ("allow" if rules[u] in allowed else "block") if rules[u] else ("block" if group and not allowed & set(group) else "allow")
+        assert got[i].verdict == want, u
+    assert {got[i].verdict for i, u in enumerate(urls) if not rules[u]} == {"allow", "block"}
+
+
+def test_urls_take_columns_of_any_name_and_empty_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/", "<link rel=canonical href=http://c.io/>"), (2, "http://c.io/", None), (3, None, "")], "page_id long, url string, html string")
+    names = ("_id", "_component", "_node", "row", "_allow", "_block", "_url", "host", "a.b")
+    odd = pages.withColumns({c: F.lit(f"my {c}") for c in names})
+    got = {r.page_id: r for r in url_filters.judge_urls(odd).collect()}
+    assert all(got[i][c] == f"my {c}" for i in got for c in names if c != "host") and {i: r.verdict for i, r in got.items()} == {1: "block", 2: "block", 3: "allow"}
+    assert got[1].host == "a.net" and got[3].host == "" and url_filters.judge_urls(odd.limit(0)).count() == 0
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], TYPE)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert secret_scans.scan_secrets(docs).count() == 0 and toxicity.score_toxicity(docs, labels).count() == 0
+    one = spark.createDataFrame([(1, BASE, "en", "a")], TYPE)
+    assert decontamination.benchmark_matches(docs, bench).count() == 0 and decontamination.without_benchmark(docs, bench).count() == 0
+    assert decontamination.without_benchmark(one, bench).count() == 1
+
+
+def mixed(n, rng):
+    return "aB3" + "".join(rng.choices("qrsXYZ0189", k=n - 3))
+
+
+def test_an_identifiers_own_value_is_no_complement(spark):
+    rng = random.Random(2)
+    texts = [f"{name}{mixed(n, rng)}" for name in ("username: ", "client_id=") for n in (24, 36, 128, 129, 150)]
+    texts += [f"username: {mixed(36, rng)} and {mixed(40, rng)}"]
+    got = {r.doc_id: r.spans for r in secret_scans.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == "" for i in range(10)) and got[10] == "ident:0:46,key:51:91"
+
+
+def test_all_kinds_of_secrets_equal_sql(spark, tmp_path):
+    """Random texts of all kinds, near and far from each other, in words of other alphabets."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(9)
+    parts = [
+        lambda: f"password: {mixed(rng.randrange(4, 30), rng)}", lambda: "SECRET='x1'", lambda: "AKIA" + "Z9" * rng.randrange(4, 12), lambda: f"{rng.getrandbits(90):x}",
+        lambda: f"Username = bob{rng.randrange(9)}", lambda: f"client_id:{mixed(rng.randrange(10, 180), rng)}", lambda: mixed(rng.randrange(8, 200), rng), lambda: "postgres://db.example.org/app",
+        lambda: "süß 字 🙂 " * rng.randrange(1, 40), lambda: "\n", lambda: "plain words here " * rng.randrange(1, 25),
+    ]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randrange(1, 14))) for _ in range(300)] + [None, "", "token=" + "a" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    got = sorted(tuple(r) for r in secret_scans.scan_secrets(docs).select(*names).collect())
+    assert got == sorted(con.sql(secret_scans.OP5_SQL).project(", ".join(names)).fetchall())
+    assert {k for r in got for k in re.findall("[a-z]+", r[5])} == set(secret_scans.KINDS)
+
+
 def test_secrets_of_other_lengths_need_complements(spark):
     texts = [
         "username: appuser, password: hunter2, postgres://db.example.org/app", "password: hunter2, postgres://db.example.org/app",

@@ -333,19 +333,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rer
     lose the lines that the first of them has; columns named like a result are replaced.
     ``reread``: ``docs`` is a plain read of a table; other frames are written first.
     """
-    docs = docs.drop("n_lines", "n_dropped", "row", "block", "_row", "_drop")
-    docs = with_block(docs if reread else written(docs, "line-docs")).withColumn("row", F.monotonically_increasing_id())
-    slim = docs.select("row", "block", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    gone = written(dropped_lines(slim), "line-drops").select(F.col("row").alias("_row"), F.col("drop").alias("_drop"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # the documents' own columns travel in a struct, so that none can clash with those of the work
+    docs = (docs if reread else written(docs, "line-docs")).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    docs = with_block(docs).withColumn("row", F.monotonically_increasing_id())
+    body = F.col("doc").getField(text)
+    slim = docs.select("row", "block", F.col("doc").getField(doc_id).cast("long").alias("doc_id"), body.alias("text"))
+    gone = written(dropped_lines(slim), "line-drops").select(F.col("row").alias("_row"), "drop")
     # documents are dealt out by row whatever the number of drops: what would be broadcast grows with the documents
-    out = docs.drop("block").join(gone.hint("merge"), F.col("row") == F.col("_row"), "left").drop("row", "_row")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    out = out.withColumn("_lines", lines).withColumns(
-        {text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(cut), "n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0))}
-    )
-    return out.drop("_lines", "_drop")
+    out = docs.select("row", "doc").join(gone.hint("merge"), F.col("row") == F.col("_row"), "left").select("doc", "drop", F.split(body, "\n", -1).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    cut = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    told = [F.when(F.col("drop").isNull(), body).otherwise(cut).alias(text) if c == text else F.col("doc").getField(c).alias(c) for c in names]
+    return out.select(*told, F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

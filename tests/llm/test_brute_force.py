@@ -71,8 +71,11 @@ def test_lines_equal_brute_force(spark, seed):
             line[rng.randrange(len(line))] = rng.choice("abcdefghij")
         pool.append("".join(line))
     rows = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randrange(1, 7)))) for i in range(90)] + [(200, None), (201, "")]
-    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, other string").coalesce(1)
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    names = ("row", "block", "_row", "_drop", "_lines", "drop", "lines", "doc", "id", "a.b")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(f"my {c}") for c in names}).coalesce(1)
+    out = line_dedup.dedup_lines(docs).collect()
+    assert all(r[c] == f"my {c}" for r in out for c in names) and list(out[0].asDict()) == [*docs.columns, "n_lines", "n_dropped"]
+    got = {r.doc_id: r.text for r in out}
     assert got == {doc: text for (doc, _), text in zip(rows, brute_lines(rows), strict=True)}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.functions.columns import before, month_name, season
+from pairflow.functions.columns import before, month_name, ordinal, season
 
 from .information import mutual_information
 from .regression import regression
@@ -57,7 +57,7 @@ def period_trends(df: DataFrame, columns: Sequence[str] = ("delta_q", "delta_wte
     m = F.month(date)
     periods = F.array(*[F.struct(F.lit(t).alias("period_type"), c.alias("period")) for t, c in (("Seasonal", season(m)), ("Monthly", month_name(m)))])
     rows = df.where(F.col(date).isNotNull()).dropna(subset=list(columns))
-    rows = rows.select(group, entity, date, *columns, (F.unix_date(date) + 719163).cast("double").alias("_day"), F.inline(periods))
+    rows = rows.select(group, entity, date, *columns, ordinal(F.col(date)).cast("double").alias("_day"), F.inline(periods))
     by = (group, "period_type", "period")
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(entity).alias("n_entities"), (F.min(date) < F.max(date)).alias("_many")).where("_many").drop("_many")
     for c in columns:

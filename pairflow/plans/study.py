@@ -100,8 +100,8 @@ def run(store: Store, inputs: Inputs, steps: str = "all", **how) -> DataFrame:
 
     Each step commits its table to the store under the function's name, with a manifest of the inputs (by fingerprint), settings and earlier
     steps it has read. An earlier step that is read again must fit: if it is missing or half-written, was made with other settings or
-    other inputs than this run's, or from a step that has been written anew since, the run raises :class:`StaleStep`. Inputs are needed
-    only by the steps that run; those that aren't given aren't compared. Unknown settings are errors.
+    other inputs than this run names, or from a step that has been written anew since, the run raises :class:`StaleStep`. Inputs are needed
+    only by the steps that run; inputs and settings that aren't given aren't compared. Unknown settings are errors.
     """
     unknown = set(how) - set(DEFAULTS)
     if unknown:
@@ -120,8 +120,8 @@ def run(store: Store, inputs: Inputs, steps: str = "all", **how) -> DataFrame:
             made = kept["made_from"]
             if made is not None:
                 for key, value in made["settings"].items():
-                    if value != _told(settings[key]):
-                        raise StaleStep(f"step {name} was made with {key} = {value}, not {_told(settings[key])}")
+                    if key in how and value != _told(how[key]):
+                        raise StaleStep(f"step {name} was made with {key} = {value}, not {_told(how[key])}")
                 for key, value in made["inputs"].items():
                     if key in inputs and value != print_of(key):
                         raise StaleStep(f"step {name} was made from other rows of {key}")

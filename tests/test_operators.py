@@ -428,7 +428,7 @@ def test_classes_and_names_of_unknown_keys(spark):
 def test_nine_steps_and_resume(spark, tmp_path):
     """Two gages on one river; the lower one is terminal and has both catchments. Well w3 lies in none, w2 too far below its reach."""
     from pairflow.plans import study
-    from pairflow.plans.tables import Store
+    from pairflow.plans.tables import StaleStep, Store
 
     square = lambda i, x: (i, [(x, 0.0), (x + 1.0, 0.0), (x + 1.0, 1.0), (x, 1.0)])
     days = [(2000 + m // 12, m % 12 + 1) for m in range(60)]
@@ -452,3 +452,16 @@ def test_nine_steps_and_resume(spark, tmp_path):
     assert study.run(store, inputs, "6", buffer=5000.0).select("entity").distinct().count() == 2
     with pytest.raises(ValueError):
         study.run(store, inputs, "9", no_such=1)
+    seen = {r.step: r for r in study.observed(store).collect()}
+    assert len(seen) == 9 and seen["checked"].rows == 120 and seen["checked"].about_entity == 2 and seen["monthly"].first_date == "2000-01-15"
+    for steps, how in (("8-9", {}), ("7", {"buffer": 30.0}), ("5-6", {"years": 1.0})):  # step 6 has been written anew, with another buffer
+        with pytest.raises(StaleStep):
+            study.run(store, {}, steps, **how)
+    study.run(store, inputs, "7-9", buffer=5000.0)
+    with pytest.raises(StaleStep):
+        study.run(store, inputs | {"levels": inputs["levels"].limit(5)}, "9")
+    (tmp_path / "deltas" / "_manifest.json").unlink()
+    with pytest.raises(StaleStep, match="half-written"):
+        study.run(store, {}, "9")
+    with pytest.raises(StaleStep, match="never"):
+        Store(spark, str(tmp_path / "none")).load("fits")

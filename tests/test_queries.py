@@ -17,6 +17,8 @@ CHOSEN = [
     "x2_entities_in_catchments", "x7_basins_of_gages", "j3_enriched_series", "j12_with_fits", "j14_match_rate", "a52_step_metrics", "t10_held_mean_curve",
     "s3_attributes_of_series", "s8_reach_elevations", "s9_vertex_arrays", "s11_resumed_study", "u5_selections", "u5_selection_fits", "s6_gage_locations", "s7_flags",
     "s13_upstream_map",
+    "u1_p_values", "u2_trend_labels", "t4_global_outliers", "p14_trimmed", "a54_profile", "a46_rank_sum", "g4_upstream_of", "g7_upstream_summary", "x3_reaches_of_points", "x5_utm",
+    "s11_nine_steps", "a27_five_lags", "a35_period_trends", "u5_summary", "a53_group_range", "p8_own_classes", "j12_described_trends",
 ]
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled rows that the lexicon and the weights are learned from, at most (those with the smallest hash), and entries of the lexicon.
-MOST_LABELS, MOST_ENTRIES = 20_000, 2_000
+#: Labelled rows that the lexicon and the weights are learned from, at most (those with the smallest hash).
+MOST_LABELS = 20_000
 #: An entry needs this many toxic families of texts, and this share of them, and odds this many times those of other texts.
 LEAST_FAMILIES, LEAST_SHARE, LEAST_ODDS = 3, 0.004, 20.0
 #: Words of at least this length are also matched with one edit; what an edited match counts.
@@ -29,6 +30,7 @@ REPORTING = frozenset(
 )
 QUOTES = re.compile(r"[\"“”„«»‹›]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class Lexicon:
@@ -39,7 +41,7 @@ class Lexicon:
     with one edit, shorter ones and stems exactly; a stem matches every word that begins with it.
     """
 
-    def __init__(self, entries: list[tuple[str, bool]]):
+    def __init__(self, entries: Iterable[tuple[str, bool]]):
         self.next: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]  # edits that a word which ends here allows
         self.stem: list[bool] = [False]
@@ -101,18 +103,26 @@ class Lexicon:
 
 
 class Matches(dict):
-    """Lower-case tokens to their match, each walked once."""
+    """Lower-case tokens to their match, each walked once: the best of a token's runs of letters and of the token as a whole,
+    in which digits and inner signs stand for letters (``gr0wler``, ``gro*ler``) and outer signs don't count unless that makes
+    the match (``@mbler`` is ``ambler`` less one letter)."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, token: str) -> int:
-        found = max((self.lexicon.match(w) for w in _LETTERS.findall(token)), default=0)
-        self[token] = found
+        forms = {*_LETTERS.findall(token), _OUTER.sub("", token)}
+        found = self[token] = max(map(self.lexicon.match, forms))
         return found
 
 
+@lru_cache(maxsize=1)
+def matches_of(entries: tuple[tuple[str, bool], ...]) -> Matches:
+    """One for each Python worker, which keeps the automaton's steps from task to task."""
+    return Matches(Lexicon(entries))
+
+
 def features(text: str, matches: Matches) -> tuple[float, float, float]:
     """Sums over hits as abuse and as quotation, and abuse for each hundred words."""
     tokens = text.lower().split()
@@ -129,12 +139,15 @@ def features(text: str, matches: Matches) -> tuple[float, float, float]:
     return np.log1p(abuse), np.log1p(quoted), np.log1p(100 * abuse / max(20, len(tokens)))
 
 
-def _features(entries: list[tuple[str, bool]], weights: np.ndarray | None = None):
+def _features(entries: tuple[tuple[str, bool], ...], weights: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = Matches(Lexicon(entries))
+        matches = matches_of(entries)
         for batch in batches:
             if len(matches) > 500_000:
                 matches.clear()
+            if len(matches.lexicon.steps) > 500_000:
+                matches.lexicon.steps.clear()
+                matches.lexicon.ends.clear()
             x = np.array([features(t or "", matches) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, 3)
             cols = [batch.column("doc_id")]
             if weights is None:
@@ -149,10 +162,12 @@ def _features(entries: list[tuple[str, bool]], weights: np.ndarray | None = None
     return run
 
 
-def learned_entries(labelled: DataFrame) -> list[tuple[str, bool]]:
-    """Words and stems (first letters) that toxic texts hold far more often than others.
+def learned_entries(labelled: DataFrame) -> tuple[tuple[str, bool], ...]:
+    """Words and stems (first letters) that toxic texts hold far more often than others, all of them.
 
-    Copies count once: texts with one smallest word hash are a family.
+    Copies count once: texts with one smallest word hash are a family. Each entry stands in a share of ``LEAST_SHARE`` of the toxic
+    families at least, so there are at most 1 / ``LEAST_SHARE`` times as many as a toxic family of the bounded sample has words and
+    stems on average.
     """
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
     rows = labelled.withColumn("w", found).where(F.size("w") > 0)
@@ -166,8 +181,7 @@ def learned_entries(labelled: DataFrame) -> list[tuple[str, bool]]:
     counts = rows.groupBy("entry").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
     odds = ((F.col("a") + 0.5) / (toxic + 1.0)) / ((F.col("b") + 0.5) / (clean + 1.0))
     best = counts.where((F.col("a") >= max(LEAST_FAMILIES, LEAST_SHARE * toxic)) & (odds >= LEAST_ODDS))
-    best = best.orderBy(F.desc("a"), "entry").limit(MOST_ENTRIES).select("entry").collect()
-    return [(r[0][1:], r[0][0] == "s") for r in best]
+    return tuple((r[0][1:], r[0][0] == "s") for r in best.orderBy(F.desc("a"), "entry").select("entry").collect())
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:

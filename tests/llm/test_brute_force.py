@@ -99,6 +99,35 @@ def test_automaton_equals_edit_distance():
         assert lexicon.match(w) == want, (w, want)
 
 
+def test_spellings_with_digits_and_signs_equal_edit_distance():
+    rng = random.Random(16)
+    entries = sorted({"".join(rng.choices("abcd", k=rng.randrange(4, 9))) for _ in range(25)})
+    lexicon = toxicity.Lexicon([(e, False) for e in entries])
+    matches = toxicity.Matches(lexicon)
+    for _ in range(3000):
+        w = list(rng.choice(entries))
+        for _ in range(rng.randrange(1, 3)):
+            w[rng.randrange(len(w))] = rng.choice("0*@1")
+        token = rng.choice(("", "(", '"')) + "".join(w) + rng.choice(("", ",", "!)"))
+        # outer signs go, digits stay; each run of letters counts as a word too
+        whole = token.strip('*@(",!)')
+        runs = [r for r in "".join(c if c.isalpha() else " " for c in token).split()]
+        want = max(2 if f in entries else int(any(within_one_edit(f, e) for e in entries if len(e) >= 5)) for f in (whole, *runs))
+        assert matches[token] == want, (token, want)
+    assert [toxicity.Matches(toxicity.Lexicon([("grumbler", False)]))[t] for t in ("gr*mbler", "(grumb1er!)", "@grumbler,", "$rumbler", "gr**bler", "--", "")] == [1, 1, 2, 1, 0, 0, 0]
+
+
+def test_every_entry_of_a_large_lexicon_counts(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    marked = [f"zq{name(i)}" for i in range(3000)]
+    rows = []
+    for i in range(340):  # 40 toxic texts, of which ten hold each marked word; as many words are a text's own, so that families differ
+        own = [f"y{name(j * 340 + i)}" for j in range(750 if i < 40 else 20)]
+        rows.append((i, " ".join(own + [w for j, w in enumerate(marked) if i < 40 and (i - j) * 37 % 40 < 10]), int(i < 40)))
+    entries = toxicity.learned_entries(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert {w for w, stem in entries if not stem} == set(marked)
+
+
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
     """Forty clean documents, copies, near copies, one that holds a benchmark passage, shared lines, junk, null and empty texts."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,8 +20,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint in blocks, and the Hamming radius. Two fingerprints within it differ by ``NEAR`` bits or fewer in one block at least.
 BLOCKS, BLOCK_BITS, NEAR = 16, 12, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
-#: Items whose texts come to tasks at once, in MB; a larger benchmark takes more passes over the documents.
-ITEMS_MB = 2.0
+#: Items that come to tasks at once, by the MB of their texts and by their number (8 KB of index each); a larger benchmark takes
+#: more passes over the documents.
+ITEMS_MB, MOST_ITEMS = 2.0, 8192
 
 _MARKS = re.compile(r"[\W_]+")
 
@@ -92,15 +94,16 @@ class Items:
     within ``NEAR`` bits. ``shared`` has the keys in order and the holders of all shingles that two items or more of the whole benchmark hold.
     """
 
-    def __init__(self, items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY, k: int = SHINGLE):
+    def __init__(self, items: list[tuple[int, str, int]], shared: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY, k: int = SHINGLE):
         self.k, self.least = k, least
         # rarer shingles weigh more; a shingle that no item holds weighs as one that a single item holds
         self.shared, self.shared_weight = shared[0], 1.0 / (1.0 + np.log(shared[1]))
-        keys = [(i, plain_keys((t or "").encode())) for i, t in items]
-        keys = [(i, x) for i, x in keys if len(x)]
-        self.ids = [i for i, _ in keys]
-        self.size = [len(x) for _, x in keys]
-        runs = [shingles(x, k) for _, x in keys]
+        keys = [(i, plain_keys((t or "").encode()), times) for i, t, times in items]
+        keys = [x for x in keys if len(x[1])]
+        self.ids = [i for i, _, _ in keys]
+        self.times = [times for _, _, times in keys]
+        self.size = [len(x) for _, x, _ in keys]
+        runs = [shingles(x, k) for _, x, _ in keys]
         self.bags = [self.bag(r) for r in runs]
         prints = blocks(np.concatenate([self.sums(r) for r in runs])) if runs else np.empty((0, BLOCKS), np.int64)
         self.prints = prints
@@ -234,42 +237,64 @@ def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def item_blocks(benchmark: DataFrame, text: str, item_id: str, mb: float = ITEMS_MB) -> Iterator[tuple[list[tuple[int, str]], tuple[np.ndarray, np.ndarray]]]:
-    """The items in blocks of about ``mb`` MB of text, one after the other, each with the shared shingles of all blocks."""
+class ItemBlock:
+    """What tasks get of one block of items: ``(id, text, equal rows)`` each, and the shared shingles of all blocks."""
+
+    def __init__(self, items: list[tuple[int, str, int]], shared: tuple[np.ndarray, np.ndarray], least: float):
+        self.key, self.items, self.shared, self.least = uuid.uuid4().hex, items, shared, least
+
+    def index(self) -> Items:
+        """Built once in each Python worker, which keeps the block that it met last."""
+        if self.key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.key] = Items(self.items, self.shared, self.least)
+        return _BUILT[self.key]
+
+
+_BUILT: dict[str, Items] = {}
+
+
+def item_blocks(benchmark: DataFrame, text: str, item_id: str, least: float, mb: float = ITEMS_MB, most: int = MOST_ITEMS) -> Iterator[ItemBlock]:
+    """The items in blocks of about ``mb`` MB of text or ``most`` items, whichever is less, one after the other. Equal rows are one item."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("t <> ''")
-    n = int((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / (mb * 1e6)) + 1
+    apart = items.groupBy("i", "t").agg(F.count("*").alias("times"))
+    size, rows = apart.agg(F.sum(F.octet_length("t")), F.count("*")).first()
+    n = int(max((size or 0) / (mb * 1e6), rows / most)) + 1
     shared = shared_shingles(items)
+    if n > 1:
+        apart = written(apart, "items")
     for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()], shared
+        yield ItemBlock([tuple(r) for r in apart.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()], shared, least)
 
 
 def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",
-    least: float = SIMILARITY, items_mb: float = ITEMS_MB,
+    least: float = SIMILARITY, items_mb: float = ITEMS_MB, most_items: int = MOST_ITEMS,
 ) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)``: the best window of each row of ``docs`` for each item it matches.
 
     Windows have the item's number of words; case and punctuation don't count. Similarity is the weighted
     Jaccard of five-word shingles, as often as they occur; items and texts below five words are one shingle. Null and empty texts and items
-    match nothing; repeated rows match each. Weights count the holders over the whole benchmark, whatever the number of blocks.
+    match nothing; repeated rows match each; of windows as similar the first counts. Weights count the holders over the whole benchmark,
+    whatever the number of blocks.
     """
     out = None
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    for items, shared in item_blocks(benchmark, item_text, item_id, items_mb):
-        found = docs.mapInArrow(_matching(items, shared, least), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+    for block in item_blocks(benchmark, item_text, item_id, least, items_mb, most_items):
+        found = docs.mapInArrow(_matching(block), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _matching(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], least: float):
+def _matching(block: ItemBlock):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items, shared, least)
+        index = block.index()
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         for batch in batches:
             out = []
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 for i, sim, start in index.matches(plain_keys(t.as_py())):
-                    out.append((doc_id, index.ids[i], sim, start, index.size[i]))
+                    out += [(doc_id, index.ids[i], sim, start, index.size[i])] * index.times[i]
             if out:
                 cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -277,16 +302,18 @@ def _matching(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray
     return run
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, items_mb: float = ITEMS_MB) -> DataFrame:
+def without_benchmark(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = SIMILARITY, items_mb: float = ITEMS_MB, most_items: int = MOST_ITEMS
+) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window matches a benchmark item; no shuffle of ``docs``."""
-    for items, shared in item_blocks(benchmark, "text", "item_id", items_mb):
-        docs = docs.mapInArrow(_clean(items, shared, text, least), docs.schema)
+    for block in item_blocks(benchmark, "text", "item_id", least, items_mb, most_items):
+        docs = docs.mapInArrow(_clean(block, text), docs.schema)
     return docs
 
 
-def _clean(items: list[tuple[int, str]], shared: tuple[np.ndarray, np.ndarray], text: str, least: float):
+def _clean(block: ItemBlock, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(items, shared, least)
+        index = block.index()
         for batch in batches:
             keep = [not index.matches(plain_keys(t.as_py())) for t in batch.column(text).cast(pa.binary())]
             yield batch.filter(pa.array(keep, pa.bool_()))

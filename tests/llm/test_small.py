@@ -244,6 +244,21 @@ def test_decontamination_misses_no_edited_passage(spark):
     assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == {(d, d % 100): (pytest.approx(49 / 61), d % 7) for d in range(600)}
 
 
+def test_decontamination_in_blocks_by_number_of_items_and_with_equal_rows(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(5 + i % 3))) for i in range(120)]
+    items += [items[5]] * 3 + [(500, items[5][1]), (None, items[7][1])]
+    docs = spark.createDataFrame([(d, f"a b c {items[d % 125][1]} d e f") for d in range(140)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda most: Counter(tuple(r) for r in decontamination.benchmark_matches(docs, bench, most_items=most).collect())
+    whole = found(8192)
+    assert found(17) == whole and sum(n for k, n in whole.items() if k[:2] == (5, 5)) == 4 and {k[1] for k in whole if k[0] == 7} == {7, None}
+    assert {k[0] for k in whole} == set(range(140))
+    assert decontamination.without_benchmark(docs, bench, most_items=17).count() == 0
+    blocks = list(decontamination.item_blocks(bench, "text", "item_id", 0.8, most=17))
+    assert len(blocks) == 8 and sorted(t for b in blocks for _, _, t in b.items) == [1] * 121 + [4]
+
+
 def test_decontamination_equals_brute_force_with_repeats(spark):
     rng = random.Random(9)
     items = [(i, " ".join(rng.choice("abc") * rng.randrange(1, 3) for _ in range(rng.randrange(5, 16)))) for i in range(30)]

@@ -184,6 +184,26 @@ def test_jaccard_join_of_many_edits(spark, k, percent):
     assert got == dict(enumerate(root))
 
 
+def test_jaccard_join_leaves_texts_where_they_are_read(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400)) for _ in range(500)]
+    spark.createDataFrame(list(enumerate([*texts, texts[3] + " more"])), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = jaccard_join.jaccard_components(spark.read.parquet(f"{tmp_path}/docs"), k=3, percent=90, reread=True).select("doc_id", "component_id").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert dict(got) == {**{i: i for i in range(500)}, 500: 3}
+    assert shuffled() - before < 0.7 * sum(map(len, texts))
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    a, b = ([f"{x}{i}" for i in range(42)] for x in "ab")
+    half = [*a[:22], *b[:22]]
+    rows = [(7, a), (7, b), (5, [*a, "end"]), (6, [*b, "end"]), (9, [*half, "end"]), (8, half)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), k=3, percent=90)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(5, 5), (6, 5), (7, 5), (7, 5), (8, 8), (9, 8)]
+
+
 def test_sketches_bound_the_difference():
     rng = random.Random(3)
     lines = sorted({"".join(rng.choice("abc dé") for _ in range(rng.randrange(1, 90))) for _ in range(120)})

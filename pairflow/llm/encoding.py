@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers before it starts anew; a few hundred MB at most.
+#: Pieces that a worker remembers, the latest half and the one before it; a few hundred MB at most.
 MEMO = 800_000
 #: White space other than blanks and line feeds, by any rule that a tokenizer may follow.
 _ODD = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -36,13 +36,15 @@ class Encoder:
         self.mark_id = self._ids(self.mark)[0]
         self.memo: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.limit = limit
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
+    def at(cls, path: str, limit: int = MEMO) -> Encoder:
         """One encoder for each file in a worker process."""
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
+        cls._loaded[path].limit = limit
         return cls._loaded[path]
 
     def _ids(self, text: str) -> list[int]:
@@ -52,12 +54,13 @@ class Encoder:
         return np.array(self._ids(text), np.uint32).tobytes()
 
     def _learnt(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece: many in one text, parted by a mark that is a piece of its own and in none of them."""
+        """Ids of each piece: many in one text, parted by a mark that is a piece of its own and in none of them but at the front."""
         bare = self.mark.strip() or self.mark
         out: list[bytes] = []
         for i in range(0, len(pieces), 2000):
             some = pieces[i : i + 2000]
-            plain = [p for p in some if p and bare not in p]
+            rest = [p.removeprefix(self.mark) for p in some]
+            plain = [p for p in rest if p and bare not in p]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids, np.uint32) if plain else np.empty(0, np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
             if plain and len(cuts) != len(plain) - 1:
@@ -65,23 +68,28 @@ class Encoder:
                 continue
             raw = ids.tobytes()
             parts = iter(map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])))
-            out += [next(parts) if p and bare not in p else self._raw(p) for p in some]
+            front = np.array([self.mark_id], np.uint32).tobytes()
+            out += [(next(parts) if p is q or p == q else front + next(parts)) if p and bare not in p else self._raw(q) for p, q in zip(rest, some, strict=True)]
         return out
 
     def _of(self, pieces: list[str], blank: str = "") -> list[bytes]:
         """Ids of pieces, each of which stands after ``blank`` (but for those that begin with a line feed)."""
-        memo = self.memo if blank else self.first
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
+        memo, older = (self.memo, self.older[0]) if blank else (self.first, self.older[1])
+        found = list(map(memo.get, pieces))
+        lost = dict.fromkeys(p for p, f in zip(pieces, found, strict=True) if f is None)
+        if not lost:
+            return found
+        memo.update((p, older[p]) for p in lost if p in older)
+        new = [p for p in lost if p not in older]
         if new:
             full = [p if p[:1] == "\n" else blank + p for p in new] if blank else new
             memo.update(zip(new, self._learnt(full), strict=True))
-        return list(map(memo.__getitem__, pieces))
+        return [memo[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (each followed by ``end``), and the texts' borders in them. Null texts are empty."""
-        if len(self.memo) + len(self.first) > self.limit:
-            self.memo.clear()
-            self.first.clear()
+        if len(self.memo) + len(self.first) > self.limit // 2:
+            self.older, self.memo, self.first = (self.memo, self.first), {}, {}
         texts = pc.fill_null(texts, "")
         n = len(texts)
         whole = np.zeros(n, bool)

@@ -31,6 +31,8 @@ BLOCK, SEGMENT, PERCENTILE = 128, 1 << 16, 90.0
 MAGIC = b"PFR1"
 #: Documents that are encoded at once; shards whose sizes are added up together.
 ROWS, RUN = 2048, 4096
+#: Pieces that a worker remembers.
+MEMO = 1_200_000
 SCHEMA = "shard int, start long, n long, doc_id long, ord long, segment binary"
 
 
@@ -121,7 +123,7 @@ def _write_shard(path: str, percentile: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), Encoder.at(path)
+        shard, encoder = TaskContext.get().partitionId(), Encoder.at(path, MEMO)
         place, done, order, held = 0, 0, 0, np.empty(0, np.uint32)
         names = ("shard", "start", "n", "doc_id", "ord", "segment")
 

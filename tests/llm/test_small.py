@@ -51,6 +51,17 @@ def test_encoder_equals_the_library(name):
         assert ids[borders[i] : borders[i + 1]].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+def test_encoder_keeps_pieces_in_use():
+    e, learnt = Encoder(public_tokenizers.path("byte_bpe_50k.json"), 40), Counter()
+    learn = e._learnt
+    e._learnt = lambda pieces: learnt.update(pieces) or learn(pieces)
+    for turn in range(6):
+        text = "start common\nnext " + " ".join(f"r{turn}x{i}" for i in range(25))
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert learnt["start"] == learnt[" common"] == learnt["\nnext"] == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_blocks_round_trip(n):
     ids = np.random.default_rng(n).integers(0, 50_000, n).astype(np.uint32)

@@ -62,6 +62,34 @@ def test_encoder_keeps_pieces_in_use():
     assert learnt["start"] == learnt[" common"] == learnt["\nnext"] == 1
 
 
+def test_encoder_learns_words_without_the_signs_after_them():
+    e, learnt, whole = Encoder(public_tokenizers.path("byte_bpe_50k.json")), Counter(), Counter()
+    learn, parted = e._learnt, e._parted
+    e._learnt = lambda pieces: learnt.update(pieces) or learn(pieces)
+    e._parted = lambda pieces: whole.update(pieces) or parted(pieces)
+    texts = ["front word word. word, (word) word?! it's. 12.\nword.\nword", "a word<|endoftext|> née, née×2. ªº×. x'", "Ǆĳ. word…", "word."]
+    ids, borders = e.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[borders[i] : borders[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert learnt[" word"] == learnt["\nword"] == learnt[" née"] == 1
+    assert not {" word.", " word,", " word?!", "\nword.", " née,"} & learnt.keys()
+    assert not {" word", "\nword", "front", " née"} & whole.keys() and {" (word", " it's", " 12."} <= whole.keys()
+
+
+def test_encoder_with_a_vocabulary_that_lacks_letters(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = ["a", "b", "Ġ", "Ċ", ".", "ab", "Ġa", "Ġab"]
+    made = Tokenizer(models.BPE({v: i for i, v in enumerate(vocab)}, [("a", "b"), ("Ġ", "a"), ("Ġ", "ab")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "made.json"))
+    e = Encoder(str(tmp_path / "made.json"))
+    texts = ["ab abc a.b\nab c. cab", "c", "ab. ab\nc\nba", "é abé."]
+    ids, borders = e.encode(pa.array(texts))
+    assert e.model and [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == [made.encode(t).ids for t in texts]
+    assert Encoder(public_tokenizers.path("word_bpe_49k.json")).model is None
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_blocks_round_trip(n):
     ids = np.random.default_rng(n).integers(0, 50_000, n).astype(np.uint32)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks_of, got_keys, mix, sent_keys, slices, with_block
-from .common import components, n_blocks, unplaced, written
+from .common import components, n_blocks, small_batches, unplaced, written
 
 #: Characters of a shingle, bands and rows of a signature, similarity that links two lines.
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 16, 4, 0.8
@@ -19,6 +19,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 8, 16, 4, 0.8
 FILTER_BITS = 1 << 24
 #: Bytes of text that a block of documents may hold in a worker; more are several blocks.
 BLOCK_BYTES = 16_000_000
+#: Documents in one Arrow batch.
+BATCH_ROWS = 1024
 #: Bits of a line's sketch, kept in integers of 64.
 SKETCH_BITS = 1024
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
@@ -297,10 +299,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(row, drop)``: line numbers to drop from each row of ``docs (row, doc_id, text, block)``."""
     buckets = n_blocks(docs, block_mb=8)
     asked = docs.select("block", "text").mapInArrow(_requests(buckets), "bucket int, kind int, keys binary, ids binary")
-    index = written(asked.groupBy("bucket").applyInArrow(_index, "key long, id long"), "line-index")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        index = written(asked.groupBy("bucket").applyInArrow(_index, "key long, id long"), "line-index")
     bits = np.packbits(_filter_of(index)[:FILTER_BITS], bitorder="little").tobytes()
     seen = docs.select("row", "doc_id", "text").mapInArrow(_occurrences(bits), "id long, row long, doc_id long, number int, line string")
-    seen = written(seen, "line-occurrences")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        seen = written(seen, "line-occurrences")
     keyed = written(index.where("key is not null").distinct(), "line-keys")
     # how many lines a line meets under its keys
     many = keyed.groupBy("key").agg(F.count("*").alias("m")).select(unplaced(F.col("key"), "bigint").alias("_key"), "m")

@@ -254,6 +254,20 @@ def test_sketches_bound_the_difference():
             assert np.unpackbits((sketch[a] ^ sketch[b]).view(np.uint8)).sum() <= len(sets[a] ^ sets[b])
 
 
+def test_documents_reach_line_dedup_in_small_batches(spark, docs, monkeypatch):
+    name, rows, real = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, line_dedup.written
+    own = spark.conf.get(name)
+
+    def written(df, what, *by):
+        rows[what] = int(spark.conf.get(name))
+        return real(df, what, *by)
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    line_dedup.dedup_lines(docs)
+    assert rows["line-index"] == rows["line-occurrences"] == line_dedup.BATCH_ROWS < int(own) == rows["line-drops"]
+    assert spark.conf.get(name) == own
+
+
 def test_line_dedup(spark, docs):
     out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("clash")))
     got = {r.doc_id: r.text for r in out.where("doc_id not in (7)").collect()}

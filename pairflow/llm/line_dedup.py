@@ -21,6 +21,8 @@ FILTER_BITS = 1 << 24
 BLOCK_BYTES = 16_000_000
 #: Documents in one Arrow batch.
 BATCH_ROWS = 1024
+#: Characters of lines whose sets of shingles a worker keeps while it checks pairs.
+HELD = 400_000
 #: Bits of a line's sketch, kept in integers of 64.
 SKETCH_BITS = 1024
 SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
@@ -37,14 +39,16 @@ def lines_of(text: bytes | None) -> list[tuple[int, bytes]]:
 
 def shingle_hashes(lines: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(line, hash)`` of each place of a shingle; a line shorter than a shingle has its id as the only one."""
-    flat = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in lines]
-    sizes = np.array([len(x) for x in flat])
-    chars = np.concatenate([*flat, np.zeros(SHINGLE, np.uint32)]).astype(np.uint64)
+    sizes = np.array(list(map(len, lines)))
+    chars = np.frombuffer(("".join(lines) + "\0" * SHINGLE).encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(chars) - SHINGLE
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(SHINGLE):
-            h = h * np.uint64(0x100000001B3) + chars[i : n + i]
+    h, width = chars, 1  # of the ``width`` characters from each place on
+    while 2 * width <= SHINGLE:
+        h = h[:-width] * np.uint64(pow(0x100000001B3, width, 1 << 64)) + h[width:]
+        width *= 2
+    for i in range(width, SHINGLE):
+        h = h[:-1] * np.uint64(0x100000001B3) + chars[i:]
+    h = h[:n]
     ends = np.cumsum(sizes)
     line = np.repeat(np.arange(len(lines)), sizes)
     inside = np.arange(n) + SHINGLE <= ends[line]
@@ -93,13 +97,11 @@ def signatures(lines: list[bytes], ids: np.ndarray) -> np.ndarray:
         nxt = np.roll(part, -1, 1)
         part = np.where(empty & (nxt != 0xFFFFFFFF), nxt ^ np.uint32(0x5BD1E995) & np.uint32(0xFFFFFFFE), part)
     sig[odd] = part
-    out = np.empty((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(lines), b + 1, np.uint64)
-        for r in range(ROWS):
-            key = mix(key, sig[:, b * ROWS + r].astype(np.uint64))
-        out[:, b] = key
-    return out
+    sig = sig.reshape(len(lines), BANDS, ROWS).astype(np.uint64)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), 1))
+    for r in range(ROWS):
+        key = mix(key, sig[:, :, r])
+    return key
 
 
 def _requests(buckets: int):
@@ -122,7 +124,7 @@ def _requests(buckets: int):
             ids, lines = np.fromiter(found, np.uint64, len(found)), list(found.values())
             keys = np.concatenate([signatures(lines[a:b], ids[a:b]) for a, b in by_size(list(map(len, lines)))])
             flat, own = keys.ravel(), np.repeat(ids, BANDS)
-            order = np.lexsort((own, flat))
+            order = np.argsort(flat)  # any line may lead its key
             flat, own = flat[order], own[order]
             lead = np.concatenate([[True], flat[1:] != flat[:-1]])
             several = ~lead | np.concatenate([~lead[1:], [False]])
@@ -230,6 +232,7 @@ def overlap(x: set[str], y: set[str]) -> float:
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, set[str]] = {}  # leaders come again and again
+    size, last, other = 0, None, set()  # the others stand together
     for batch in batches:
         ok = []
         for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True):
@@ -237,10 +240,14 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own is None:
                 own = shingles(x)
                 if len(x) < 2000:
-                    if len(held) > 500:
+                    if size > HELD:
                         held.clear()
+                        size = 0
                     held[x] = own
-            ok.append(overlap(own, shingles(y)) >= SIMILARITY)
+                    size += len(x)
+            if y != last:
+                last, other = y, held.get(y) or shingles(y)
+            ok.append(overlap(own, other) >= SIMILARITY)
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 

@@ -268,6 +268,17 @@ def test_documents_reach_line_dedup_in_small_batches(spark, docs, monkeypatch):
     assert spark.conf.get(name) == own
 
 
+def test_sets_of_shingles_are_made_once(monkeypatch):
+    made, real = Counter(), line_dedup.shingles
+    monkeypatch.setattr(line_dedup, "shingles", lambda x: made.update([x]) or real(x))
+    leaders = [f"a line of some length that is number {i} of all" for i in range(700)]
+    pairs = [(x, y) for y in ("a line of some length that is number 7 of them", "another one") for x in leaders]
+    cols = [pa.array(range(len(pairs)))] * 2 + [pa.array([p[i] for p in pairs]) for i in (0, 1)]
+    out = list(line_dedup._checked(iter([pa.RecordBatch.from_arrays(cols, ["a", "b", "la", "lb"])])))
+    assert out[0].column("a").to_pylist() == [i for i, (x, y) in enumerate(pairs) if line_dedup.overlap(real(x), real(y)) >= 0.8] != []
+    assert set(made.values()) == {1}
+
+
 def test_line_dedup(spark, docs):
     out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit("clash")))
     got = {r.doc_id: r.text for r in out.where("doc_id not in (7)").collect()}

@@ -101,6 +101,14 @@ def test_parts_of_both_sides_code_as_whole_texts():
         assert (np.frombuffer(x, np.int32).tolist(), np.frombuffer(y, np.int32).tolist()) == (want[:2] if want else ([], [])), repr(t)
 
 
+def test_words_are_learnt_without_the_signs_after_them():
+    pair = token_alignment.Pair(A, B)
+    texts = ["zebrula, zebrula. zebrula! zebrula", "x zebrula..."]
+    got, _ = pair.encode(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [pair.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert [w for w in pair.coder.memo if "zebrula" in w] == ["zebrula"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 3000])
 def test_divide_and_conquer_finds_all_shared_ends(n):
     rng = np.random.default_rng(n)

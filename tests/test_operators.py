@@ -169,6 +169,19 @@ def test_series_are_whole_in_order_and_apart(spark):
     assert whole.by_series(df.limit(0), ("k", "g"), ("at",), ("x",), told, "n long, whole double").count() == 0
 
 
+def test_series_stay_whole_after_a_join_that_becomes_a_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    own = spark.conf.get(name)
+    spark.conf.set(name, "256KB")  # less than the plan's estimate, more than the sizes at run time
+    try:
+        rows = spark.range(400000, numPartitions=8).select((F.col("id") % 10).cast("string").alias("k"), F.col("id").alias("at"), F.col("id").cast("double").alias("x"))
+        good = rows.groupBy("k").agg(F.count("*").alias("n")).where("n >= 10")
+        got = whole.by_series(rows.join(good.select("k"), "k", "left_semi"), ("k",), ("at",), ("x",), lambda x: ([len(x)], [x[0]]), "n long, first double")
+        assert sorted(tuple(r) for r in got.collect()) == [(str(k), 40000, float(k)) for k in range(10)]
+    finally:
+        spark.conf.set(name, own)
+
+
 def test_cross_correlation_over_ten_years_of_lags(spark):
     n, limit = 9000, 3650
     rng = np.random.default_rng(3)

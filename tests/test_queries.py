@@ -50,3 +50,20 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
+def test_study_inputs_stay_the_same_between_runs(spark, monkeypatch):
+    """Levels whose last bits change whenever they are made, as sums of doubles do on several executors."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pairflow.catalog import places
+    from pairflow.catalog.base import Tables
+    from pairflow.plans.tables import fingerprint
+
+    steady, noise = Tables.levels, F.udf(lambda v: v * (1 + random.choice((-1, 0, 1)) * 2**-52), "double").asNondeterministic()
+    monkeypatch.setattr(Tables, "levels", lambda t: steady(t).withColumn("wte", noise("wte")))
+    inputs = places._study_inputs(Tables(spark, FOLDER))
+    assert fingerprint(inputs["levels"]) == fingerprint(inputs["levels"])

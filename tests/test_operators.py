@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -478,3 +479,24 @@ def test_nine_steps_and_resume(spark, tmp_path):
         study.run(store, {}, "9")
     with pytest.raises(StaleStep, match="never"):
         Store(spark, str(tmp_path / "none")).load("fits")
+
+
+def unsteady(spark, n, *columns):
+    """``id`` 0 to n - 1, ``columns``, and ``x``, which is another number whenever it is read, as sums of doubles may be."""
+    return spark.range(n, numPartitions=4).select(*columns, F.udf(lambda i: random.random(), "double").asNondeterministic()(F.col("id")).alias("x"))
+
+
+def test_first_values_are_those_of_their_own_rows(spark):
+    rows = unsteady(spark, 400, (F.col("id") % 40).cast("string").alias("entity"), F.lit("g").alias("grp"), F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("id") / 40).cast("int")).alias("date"))
+    rows = rows.select("entity", "grp", "date", F.col("x").alias("wte"), F.col("x").alias("q"), F.lit(1).alias("bfd"))
+    got = pairing.with_deltas(pairing.with_baseline(rows)).where("date = '2020-01-01'").collect()
+    assert len(got) == 40 and all(r.delta_wte == 0 for r in got)
+
+
+def test_rows_at_a_quantile_are_within(spark):
+    rows = unsteady(spark, 250, (F.col("id") % 50).cast("string").alias("grp"), F.col("id").cast("string").alias("entity"))
+    got = filters.above_group_quantile(rows, 0.5, "x").groupBy("grp").count().collect()
+    assert len(got) == 50 and all(r["count"] == 3 for r in got)
+    assert filters.trimmed(unsteady(spark, 1001, "id"), ["x"]).count() == 991
+    chosen = places.six_selections({"m": rows.withColumnRenamed("x", "value")}, shares=(0.5,), n=3).groupBy("grp").agg(F.count_distinct("entity").alias("n")).collect()
+    assert all(r.n == 3 for r in chosen)

@@ -500,3 +500,29 @@ def test_rows_at_a_quantile_are_within(spark):
     assert filters.trimmed(unsteady(spark, 1001, "id"), ["x"]).count() == 991
     chosen = places.six_selections({"m": rows.withColumnRenamed("x", "value")}, shares=(0.5,), n=3).groupBy("grp").agg(F.count_distinct("entity").alias("n")).collect()
     assert all(r.n == 3 for r in chosen)
+
+
+def test_long_crossing_lines_are_keyed_by_the_cells_they_run_through(spark):
+    draw = random.Random(5)
+    ends = [[draw.uniform(0, 100) for _ in range(4)] for _ in range(300)] + [[7.0, 3.0, 7.0, 90.0], [1.0, 5.0, 99.0, 5.0], [4.0, 4.0, 4.0, 4.0]]
+    pieces = spark.createDataFrame([(i, *map(float, e)) for i, e in enumerate(ends)], "line_id int, x1 double, y1 double, x2 double, y2 double")
+    for r in pieces.withColumn("c", spatial._path_cells(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], 1.0)).collect():
+        cells = {(c.cx, c.cy) for c in r.c}
+        width = 2.0 ** r.c[0].level
+        assert len(cells) <= 200  # the box of a diagonal holds thousands
+        for k in range(1001):
+            assert (math.floor((r.x1 + (r.x2 - r.x1) * k / 1000) / width), math.floor((r.y1 + (r.y2 - r.y1) * k / 1000) / width)) in cells
+    points = [(i, draw.uniform(-20, 120), draw.uniform(-20, 120)) for i in range(400)]
+    lines = pieces.select("line_id", F.expr("array(struct(x1 AS x, y1 AS y), struct(x2 AS x, y2 AS y))").alias("line"))
+    near = spatial.nearest_line(spark.createDataFrame(points, "point_id int, x double, y double"), lines, 20.0)
+    assert "SortAggregate" not in near._jdf.queryExecution().executedPlan().toString()  # pairs aren't sorted
+    got = {r.point_id: (r.line_id, r.distance) for r in near.collect()}
+
+    def distance(x, y, e):
+        dx, dy = e[2] - e[0], e[3] - e[1]
+        t = min(1.0, max(0.0, ((x - e[0]) * dx + (y - e[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.hypot(x - e[0] - t * dx, y - e[1] - t * dy)
+
+    for i, x, y in points:
+        d, line = min((distance(x, y, e), k) for k, e in enumerate(ends))
+        assert got[i][1] == pytest.approx(d, abs=1e-9) and got[i][0] == line

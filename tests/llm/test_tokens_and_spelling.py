@@ -247,3 +247,26 @@ def test_ascii_lowering_only(spark):
     docs = spark.createDataFrame([(1, "ÀÉÎÕÜABC " * 5)], "doc_id long, text string")
     word = spelling_variants.group_variants(docs).first().word
     assert word == "ÀÉÎÕÜabc" and unicodedata.is_normalized("NFC", word) and spelling_variants.counted_words(docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")), "t", "i").first().n == 5
+
+
+def test_words_of_parts_are_not_remembered_twice(monkeypatch):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("one two, three. four\n five  six").join("ab") for _ in range(draw.randrange(40))) or None for _ in range(60)]
+    pair = token_alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    whole = pair.encode(texts)
+    assert not pair.coder.memo and pair.memo
+    monkeypatch.setattr(token_alignment, "SLICE", 50)
+    monkeypatch.setattr(token_alignment, "MEMO", 20)
+    assert pair.encode(texts) == whole and len(whole[0]) == len(texts)
+    assert pair.encode([]) == ([], [])
+
+
+def test_exploded_words_are_not_broadcast(spark, tmp_path):
+    """Files of some MB, or of a few hundred bytes as here, hold far more once their places are exploded."""
+    path = str(tmp_path / "words")
+    spark.range(500).select(F.concat(F.lit("wording"), F.col("id").cast("string")).alias("word"), F.lit(5).cast("long").alias("n")).write.parquet(path)
+    words = spark.read.parquet(path)
+    lists = spelling_variants.gram_lists(words, spelling_variants.gram_dictionary(words).where("gram <> ''"))
+    for df in (spelling_variants.near_words(lists), lists):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan

@@ -102,7 +102,7 @@ def gram_lists(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     each = F.array(*[F.substr("_padded", "at", F.lit(q)) for q in range(LEAST, MOST + 1)])
     places = places.select("word", "n", "at", F.explode(each).alias("gram"))
     known = dictionary.select(unplaced(F.col("gram"), "string").alias("_gram"), "f")
-    found = places.join(known, F.col("gram") == F.col("_gram"))
+    found = places.hint("merge").join(known.hint("merge"), F.col("gram") == F.col("_gram"))
     found = found.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "gram", "f"))).alias("g"))
     size = F.length("word")
     reach = lambda i: F.size(F.filter("g", lambda x: (x["at"] <= i) & (i < x["at"] + F.length(x["gram"]))))
@@ -130,7 +130,7 @@ def near_words(lists: DataFrame) -> DataFrame:
     fits &= (F.col("_len") < F.col("len")) | (F.col("_word") < F.col("word"))
     bound = F.greatest(F.col("_len") - F.col("_affected"), F.col("len") - F.col("affected"))
     repeated = F.least(F.col("_len") - F.size("_ids"), F.col("len") - F.size("ids"))
-    pairs = short.join(asked, fits).where(F.size(F.array_intersect("_ids", "ids")) + repeated >= bound)
+    pairs = short.hint("merge").join(asked.hint("merge"), fits).where(F.size(F.array_intersect("_ids", "ids")) + repeated >= bound)
     pairs = pairs.where(F.levenshtein("_word", "word", 1) == 1)
     return pairs.select(F.col("_word").alias("a"), F.col("word").alias("b"), F.col("_n").alias("na"), F.col("n").alias("nb")).distinct()
 
@@ -141,7 +141,8 @@ def group_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``form`` is the near word with most occurrences (ties: the smallest in code-point order) if it has at least ``times`` those of the word;
     ``root`` is where forms lead to. Counts grow by ``times`` with each form, so chains are short and have no cycles: five rounds of
     pointer doubling pass 32 forms, and five to the 28th is beyond any count. Words and pairs are written once each; nothing is
-    collected. Null and empty texts have no words, repeated rows count again, an empty table gives no rows, other columns aren't carried.
+    collected. Joins are merged on both sides' keys: Spark sizes a table after an explode as before it, and by its compressed files, so the places of
+    some MB of words would be broadcast through the driver as GB of rows. Null and empty texts have no words, repeated rows count again, an empty table gives no rows, other columns aren't carried.
     """
     if times < 5:
         raise ValueError("forms of less than five times the occurrences may chain further than the rounds reach")
@@ -152,16 +153,16 @@ def group_variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     both = both.union(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("na").alias("m")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("near"))).alias("x"))
     best = best.select(unplaced(F.col("word"), "string").alias("_word"), "n_near", F.col("x.near").alias("near"), (-F.col("x.m")).alias("m"))
-    out = words.join(best, F.col("word") == F.col("_word"), "left")
+    out = words.join(best.hint("merge"), F.col("word") == F.col("_word"), "left")
     is_form = F.col("m") >= times * F.col("n")
     out = out.select("word", F.when(is_form, F.col("near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("m")).alias("form_n"))
     out = written(out, "forms")
     to = out.where("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(5):
         then = to.select(unplaced(F.col("word"), "string").alias("_word"), F.col("root").alias("_root"))
-        to = written(to.join(then, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root")), "roots")
+        to = written(to.join(then.hint("merge"), F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root")), "roots")
     to = to.select(unplaced(F.col("word"), "string").alias("_word"), "root")
-    return out.join(to, F.col("word") == F.col("_word"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(to.hint("merge"), F.col("word") == F.col("_word"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
